@@ -6,14 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ngram_join
+from . import exact_dedup, ngram_join, sharding, token_counts, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": ngram_join.query,
+        "op3_token_counts": token_counts.query,
+        "op4_balanced_shards": sharding.query,
+        "op6_exact_dedup": exact_dedup.query,
+        "op9_url_filter": url_filter.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op6_exact_dedup": exact_dedup.ORACLE_SQL,
+        "op9_url_filter": url_filter.ORACLE_SQL,
+    }
