@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, ngram_join, sharding, token_counts, url_filter
+from . import decontamination, exact_dedup, language_id, license_scan, ngram_join, sharding, token_counts, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,7 +15,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_token_counts": token_counts.query,
         "op4_balanced_shards": sharding.query,
         "op6_exact_dedup": exact_dedup.query,
+        "op7_license_scan": license_scan.query,
+        "op8_language_id": language_id.query,
         "op9_url_filter": url_filter.query,
+        "op10_latent_decontamination": decontamination.query,
     }
 
 
