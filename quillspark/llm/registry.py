@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, language_id, license_scan, ngram_join, sharding, token_counts, url_filter
+from . import decontamination, exact_dedup, language_id, license_scan, mixing, ngram_join, sharding, token_counts, url_filter, warc_revisit
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": ngram_join.query,
+        "op2_mixing": mixing.query,
         "op3_token_counts": token_counts.query,
         "op4_balanced_shards": sharding.query,
+        "op5_warc_revisit": warc_revisit.query,
         "op6_exact_dedup": exact_dedup.query,
         "op7_license_scan": license_scan.query,
         "op8_language_id": language_id.query,
@@ -24,6 +26,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_mixing": mixing.ORACLE_SQL,
+        "op5_warc_revisit": warc_revisit.ORACLE_SQL,
         "op6_exact_dedup": exact_dedup.ORACLE_SQL,
         "op9_url_filter": url_filter.ORACLE_SQL,
     }
