@@ -1,0 +1,47 @@
+"""Python functions over many groups: rows are dealt and sorted by their keys, then each partition is read as a stream of groups."""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+
+from ..session import ship_package
+
+
+def _runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:
+    """Groups of rows that are sorted by keys, also where a group goes on in the next batch."""
+    held: list[pd.DataFrame] = []
+    at: tuple | None = None
+    for batch in batches:
+        if batch.empty:
+            continue
+        change = (batch[keys] != batch[keys].shift()).any(axis=1).to_numpy().nonzero()[0].tolist()
+        for i, j in zip(change, [*change[1:], len(batch)], strict=True):
+            key = tuple(batch[k].iloc[i] for k in keys)
+            if held and key != at:
+                yield at, pd.concat(held, ignore_index=True)
+                held = []
+            held.append(batch.iloc[i:j])
+            at = key
+    if held:
+        yield at, pd.concat(held, ignore_index=True)
+
+
+def per_group(df: DataFrame, keys: list[str], order: list[str], func: Callable[[tuple, pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """func(key, rows in order) for each group, several groups to a batch; a group must fit in a worker's memory."""
+    ship_package(df.sparkSession)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done, n = [], 0
+        for key, rows in _runs(batches, keys):
+            done.append(func(key, rows))
+            n += len(done[-1])
+            if n > 5000:
+                yield pd.concat(done, ignore_index=True)
+                done, n = [], 0
+        if done:
+            yield pd.concat(done, ignore_index=True)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)

@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import row_queries, text_queries
+
+_MODULES = (text_queries, row_queries)
+
+
+def _all() -> dict[str, tuple]:
+    return {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {k: v[0] for k, v in _all().items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v[1] for k, v in _all().items() if v[1]}
