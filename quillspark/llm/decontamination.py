@@ -1,14 +1,16 @@
 """Operator 10: benchmark decontamination by latent semantic retrieval.
 
-Words are hashed to 2**14 terms. One pass counts in how many documents each term is; a second multiplies the TF-IDF
-matrix A of all passages (48 words of all documents and of the items) from both sides with a random matrix: the partial
-sums of A'(A G) are added up in Spark by blocks of terms, and the driver gets one matrix of fixed size, from which the
-single-pass (Nystrom) form of the randomised SVD takes singular vectors and values. The third pass slides windows of 48
-words, 16 apart, over all texts, maps them to the latent space (whitened by the singular values) and looks for items'
-pieces of 32 words whose cosine reaches a bound that depends on the piece's length only. Around each candidate the
+Words are hashed to 2**14 terms. A first pass over all texts counts in how many documents each term is. A second gives
+the randomised SVD's range finder: every passage (24 words, TF-IDF, length 1) is added with a random sign to one of 128
+rows, and Spark adds up the rows of all tasks. A third is its Rayleigh-Ritz step: the Gram matrix of all passages in that
+subspace, whose eigenvectors and eigenvalues give the singular vectors and values. The last pass slides windows of 24
+words, 8 apart, over all texts, maps them to the latent space (each direction scaled to unit spread) and looks for pieces
+of 16 words of the items (every other one, and the last) whose cosine reaches a bound. Around each candidate the
 longest common subsequence of words decides: contaminated if it has `threshold` of the item's words, or if it has
 `paraphrase` of them and the item's answer is there too, all of its words in order.
 
+What comes to the driver has a fixed size: a count for each term, the 128 rows, one Gram matrix, and the benchmark.
+
 The answer is the column `answer` of the benchmark if it has one, else the item's last five words.
 
 Defined results: rows only for contaminated documents, one for each document row and item. Null and empty texts and
@@ -29,9 +31,8 @@ from pyspark.sql import functions as F
 from . import _words
 from ._common import checkpointed, python_ready
 
-TERMS, RANK, EXTRA = 1 << 14, 48, 16
-WINDOW, STRIDE, PIECE = 48, 16, 32
-BLOCK_TERMS = 1024
+TERMS, RANK = 1 << 14, 128
+WINDOW, STRIDE, PIECE = 24, 8, 16
 MOST_ITEMS = 200_000
 
 
@@ -40,7 +41,7 @@ def _terms(h: np.ndarray) -> np.ndarray:
 
 
 def _word_slices(batch: pa.RecordBatch):
-    for i, j in _words.slices(batch.column("text"), 2 << 20):
+    for i, j in _words.slices(batch.column("text"), 1 << 19):
         h, rows, *_ = _words.words(batch.column("text").slice(i, j - i))
         yield i, h, rows
 
@@ -62,51 +63,125 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(df[at])], ["term", "n"])
 
 
-def _products(idf: np.ndarray, seed: int, width: int):
-    """Blocks of A'(A G), A's rows being runs of WINDOW words."""
+def _sketch(idf: np.ndarray):
+    """RANK rows that add up passages with random signs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        g = np.random.default_rng(seed).standard_normal((TERMS, width)).astype(np.float32)
-        weighted, out, any_row = g * idf[:, None], np.zeros((TERMS, width), np.float32), False
+        out, cells, values, held = np.zeros(RANK * TERMS), [], [], 0
+
+        def flush() -> None:
+            nonlocal out, held
+            if held:
+                out += np.bincount(np.concatenate(cells), weights=np.concatenate(values), minlength=RANK * TERMS)
+                cells.clear()
+                values.clear()
+                held = 0
+
+        any_row = False
         for batch in batches:
             for _, h, rows in _word_slices(batch):
                 if not len(h):
                     continue
-                t = _terms(h)
-                lens = np.diff(rows)
-                firsts = np.concatenate([np.arange(a, a + n, WINDOW) for a, n in zip(rows[:-1], lens, strict=True) if n])
-                for a in range(0, len(firsts), 512):
-                    cut = firsts[a : a + 512]
-                    end = firsts[a + 512] if a + 512 < len(firsts) else len(t)
-                    tt, w = t[cut[0] : end], idf[t[cut[0] : end]]
-                    norm = np.sqrt(np.maximum(np.add.reduceat(w * w, cut - cut[0]), 1e-12))[:, None]
-                    y = np.add.reduceat(weighted[tt], cut - cut[0], axis=0) / (norm * norm)
-                    owner = np.repeat(np.arange(len(cut)), np.diff(np.append(cut, end)))
-                    order = np.argsort(tt, kind="stable")
-                    sorted_t = tt[order]
-                    heads = np.flatnonzero(np.concatenate([[True], sorted_t[1:] != sorted_t[:-1]]))
-                    sums = np.add.reduceat(y[owner[order]], heads, axis=0)
-                    out[sorted_t[heads]] += sums * idf[sorted_t[heads], None]
                 any_row = True
+                t = _terms(h)
+                w = idf[t]
+                inside = np.arange(len(h)) - np.repeat(rows[:-1], np.diff(rows))
+                heads = np.flatnonzero(inside % WINDOW == 0)
+                norms = np.sqrt(np.maximum(np.add.reduceat(w * w, heads), 1e-12))
+                dice = _words.mix(h[heads] + inside[heads].astype(np.uint64))  # by the passage's first word and place
+                row = (dice >> np.uint64(32)).astype(np.int64) % RANK
+                scale = np.where(dice & np.uint64(1), 1.0, -1.0) / norms
+                sizes = np.diff(np.append(heads, len(h)))
+                cells.append(np.repeat(row * TERMS, sizes) + t)
+                values.append(w * np.repeat(scale, sizes))
+                held += len(h)
+                if held > 2_000_000:
+                    flush()
+        flush()
         if any_row:
-            ks = list(range(0, TERMS, BLOCK_TERMS))
-            yield pa.RecordBatch.from_arrays([pa.array(ks, pa.int32()), pa.array([out[k : k + BLOCK_TERMS].astype(np.float32).tobytes() for k in ks], pa.binary())], ["block", "part"])
+            yield _parts(out.reshape(RANK, TERMS))
 
     return run
 
 
+def _parts(matrix: np.ndarray) -> pa.RecordBatch:
+    rows = matrix.astype(np.float32)
+    return pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int32()), pa.array([r.tobytes() for r in rows], pa.binary())], ["block", "part"])
+
+
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[int, np.ndarray] = {}
     for batch in batches:
-        for k, part in zip(batch.column("block").to_pylist(), batch.column("part"), strict=True):
-            x = np.frombuffer(part.as_buffer(), np.float32).astype(np.float64) if not isinstance(part, bytes) else np.frombuffer(part, np.float32).astype(np.float64)
-            total[k] = total[k] + x if k in total else x
+        for k, part in zip(batch.column("block").to_pylist(), batch.column("part").to_pylist(), strict=True):
+            x = np.frombuffer(part, np.float32)
+            total[k] = total[k] + x if k in total else x.astype(np.float64)
     for k, x in total.items():
         yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([x.astype(np.float32).tobytes()], pa.binary())], ["block", "part"])
 
 
-def latent_space(docs: DataFrame, items: DataFrame, rank: int = RANK, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
-    """(idf of each term, map from idf-weighted terms to the whitened latent space), from all texts of both tables."""
+def _sum_rows(parts: DataFrame, rows: int, width: int) -> np.ndarray:
+    """The sum of the matrices of all tasks, by row: first in groups of tasks, then in all."""
+    near = parts.withColumn("half", F.pmod(F.spark_partition_id(), F.lit(16)))
+    summed = near.repartition(64, "block", "half").drop("half").mapInArrow(_added, "block int, part binary").repartition(16, "block").mapInArrow(_added, "block int, part binary")
+    out = np.zeros((rows, width))
+    for r in summed.collect():  # rows x width numbers
+        out[r.block] += np.frombuffer(r.part, np.float32)
+    return out
+
+
+def _windows(latent: np.ndarray, t: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of several documents: (document, first word, sum of the words' latent vectors). latent has a row of zeros
+    behind the last term, which fills each document's last block."""
+    lens = np.diff(rows)
+    blocks = -(-lens // STRIDE)
+    starts = np.concatenate([[0], np.cumsum(blocks)])
+    padded = np.full(starts[-1] * STRIDE, TERMS, np.int64)
+    padded[np.arange(len(t)) + np.repeat(starts[:-1] * STRIDE - rows[:-1], lens)] = t
+    words = np.take(latent, padded, axis=0).reshape(-1, STRIDE, latent.shape[1])
+    sums = np.matmul(np.ones((1, STRIDE), np.float32), words)[:, 0]
+    doc = np.repeat(np.arange(len(lens)), blocks)
+    v = sums.copy()
+    for k in range(1, WINDOW // STRIDE):
+        same = doc[k:] == doc[:-k]
+        v[:-k][same] += sums[k:][same]
+    return doc, np.repeat(rows[:-1], blocks) + (np.arange(starts[-1]) - np.repeat(starts[:-1], blocks)) * STRIDE, v
+
+
+def _pieces(rows: np.ndarray, most: int = 1 << 12) -> Iterator[tuple[int, int]]:
+    """Ranges of documents of at most `most` words, or of one document."""
+    k, n = 0, len(rows) - 1
+    while k < n:
+        j = max(k + 1, int(np.searchsorted(rows, rows[k] + most, "right")) - 1)
+        yield k, j
+        k = j
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+
+
+def _gram(sent):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        basis = sent.value
+        total, n = np.zeros((RANK + 1, RANK)), 0
+        for batch in batches:
+            for _, h, rows in _word_slices(batch):
+                t = _terms(h)
+                for k, j in _pieces(rows):
+                    if rows[j] > rows[k]:
+                        v = _unit(_windows(basis, t[rows[k] : rows[j]], rows[k : j + 1] - rows[k])[2][:: WINDOW // STRIDE])
+                        total[:RANK] += v.T @ v
+                        n += len(v)
+        if n:
+            total[RANK] = n
+            yield _parts(total)
+
+    return run
+
+
+def latent_space(docs: DataFrame, items: DataFrame) -> np.ndarray:
+    """The map from terms to the whitened latent space, from all texts of both tables; its last row is zero."""
+    sc = docs.sparkSession.sparkContext
     texts = docs.select("text").unionByName(items.select("text"))
     counts = texts.mapInArrow(_document_counts, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
     df, total = np.zeros(TERMS), 0
@@ -116,37 +191,33 @@ def latent_space(docs: DataFrame, items: DataFrame, rank: int = RANK, seed: int
         else:
             df[r.term] = r.n
     idf = np.log((total + 1) / (df + 1)).astype(np.float32) + np.float32(0.05)
-    width = rank + EXTRA
-    parts = texts.mapInArrow(_products(idf, seed, width), "block int, part binary")
-    n = TERMS // BLOCK_TERMS
-    # Two levels of sums: by block and task group, then by block.
-    near = parts.withColumn("half", F.pmod(F.spark_partition_id(), F.lit(64)))
-    summed = near.repartition(n * 4, "block", "half").drop("half").mapInArrow(_added, "block int, part binary").repartition(n, "block").mapInArrow(_added, "block int, part binary")
-    z = np.zeros((TERMS, width))
-    for r in summed.collect():  # TERMS x width floats
-        z[r.block : r.block + BLOCK_TERMS] += np.frombuffer(r.part, np.float32).reshape(-1, width)
-    g = np.random.default_rng(seed).standard_normal((TERMS, width)).astype(np.float32).astype(np.float64)
-    shift = 1e-6 * max(np.linalg.norm(z), 1e-9)
-    z += shift * g
-    core = g.T @ z
-    core = (core + core.T) / 2 + 1e-9 * np.trace(core) / width * np.eye(width)
-    u, s, _ = np.linalg.svd(np.linalg.solve(np.linalg.cholesky(core), z.T).T, full_matrices=False)
-    u, s = u[:, :rank], np.maximum(s[:rank], 1e-6 * s[0])
-    return idf, (u / s).astype(np.float32) * idf[:, None]
-
-
-def lcs(a: list[int], b: list[int]) -> int:
-    """Length of the longest common subsequence, by bit-parallel rows."""
-    where: dict[int, int] = {}
-    for i, x in enumerate(a):
-        where[x] = where.get(x, 0) | (1 << i)
-    row, full = (1 << len(a)) - 1, (1 << len(a)) - 1
-    for x in b:
-        m = where.get(x, 0)
+    rows = _sum_rows(texts.mapInArrow(_sketch(idf), "block int, part binary"), RANK, TERMS)
+    basis = np.linalg.qr(rows.T)[0] * idf[:, None]
+    basis = np.vstack([basis, np.zeros((1, RANK))]).astype(np.float32)
+    found = _sum_rows(texts.mapInArrow(_gram(sc.broadcast(basis)), "block int, part binary"), RANK + 1, RANK)
+    gram = found[:RANK] / max(found[RANK, 0], 1)
+    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
+    spread = np.sqrt(np.maximum(values, 1e-6 * max(values[-1], 1e-12)))
+    return (basis @ (vectors / spread)).astype(np.float32)
+
+
+def places(words: list[int]) -> dict[int, int]:
+    """The positions of each word, as bits."""
+    out: dict[int, int] = {}
+    for i, x in enumerate(words):
+        out[x] = out.get(x, 0) | (1 << i)
+    return out
+
+
+def lcs(where: dict[int, int], n: int, other: list[int]) -> int:
+    """Length of the longest common subsequence of n words at their places and another list, by bit-parallel rows."""
+    row = full = (1 << n) - 1
+    for x in other:
+        m = where.get(x)
         if m:
             u = row & m
             row = ((row + u) | (row - u)) & full
-    return len(a) - row.bit_count()
+    return n - row.bit_count()
 
 
 class Searcher:
@@ -163,66 +234,58 @@ class Searcher:
             self.words.append(w.tolist())
             self.answers.append((ha[rowa[k] : rowa[k + 1]] if answer is not None and rowa[k + 1] > rowa[k] else w[-5:]).tolist())
             n = len(w)
-            for a in sorted({min(a, max(0, n - PIECE)) for a in range(0, n, PIECE)}):
+            for a in sorted({min(a, max(0, n - PIECE)) for a in (*range(0, n, 2 * PIECE), n)}):
                 p = w[a : a + PIECE]
                 piece.append(latent[_terms(p)].sum(axis=0))
                 owner.append(len(self.ids) - 1)
-                limits.append(bound * math.sqrt(min(1.0, len(p) / PIECE)))
+                limits.append(bound * max(0.8, math.sqrt(min(1.0, len(p) / PIECE))))
         q = np.array(piece, np.float32).reshape(-1, latent.shape[1])
-        self.queries = (q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)).T.copy()
         self.owner, self.limits = np.array(owner, np.int64), np.array(limits, np.float32)
-        self.vocabulary = [set(w) for w in self.words]
+        self.queries = (_unit(q) / self.limits[:, None]).T.copy()
+        self.places = [places(w) for w in self.words]
         short = [k for k, w in enumerate(self.words) if len(w) < 8]
         self.short = {tuple(self.words[k]): k for k in short}
         self.heads = np.unique(np.array([self.words[k][0] for k in short], np.uint64))
 
-    def windows(self, t: np.ndarray, rows: np.ndarray):
-        """Latent windows of several documents: (document, first word, unit vectors)."""
-        lens = np.diff(rows)
-        blocks = -(-lens // STRIDE)
-        firsts = np.repeat(rows[:-1], blocks) + (np.arange(blocks.sum()) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * STRIDE
-        doc = np.repeat(np.arange(len(lens)), blocks)
-        sums = np.add.reduceat(self.latent[t], firsts, axis=0)
-        v = sums.copy()
-        for k in range(1, WINDOW // STRIDE):
-            same = np.zeros(len(doc), bool)
-            same[:-k] = doc[k:] == doc[:-k]
-            v[:-k][same[:-k]] += sums[k:][same[:-k]]
-        return doc, firsts, v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-
     def search(self, h: np.ndarray, rows: np.ndarray) -> list[tuple[int, object, float, float]]:
         """(row, item id, share of the item in the longest common subsequence, cosine)."""
         if not len(h) or not self.ids:
             return []
-        near: dict[tuple[int, int], list[tuple[int, float]]] = {}
-        k, n = 0, len(rows) - 1
-        while k < n:  # some documents at a time
-            j = max(k + 1, int(np.searchsorted(rows, rows[k] + (1 << 15), "right")) - 1)
-            part = rows[k : j + 1] - rows[k]
-            if part[-1]:
-                doc, firsts, v = self.windows(_terms(h[rows[k] : rows[j]]), part)
-                for a in range(0, len(v), 2048):
-                    score = v[a : a + 2048] @ self.queries
-                    for x, y in zip(*np.nonzero(score >= self.limits), strict=True):
-                        near.setdefault((k + int(doc[a + x]), int(self.owner[y])), []).append((int(firsts[a + x] + rows[k]), float(score[x, y])))
-            k = j
+        near: list[tuple[np.ndarray, ...]] = []
+        t = _terms(h)
+        for k, j in _pieces(rows):
+            if rows[j] == rows[k]:
+                continue
+            doc, firsts, v = _windows(self.latent, t[rows[k] : rows[j]], rows[k : j + 1] - rows[k])
+            v = _unit(v)
+            for a in range(0, len(v), 256):  # scores that fit the cache; queries are scaled so that the bound is 1
+                score = v[a : a + 256] @ self.queries
+                at = np.flatnonzero(score.ravel() >= 1)
+                if len(at):
+                    x, y = np.divmod(at, score.shape[1])
+                    near.append((k + doc[a + x], self.owner[y], firsts[a + x] + rows[k], score[x, y] * self.limits[y]))
         out = []
-        for (d, i), spots in near.items():
-            w, best, cosine = self.words[i], 0.0, max(c for _, c in spots)
-            size, hit, last = len(w), False, -1
-            for first, _ in sorted(spots):
-                if first - last < STRIDE and last >= 0:
+        d, i, firsts, cosines = (np.concatenate(c) for c in zip(*near, strict=True)) if near else [np.zeros(0, np.int64)] * 4
+        order = np.lexsort((firsts, i, d))
+        d, i, firsts, cosines = d[order], i[order], firsts[order], cosines[order]
+        heads = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (i[1:] != i[:-1])])) if len(d) else []
+        ends = np.append(heads[1:], len(d)) if len(d) else []
+        for a, b in zip(heads, ends, strict=True):
+            row, item = int(d[a]), int(i[a])
+            where, size, best, hit, last = self.places[item], len(self.words[item]), 0.0, False, None
+            for first in firsts[a:b].tolist():
+                if last is not None and first - last < max(STRIDE + 1, size // 2):
                     continue
-                low, high = max(int(rows[d]), first - size), min(int(rows[d + 1]), first + WINDOW + size)
-                region = h[low:high].tolist()
-                inside = self.vocabulary[i]
-                if sum(x in inside for x in region) < self.paraphrase * size:
+                last = first
+                region = h[max(int(rows[row]), first - size) : min(int(rows[row + 1]), first + WINDOW + size)].tolist()
+                shared = [x for x in region if x in where]
+                if len(shared) < self.paraphrase * size:
                     continue
-                share = lcs(w, region) / size
+                share = lcs(where, size, shared) / size
                 best = max(best, share)
-                hit |= share >= self.threshold - 1e-9 or (share >= self.paraphrase - 1e-9 and lcs(self.answers[i], region) == len(self.answers[i]))
+                hit |= share >= self.threshold - 1e-9 or (share >= self.paraphrase - 1e-9 and lcs(places(self.answers[item]), len(self.answers[item]), region) == len(self.answers[item]))
             if hit and size >= 8:
-                out.append((d, self.ids[i], best, cosine))
+                out.append((row, self.ids[item], best, float(cosines[a:b].max())))
         if len(self.heads):
             at = np.flatnonzero(np.isin(h, self.heads))
             seen = set()
@@ -248,7 +311,7 @@ def _search(sent, threshold: float, paraphrase: float, bound: float):
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, paraphrase: float = 0.6, bound: float = 0.5) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, paraphrase: float = 0.6, bound: float = 0.46) -> DataFrame:
     """Rows (doc_id, item_id, lcs_share, cosine) of docs (doc_id, text) and benchmark (item_id, text[, answer])."""
     spark = docs.sparkSession
     python_ready(spark)
@@ -259,7 +322,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
         raise ValueError(f"{n} benchmark items; search at most {MOST_ITEMS} at a time")
     if not n:
         return docs.select("doc_id").where("false").selectExpr("doc_id", "cast(null as long) item_id", "cast(null as double) lcs_share", "cast(null as double) cosine")
-    _, latent = latent_space(docs, items)
+    latent = latent_space(docs, items)
     rows = sorted(((r.item_id, r.text, r.answer) for r in items.collect()), key=repr)
     sent = spark.sparkContext.broadcast((rows, latent))
     return docs.select("doc_id", "text").mapInArrow(_search(sent, threshold, paraphrase, bound), f"doc_id {kind}, item_id long, lcs_share double, cosine double")
