@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import row_queries, text_queries
+from . import compare_queries, row_queries, text_queries
 
-_MODULES = (text_queries, row_queries)
+_MODULES = (text_queries, row_queries, compare_queries)
 
 
 def _all() -> dict[str, tuple]:
