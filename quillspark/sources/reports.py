@@ -159,7 +159,8 @@ def overrides(spark: SparkSession, path: str, default: str = "manual no-fail rev
     if not _exists(spark, path):
         return empty
     value = spark.read.text(path, wholetext=True).select("value")
-    rows = value.select(F.posexplode(F.coalesce(F.from_json("value", kind), F.from_json(F.get_json_object("value", "$.passes"), kind))).alias("position", "r"))
+    listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", kind)).otherwise(F.from_json(F.get_json_object("value", "$.passes"), kind))
+    rows = value.select(F.posexplode(listed).alias("position", "r"))
     out = rows.select(F.col("r.chunk_id").try_cast("long").alias("chunk_id"), "r.text_sha256", F.coalesce(F.nullif("r.reason", F.lit("")), F.lit(default)).alias("reason"), "position")
     return out.where("chunk_id is not null and length(text_sha256) = 64")
 

@@ -256,7 +256,7 @@ def test_arrays(spark):
 def test_sources(spark, tmp_path):
     write = lambda name, x: (tmp_path / name).write_text(x if isinstance(x, str) else json.dumps(x)) and str(tmp_path / name)
     chunks = write("chunks.json", [{"_metadata": True, "voice_name": "v"}, {"index": 0, "text": "a"}, {"index": 1, "text": "b", "tts_params": {"cfg_weight": 0.51}}])
-    assert [r.index for r in reports.load_chunks(spark, chunks).orderBy("index").collect()] == [0, 1]
+    assert [r["index"] for r in reports.load_chunks(spark, chunks).orderBy("index").collect()] == [0, 1]
     assert reports.load_metadata(spark, chunks).first().voice_name == "v"
     assert reports.load_chunks_checked(spark, chunks).count() == 2
     with pytest.raises(Exception, match="array"):
