@@ -142,8 +142,9 @@ def _windows(latent: np.ndarray, t: np.ndarray, rows: np.ndarray) -> tuple[np.nd
     doc = np.repeat(np.arange(len(lens)), blocks)
     v = sums.copy()
     for k in range(1, WINDOW // STRIDE):
-        same = doc[k:] == doc[:-k]
-        v[:-k][same] += sums[k:][same]
+        v[:-k] += sums[k:]
+        over = np.flatnonzero(doc[k:] != doc[:-k])  # the next document's blocks
+        v[over] -= sums[over + k]
     return doc, np.repeat(rows[:-1], blocks) + (np.arange(starts[-1]) - np.repeat(starts[:-1], blocks)) * STRIDE, v
 
 
@@ -157,7 +158,7 @@ def _pieces(rows: np.ndarray, most: int = 1 << 12) -> Iterator[tuple[int, int]]:
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    return v * (1 / np.sqrt(np.maximum(np.einsum("ij,ij->i", v, v), 1e-24)))[:, None]
 
 
 def _gram(sent):
