@@ -31,10 +31,10 @@ def turns(spark, d):
     """Conversation turns as chunks; every third opens a chapter, some end a paragraph."""
     c = t(spark, d, "conversations")
     lead = F.when(F.col("turn") % 3 == 1, F.concat(F.lit("Chapter "), F.col("turn").cast("string"), F.lit("\n"))).when(F.col("turn") % 5 == 4, "*** ").otherwise("")
-    return c.select("conv_id", "turn", F.concat(lead, F.substring("text", 1, 60)).alias("text"), (F.col("turn") % 4 == 2).alias("is_paragraph_end"))
+    return c.select("conv_id", "turn", F.concat(lead, "text").alias("text"), (F.col("turn") % 4 == 2).alias("is_paragraph_end"))
 
 
-TURNS = """c AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN 'Chapter ' || turn || chr(10) WHEN turn % 5 = 4 THEN '*** ' ELSE '' END || substr(text, 1, 60) AS text, turn % 4 = 2 AS is_paragraph_end FROM conversations)"""
+TURNS = """c AS (SELECT conv_id, turn, CASE WHEN turn % 3 = 1 THEN 'Chapter ' || turn || chr(10) WHEN turn % 5 = 4 THEN '*** ' ELSE '' END || text AS text, turn % 4 = 2 AS is_paragraph_end FROM conversations)"""
 START = r"'^(Chapter [0-9]+|CHAPTER [0-9]+|Ch\. [0-9]+|CH\. [0-9]+|[0-9]+\.|[IVX]+\.)'"
 
 
@@ -118,8 +118,8 @@ def schedule_batches(spark, d):
 
 
 def text_f1(spark, d):
-    docs = t(spark, d, "documents").select("doc_id", F.lower(F.substring("text", 1, 400)).alias("x"))
-    near = t(spark, d, "documents").select((F.col("doc_id") + 1).alias("doc_id"), F.lower(F.substring("text", 1, 400)).alias("y"))
+    docs = t(spark, d, "documents").select("doc_id", F.lower("text").alias("x"))
+    near = t(spark, d, "documents").select((F.col("doc_id") + 1).alias("doc_id"), F.lower("text").alias("y"))
     words = lambda c: F.array_distinct(F.filter(F.split(F.regexp_replace(c, r"[^\p{L}\p{N}\s]", ""), r"\s+"), lambda w: w != ""))
     j = docs.join(near, "doc_id").select("doc_id", words(F.col("x")).alias("a"), words(F.col("y")).alias("b"))
     na, nb, both = F.size("a"), F.size("b"), F.size(F.array_intersect("a", "b"))
@@ -347,7 +347,7 @@ FROM (SELECT l_orderkey, place, count(*) OVER (PARTITION BY l_orderkey) AS n FRO
     ),
     "text_f1_pairs": (
         text_f1,
-        r"""WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(regexp_replace(lower(substr(text, 1, 400)), '[^\p{L}\p{N}\s]', '', 'g'), '\s+'), lambda x: x <> '')) AS l FROM documents)
+        r"""WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(regexp_replace(lower(text), '[^\p{L}\p{N}\s]', '', 'g'), '\s+'), lambda x: x <> '')) AS l FROM documents)
 SELECT a.doc_id, CASE WHEN len(a.l) = 0 AND len(b.l) = 0 THEN 1.0 WHEN len(a.l) = 0 OR len(b.l) = 0 THEN 0.0 ELSE 2.0::DOUBLE * len(list_intersect(a.l, b.l)) / (len(a.l) + len(b.l)) END AS f1 FROM w a JOIN w b ON b.doc_id + 1 = a.doc_id""",
     ),
     "stage_cascade": (
@@ -398,8 +398,8 @@ SELECT vec_id, k, round(sqrt(list_sum(list_transform(x[k * 12 + 1 : k * 12 + 24]
         'SELECT source, doc_id, sum(n_chars + 5) OVER (PARTITION BY source ORDER BY doc_id) - n_chars - 5 AS "offset" FROM documents',
     ),
     "padded_rows": (
-        lambda s, d: audio.padded_rows(t(s, d, "embeddings").select("vec_id", F.slice("embedding", 1, (F.col("vec_id") % 60 + 1).cast("int")).alias("v")), "v").select("vec_id", F.size("v").alias("n"), F.round(audio.rms(F.col("v")), 5).alias("level")),
-        """WITH e AS (SELECT vec_id, embedding[1 : vec_id % 60 + 1]::DOUBLE[] AS v FROM embeddings), m AS (SELECT max(len(v)) AS n FROM e)
+        lambda s, d: audio.padded_rows(t(s, d, "embeddings").select("vec_id", F.when(F.col("vec_id") % 2 == 0, F.col("embedding")).otherwise(F.concat("embedding", "embedding")).alias("v")), "v").select("vec_id", F.size("v").alias("n"), F.round(audio.rms(F.col("v")), 5).alias("level")),
+        """WITH e AS (SELECT vec_id, (CASE WHEN vec_id % 2 = 0 THEN embedding ELSE list_concat(embedding, embedding) END)::DOUBLE[] AS v FROM embeddings), m AS (SELECT max(len(v)) AS n FROM e)
 SELECT vec_id, n, round(sqrt(list_sum(list_transform(v, lambda x: x * x)) / n), 5) AS level FROM e, m""",
     ),
     "silence_lookup": (
@@ -416,8 +416,8 @@ SELECT vec_id, n, round(sqrt(list_sum(list_transform(v, lambda x: x * x)) / n),
 SELECT chunk_id, attempt, round(CASE WHEN attempt = 1 THEN greatest(0.1, 0.8 - f * 0.1) ELSE 0.8 END, 6) AS temperature, round(CASE WHEN attempt = 2 THEN greatest(0.1, 0.5 - f * 0.15) ELSE 0.5 END, 6) AS exaggeration, round(CASE WHEN attempt = 2 THEN least(1.0, 0.5 + f * 0.1) ELSE 0.5 END, 6) AS cfg_weight FROM k""",
     ),
     "retry_plan": (
-        lambda s, d: audio.retry_plan(t(s, d, "documents").where("doc_id % 5 = 0").select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 3 * 0.1 + 0.6).alias("temperature"), F.lit(0.5).alias("exaggeration"), F.slice(X.sentences(F.col("text")), 1, 3).alias("segments")), 3, 8).select("chunk_id", "attempt", F.round("temperature", 6).alias("temperature"), "segment", "text"),
-        rf"""WITH {SENT}, a AS (SELECT unnest([1, 2, 3]) AS attempt) SELECT doc_id AS chunk_id, attempt, round(greatest(0.1, doc_id % 3 * 0.1 + 0.6 - attempt * 0.1), 6) AS temperature, idx AS segment, text FROM s, a WHERE doc_id % 5 = 0 AND idx < 3""",
+        lambda s, d: audio.retry_plan(t(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 3 * 0.1 + 0.6).alias("temperature"), F.lit(0.5).alias("exaggeration"), X.sentences(F.col("text")).alias("segments")), 3, 8).select("chunk_id", "attempt", F.round("temperature", 6).alias("temperature"), "segment", "text"),
+        rf"""WITH {SENT}, a AS (SELECT unnest([1, 2, 3]) AS attempt) SELECT doc_id AS chunk_id, attempt, round(greatest(0.1, doc_id % 3 * 0.1 + 0.6 - attempt * 0.1), 6) AS temperature, idx AS segment, text FROM s, a""",
     ),
     "pause_samples": (
         lambda s, d: samples(s, d).select("vec_id", F.size(audio.with_pauses(F.array("embedding", "embedding", "embedding"), F.array(F.lit(0.5), F.col("vec_id") % 4 / 4.0), 16)).alias("n")),

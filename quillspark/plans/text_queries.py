@@ -68,9 +68,9 @@ def token_kinds(spark, d):
 
 
 def pause_tags(spark, d):
-    t = F.concat_ws(" ", F.lit("[pause:200ms]"), F.when(F.col("doc_id") % 3 == 0, "[pause:x]"), F.lit("~500 ~0 ~0070"), F.substring("text", 1, 40))
+    t = F.concat_ws(" ", F.lit("[pause:200ms]"), F.when(F.col("doc_id") % 3 == 0, "[pause:x]"), F.lit("~500 ~0 ~0070"), F.col("text"))
     marked = X.inline_markers_to_pause_tags(t)
-    return _docs(spark, d).select("doc_id", X.pause_tags_valid(t).alias("valid"), marked.alias("marked"), X.strip_pause_tags(marked).alias("plain"), X.strip_inline_pause_markers(F.concat(F.lit("a[1.5s]b[2s]c "), F.substring("text", 1, 10))).alias("bare"))
+    return _docs(spark, d).select("doc_id", X.pause_tags_valid(t).alias("valid"), marked.alias("marked"), X.strip_pause_tags(marked).alias("plain"), X.strip_inline_pause_markers(F.concat(F.lit("a[1.5s]b[2s]c "), "text")).alias("bare"))
 
 
 QUERIES = {
@@ -85,9 +85,9 @@ SELECT bucket, count(*) AS n_chunks, 100.0 * count(*) / any_value(total) AS perc
         f"WITH {SENT} SELECT doc_id, idx, {BOUNDARY} AS boundary FROM (SELECT *, {STRIP.format('text')} AS t FROM s)",
     ),
     "heading_paragraphs": (
-        lambda s, d: sentence_rows(s, d).withColumnRenamed("text", "p").where(X.is_heading_paragraph(F.col("p"))).groupBy("doc_id").agg(F.count("*").alias("n")),
-        rf"""WITH {SENT} SELECT doc_id, count(*) AS n FROM s
-WHERE regexp_matches(lower(text), 'chapter|section|part|prologue|epilogue') AND len(regexp_extract_all(text, '\S+')) <= 10 GROUP BY doc_id""",
+        lambda s, d: sentence_rows(s, d).select("doc_id", "idx", X.is_heading_paragraph(F.concat_ws(" ", F.when(F.col("idx") % 7 == 0, F.lit("Chapter 1:")), "text")).alias("heading")),
+        rf"""WITH {SENT}, p AS (SELECT doc_id, idx, concat_ws(' ', CASE WHEN idx % 7 = 0 THEN 'Chapter 1:' END, text) AS p FROM s)
+SELECT doc_id, idx, regexp_matches(lower(p), 'chapter|section|part|prologue|epilogue') AND len(regexp_extract_all(p, '\S+')) <= 10 AS heading FROM p""",
     ),
     "speech_segments": (
         lambda s, d: sentence_rows(s, d).groupBy(X.has_speech(F.col("text")).alias("speech")).agg(F.count("*").alias("n")),
@@ -95,10 +95,10 @@ WHERE regexp_matches(lower(text), 'chapter|section|part|prologue|epilogue') AND
     ),
     "pause_tags": (
         pause_tags,
-        r"""WITH t AS (SELECT doc_id, text, concat_ws(' ', '[pause:200ms]', CASE WHEN doc_id % 3 = 0 THEN '[pause:x]' END, '~500 ~0 ~0070', substr(text, 1, 40)) AS t FROM documents),
+        r"""WITH t AS (SELECT doc_id, text, concat_ws(' ', '[pause:200ms]', CASE WHEN doc_id % 3 = 0 THEN '[pause:x]' END, '~500 ~0 ~0070', text) AS t FROM documents),
 m AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(t, '~0+([^0-9]|$)', '\1', 'g'), '~0*([0-9]+)', '[pause:\1ms]', 'g'), '$', '') AS marked FROM t)
 SELECT doc_id, doc_id % 3 <> 0 AS valid, marked, regexp_replace(marked, '\[pause:[0-9]+ms\]', ' ', 'g') AS plain,
-  regexp_replace('a[1.5s]b[2s]c ' || substr(text, 1, 10), '\[[0-9]+(?:\.[0-9]+)?s\]', ' ', 'g') AS bare FROM m""",
+  regexp_replace('a[1.5s]b[2s]c ' || text, '\[[0-9]+(?:\.[0-9]+)?s\]', ' ', 'g') AS bare FROM m""",
     ),
     "backend_names": (
         lambda s, d: _values(s, "name", NAMES).select("name", X.normalize_backend(F.col("name")).alias("backend")),
@@ -139,9 +139,9 @@ count(*) AS n, count(DISTINCT l) AS n_distinct FROM k GROUP BY 1""",
     "abbreviations_replaced": (abbreviations_replaced, "SELECT doc_id, md5(replace(replace(replace(text, 'the', 'THE'), 'and', '&'), 'THEr', 'Ther')) AS digest FROM documents"),
     "smart_punctuated": (smart_punctuated, None),
     "dialogue_repaired": (
-        lambda s, d: s.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", X.repair_dialogue(F.concat(F.lit('\\"Yes", ". '), F.substring("text", 1, 20), F.when(F.col("turn") % 2 == 0, ' said "x" , "').otherwise(""))).alias("text")),
+        lambda s, d: s.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", X.repair_dialogue(F.concat(F.lit('\\"Yes", ". '), F.col("text"), F.when(F.col("turn") % 2 == 0, ' said "x" , "').otherwise(""))).alias("text")),
         r"""SELECT conv_id, turn, CASE WHEN contains(p, 'said') OR contains(p, 'replied') THEN regexp_replace(regexp_replace(p, '(["''])\s*,\s*["'']\s*\.', '\1.', 'g'), '(["''])\s*,\s*["'']\s*$', '\1.', 'g') ELSE p END AS text
-FROM (SELECT conv_id, turn, replace('\"Yes", ". ' || substr(text, 1, 20) || CASE WHEN turn % 2 = 0 THEN ' said "x" , "' ELSE '' END, '\"', '"') AS p FROM conversations)""",
+FROM (SELECT conv_id, turn, replace('\"Yes", ". ' || text || CASE WHEN turn % 2 = 0 THEN ' said "x" , "' ELSE '' END, '\"', '"') AS p FROM conversations)""",
     ),
     "short_sentences_joined": (
         lambda s, d: _values(s, "text", ["Yes. No. Maybe.", "Right.", "Right. This is a longer second sentence here.", "One long sentence without an end", "A b c d e. F g h i j."]).select("text", X.join_short_sentences(F.col("text")).alias("joined")),
@@ -152,8 +152,10 @@ FROM (SELECT conv_id, turn, replace('\"Yes", ". ' || substr(text, 1, 20) || CASE
         rf"WITH {SENT} SELECT doc_id, idx, CASE WHEN n <= 0 THEN 0 ELSE least(greatest(1, n * 5), 199) END AS floor FROM (SELECT *, len(regexp_extract_all(text, '\S+')) AS n FROM s)",
     ),
     "lang_ratio": (
-        lambda s, d: _docs(s, d).select("doc_id", X.east_asian_language(F.concat(F.substring("text", 1, 6), F.when(F.col("doc_id") % 4 == 0, "漢字漢字漢字漢字").when(F.col("doc_id") % 4 == 1, "かなかなかなカナカナ").when(F.col("doc_id") % 4 == 2, "한글한글한글한글").otherwise(""))).alias("lang")),
-        "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'zh' WHEN 1 THEN 'ja' WHEN 2 THEN 'ko' ELSE 'en' END AS lang FROM documents",
+        lambda s, d: _docs(s, d).select("doc_id", X.east_asian_language(F.when(F.col("doc_id") % 4 == 0, F.translate("text", "etaoinr", "漢字文書語言國")).when(F.col("doc_id") % 4 == 1, F.translate("text", "etaoinr", "かなカナひらた")).when(F.col("doc_id") % 4 == 2, F.translate("text", "etaoinr", "한글문서언어말")).otherwise(F.col("text"))).alias("lang")),
+        r"""WITH t AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN translate(text, 'etaoinr', '漢字文書語言國') WHEN 1 THEN translate(text, 'etaoinr', 'かなカナひらた') WHEN 2 THEN translate(text, 'etaoinr', '한글문서언어말') ELSE text END AS t FROM documents),
+n AS (SELECT doc_id, nullif(length(regexp_replace(t, '\s+', '', 'g')), 0) AS n, len(regexp_extract_all(t, '[\x{4e00}-\x{9fff}]')) AS h, len(regexp_extract_all(t, '[\x{3040}-\x{30ff}]')) AS k, len(regexp_extract_all(t, '[\x{ac00}-\x{d7af}]')) AS g FROM t)
+SELECT doc_id, CASE WHEN h / n > 0.3 THEN 'zh' WHEN k / n > 0.3 THEN 'ja' WHEN g / n > 0.3 THEN 'ko' ELSE 'en' END AS lang FROM n""",
     ),
     "punc_normalized": (
         lambda s, d: sentence_rows(s, d).select("doc_id", "idx", X.punc_norm(F.col("text")).alias("text")),
