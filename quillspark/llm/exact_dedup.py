@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 SPACE = r"[\x20\x09-\x0D]+"
 CHUNK = r"(?s).{512,8192}?(?:[.!?。！？।]|\z)|.{1,8192}"
+SALTS = 16
 IDENTIFIERS: tuple[Callable[[Column], Column], ...] = (lambda c: F.xxhash64(c), lambda c: F.sha2(c, 256))
 
 
@@ -42,10 +43,13 @@ def exact_dedup(docs: DataFrame, identifiers: tuple[Callable[[Column], Column],
         raise ValueError("each of the identifiers stands for two chunks")
     rows = norm.select("doc_id", "points", F.sha2("norm", 256).alias("text_sha256"), F.transform(chunks(F.col("norm")), ident).alias("recipe"))
     best = F.max(F.struct("points", F.bitwise_not(F.col("doc_id")).alias("first")))
-    stays = rows.groupBy("recipe").agg(best.alias("best"), F.count("*").alias("group_size"))
-    stays = stays.select("recipe", F.bitwise_not(F.col("best.first")).alias("keep_id"), "group_size")
-    # The join deals by the recipe; a hot group is split by adaptive skew handling, its rows are a few bytes.
-    return rows.join(stays, "recipe").select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
+    groups = rows.groupBy("recipe").agg(best.alias("best"), F.count("*").alias("group_size")).where("group_size > 1")
+    # Only groups of two or more rows are joined back, each to SALTS parts of its rows.
+    stays = groups.select("recipe", F.bitwise_not(F.col("best.first")).alias("keep_id"), "group_size", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "points"), F.lit(SALTS)).cast("int"))
+    joined = dealt.join(stays, ["recipe", "salt"], "left")
+    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
+    return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
