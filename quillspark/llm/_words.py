@@ -53,7 +53,7 @@ def _mask(data: np.ndarray) -> np.ndarray:
     return ok
 
 
-def slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[tuple[int, int]]:
+def slices(texts: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int]]:
     """Ranges of rows of at most `most` bytes, or of one row."""
     size = np.asarray(pc.fill_null(pc.binary_length(texts), 0)).astype(np.int64)
     ends, i, n = np.cumsum(size), 0, len(size)
