@@ -210,8 +210,9 @@ def restore_special(text: str | None) -> str:
     return unicodedata.normalize("NFKD", low)
 
 
-def map_text(df: DataFrame, column: str, keep: list[str], func: Callable[[str | None], dict], fields: dict[str, tuple[pa.DataType, str]]) -> DataFrame:
-    """keep columns and the fields that func gives for a text column, in Arrow batches."""
+def map_text(df: DataFrame, column: str, keep: list[str], func: Callable[[str | None], dict], fields: dict[str, tuple[pa.DataType, str]], spread: bool = False) -> DataFrame:
+    """keep columns and the fields that func gives for a text column, in Arrow batches. spread: deal the rows anew first, for work
+    that is far more than their transport."""
     ship_package(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +221,10 @@ def map_text(df: DataFrame, column: str, keep: list[str], func: Callable[[str |
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in keep), *(pa.array([f[n] for f in found], t) for n, (t, _) in fields.items())], [*keep, *fields])
 
     schema = ", ".join([*(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep), *(f"{n} {s}" for n, (_, s) in fields.items())])
-    return df.select(*keep, df[column].alias("_text")).mapInArrow(run, schema)
+    rows = df.select(*keep, df[column].alias("_text"))
+    if spread and not df.isStreaming:
+        rows = rows.repartition(max(4 * df.sparkSession.sparkContext.defaultParallelism, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    return rows.mapInArrow(run, schema)
 
 
 STRINGS = (pa.list_(pa.string()), "array<string>")

@@ -64,8 +64,9 @@ def term_evidence(docs: DataFrame, least: int) -> DataFrame:
     """Terms that the corpus treats as names: how often, in mid-sentence capitals, as acronyms, in lower case; first surface."""
     text = F.col("text")
     tokens = F.regexp_extract_all(text, F.lit("[A-Za-z]{2,}|[.!?]"), F.lit(0))
-    rows = docs.select("doc_id", F.posexplode(tokens).alias("pos", "token"), tokens.alias("all"))
-    rows = rows.withColumn("prev", F.when(F.col("pos") > 0, F.get("all", F.col("pos") - 1))).drop("all").where(F.col("token").rlike("^[A-Za-z]"))
+    listed = docs.select("doc_id", tokens.alias("t"))
+    pairs = F.transform("t", lambda x, i: F.struct(i.alias("pos"), x.alias("token"), F.get("t", i - 1).alias("prev")))
+    rows = listed.select("doc_id", F.explode(pairs).alias("p")).select("doc_id", "p.*").where(F.col("token").rlike("^[A-Za-z]"))
     start = F.col("prev").isNull() | F.col("prev").isin(".", "!", "?")
     capital, acronym = F.col("token").rlike("^[A-Z][a-z]"), F.col("token").rlike("^[A-Z]{2,}$")
     by = rows.groupBy(F.lower("token").alias("term")).agg(
