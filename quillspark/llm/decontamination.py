@@ -5,9 +5,12 @@ the randomised SVD's range finder: every passage (24 words, TF-IDF, length 1) is
 rows, and Spark adds up the rows of all tasks. A third is its Rayleigh-Ritz step: the Gram matrix of all passages in that
 subspace, whose eigenvectors and eigenvalues give the singular vectors and values. The last pass slides windows of 24
 words, 8 apart, over all texts, maps them to the latent space (each direction scaled to unit spread) and looks for pieces
-of 16 words of the items (every other one, and the last) whose cosine reaches a bound. Around each candidate the
-longest common subsequence of words decides: contaminated if it has `threshold` of the item's words, or if it has
-`paraphrase` of them and the item's answer is there too, all of its words in order.
+of 16 words of the items (every other one, and the last) whose cosine reaches a bound. Beside it an exact search by words
+leaves out nothing that the decision would take: a text with `paraphrase` of an item's n words has 3 at least of any n -
+paraphrase * n + 3 of them, so stretches with 3 of the item's rarest so many are candidates, too. In each candidate the
+longest common subsequence of words decides: contaminated if, in a stretch of twice the item's words and 24 more, it has
+`threshold` of the item's words, or if it has `paraphrase` of them and the item's answer is there too, all of its words in
+order.
 
 What comes to the driver has a fixed size: a count for each term, the 128 rows, one Gram matrix, and the benchmark.
 
@@ -33,6 +36,7 @@ from ._common import checkpointed, python_ready
 
 TERMS, RANK = 1 << 14, 128
 WINDOW, STRIDE, PIECE = 24, 8, 16
+FEW = 3
 MOST_ITEMS = 200_000
 
 
@@ -180,8 +184,8 @@ def _gram(sent):
     return run
 
 
-def latent_space(docs: DataFrame, items: DataFrame) -> np.ndarray:
-    """The map from terms to the whitened latent space, from all texts of both tables; its last row is zero."""
+def latent_space(docs: DataFrame, items: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """The map from terms to the whitened latent space, from all texts of both tables, its last row zero; the idf of each term."""
     sc = docs.sparkSession.sparkContext
     texts = docs.select("text").unionByName(items.select("text"))
     counts = texts.mapInArrow(_document_counts, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
@@ -199,7 +203,7 @@ def latent_space(docs: DataFrame, items: DataFrame) -> np.ndarray:
     gram = found[:RANK] / max(found[RANK, 0], 1)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     spread = np.sqrt(np.maximum(values, 1e-6 * max(values[-1], 1e-12)))
-    return (basis @ (vectors / spread)).astype(np.float32)
+    return (basis @ (vectors / spread)).astype(np.float32), idf
 
 
 def places(words: list[int]) -> dict[int, int]:
@@ -222,8 +226,8 @@ def lcs(where: dict[int, int], n: int, other: list[int]) -> int:
 
 
 class Searcher:
-    def __init__(self, items: list[tuple], latent: np.ndarray, threshold: float, paraphrase: float, bound: float):
-        self.latent, self.threshold, self.paraphrase = latent, threshold, paraphrase
+    def __init__(self, items: list[tuple], latent: np.ndarray, idf: np.ndarray, threshold: float, paraphrase: float, bound: float):
+        self.latent = latent
         h, rows, *_ = _words.words(pa.array([t for _, t, _ in items], pa.string()))
         ha, rowa, *_ = _words.words(pa.array([a for *_, a in items], pa.string()))
         self.ids, self.words, self.answers, piece, owner, limits = [], [], [], [], [], []
@@ -244,10 +248,81 @@ class Searcher:
         self.owner, self.limits = np.array(owner, np.int64), np.array(limits, np.float32)
         self.queries = (_unit(q) / self.limits[:, None]).T.copy()
         self.places = [places(w) for w in self.words]
+        sizes = [len(w) for w in self.words]
+        self.spans = np.array([2 * n + WINDOW for n in sizes], np.int64)
+        self.sure, self.enough = ([math.ceil(n * (share - 1e-9)) for n in sizes] for share in (threshold, paraphrase))
+        self.least = [max(1, min(x)) for x in zip(self.sure, self.enough, strict=True)]
+        self._index(idf)
         short = [k for k, w in enumerate(self.words) if len(w) < 8]
         self.short = {tuple(self.words[k]): k for k in short}
         self.heads = np.unique(np.array([self.words[k][0] for k in short], np.uint64))
 
+    def _index(self, idf: np.ndarray) -> None:
+        """For the exact search: the rarest words of the items of 8 words or more, and how many of an item's must meet."""
+        rare: dict[int, list[int]] = {}
+        self.few = np.array([min(FEW, n) for n in self.least], np.int64)
+        for k, w in enumerate(self.words):
+            if len(w) >= 8:
+                order = np.argsort(-idf[_terms(np.array(w, np.uint64))], kind="stable")
+                for x in {w[p] for p in order[: len(w) - self.least[k] + int(self.few[k])]}:
+                    rare.setdefault(x, []).append(k)
+        self.rare = np.array(sorted(rare), np.uint64)
+        self.rare_items = np.array([k for x in sorted(rare) for k in rare[x]], np.int64)
+        self.rare_ends = np.cumsum([len(rare[x]) for x in sorted(rare)], dtype=np.int64)
+        self.rare_terms = np.zeros(TERMS, bool)
+        self.rare_terms[_terms(self.rare)] = True
+
+    def _by_words(self, h: np.ndarray, t: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(row, item, first word, word behind the last) of all stretches that can hold enough of an item's words."""
+        at = np.flatnonzero(self.rare_terms[t])
+        x = np.searchsorted(self.rare, h[at])
+        same = self.rare[np.minimum(x, len(self.rare) - 1)] == h[at] if len(self.rare) else np.zeros(len(at), bool)
+        at, x = at[same], x[same]
+        n = np.diff(self.rare_ends, prepend=0)[x]
+        i = self.rare_items[np.repeat(self.rare_ends[x] - np.cumsum(n), n) + np.arange(n.sum())]
+        order = np.argsort(i, kind="stable")
+        p, i = np.repeat(at, n)[order], i[order]
+        d = np.searchsorted(rows, p, "right") - 1
+        first = np.arange(len(p))
+        last = first + self.few[i] - 1
+        first, last = first[last < len(p)], last[last < len(p)]
+        met = (i[first] == i[last]) & (d[first] == d[last]) & (p[last] - p[first] < self.spans[i[first]])
+        first, last = first[met], last[met]
+        i, d = i[first], d[first]
+        return d, i, np.maximum(rows[d], p[last] - self.spans[i] + 1), np.minimum(rows[d + 1], p[first] + self.spans[i])
+
+    def _answered(self, item: int, words: list[int]) -> bool:
+        answer = self.answers[item]
+        return lcs(places(answer), len(answer), words) == len(answer)
+
+    def _decide(self, item: int, regions: list[list[int]]) -> tuple[int, bool]:
+        """The longest common subsequence with the item in a stretch of its span, and whether a stretch is a copy."""
+        where, size, span, least = self.places[item], len(self.words[item]), int(self.spans[item]), self.least[item]
+        open_, best, hit = [], 0, False
+        for region in regions:
+            shared = [x for x in region if x in where]
+            if len(shared) >= least and (most := lcs(where, size, shared)) >= least:
+                open_.append((most, most >= self.sure[item] or self._answered(item, region), region))
+        if not any(able for _, able, _ in open_):
+            return 0, False
+        for most, able, region in open_:
+            counts = np.concatenate([[0], np.cumsum([x in where for x in region])])
+            ends = np.minimum(np.arange(max(1, len(region) - span + 1)) + span, len(region))
+            held = counts[ends] - counts[: len(ends)]
+            for a in np.argsort(-held, kind="stable").tolist():  # the fullest stretches first
+                if held[a] < least or ((hit or not able) and min(held[a], most) <= best):
+                    break
+                part = region[a : a + span]
+                found = lcs(where, size, [x for x in part if x in where])
+                best = max(best, found)
+                hit = hit or found >= self.sure[item] or (found >= self.enough[item] and self._answered(item, part))
+        return best, hit
+
+    def _cosine(self, h: np.ndarray, item: int) -> float:
+        """The highest cosine of a text's windows with the item's pieces."""
+        mine = self.owner == item
+        return float((_unit(_windows(self.latent, _terms(h), np.array([0, len(h)]))[2]) @ self.queries[:, mine] * self.limits[mine]).max())
+
     def search(self, h: np.ndarray, rows: np.ndarray) -> list[tuple[int, object, float, float]]:
         """(row, item id, share of the item in the longest common subsequence, cosine)."""
         if not len(h) or not self.ids:
@@ -264,29 +339,30 @@ class Searcher:
                 at = np.flatnonzero(score.ravel() >= 1)
                 if len(at):
                     x, y = np.divmod(at, score.shape[1])
-                    near.append((k + doc[a + x], self.owner[y], firsts[a + x] + rows[k], score[x, y] * self.limits[y]))
-        out = []
-        d, i, firsts, cosines = (np.concatenate(c) for c in zip(*near, strict=True)) if near else [np.zeros(0, np.int64)] * 4
-        order = np.lexsort((firsts, i, d))
-        d, i, firsts, cosines = d[order], i[order], firsts[order], cosines[order]
+                    d, i, first = k + doc[a + x], self.owner[y], firsts[a + x] + rows[k]
+                    size = (self.spans[i] - WINDOW) // 2
+                    near.append((d, i, np.maximum(rows[d], first - size), np.minimum(rows[d + 1], first + WINDOW + size), score[x, y] * self.limits[y]))
+        exact = self._by_words(h, t, rows)
+        near.append((*exact, np.full(len(exact[0]), -np.inf)))
+        d, i, low, high, cosines = (np.concatenate(c) for c in zip(*near, strict=True))
+        order = np.lexsort((low, i, d))
+        d, i, low, high, cosines = d[order], i[order], low[order], high[order], cosines[order]
         heads = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (i[1:] != i[:-1])])) if len(d) else []
         ends = np.append(heads[1:], len(d)) if len(d) else []
+        out = []
         for a, b in zip(heads, ends, strict=True):
             row, item = int(d[a]), int(i[a])
-            where, size, best, hit, last = self.places[item], len(self.words[item]), 0.0, False, None
-            for first in firsts[a:b].tolist():
-                if last is not None and first - last < max(STRIDE + 1, size // 2):
-                    continue
-                last = first
-                region = h[max(int(rows[row]), first - size) : min(int(rows[row + 1]), first + WINDOW + size)].tolist()
-                shared = [x for x in region if x in where]
-                if len(shared) < self.paraphrase * size:
-                    continue
-                share = lcs(where, size, shared) / size
-                best = max(best, share)
-                hit |= share >= self.threshold - 1e-9 or (share >= self.paraphrase - 1e-9 and lcs(places(self.answers[item]), len(self.answers[item]), region) == len(self.answers[item]))
-            if hit and size >= 8:
-                out.append((row, self.ids[item], best, float(cosines[a:b].max())))
+            spans: list[list[int]] = []
+            for x, y in zip(low[a:b].tolist(), high[a:b].tolist(), strict=True):  # neighbouring candidates are one region
+                if spans and x <= spans[-1][1]:
+                    spans[-1][1] = max(spans[-1][1], y)
+                else:
+                    spans.append([x, y])
+            size = len(self.words[item])
+            best, hit = self._decide(item, [h[x:y].tolist() for x, y in spans]) if size >= 8 else (0, False)
+            if hit:
+                cosine = float(cosines[a:b].max())
+                out.append((row, self.ids[item], best / size, cosine if cosine > -np.inf else self._cosine(h[rows[row] : rows[row + 1]], item)))
         if len(self.heads):
             at = np.flatnonzero(np.isin(h, self.heads))
             seen = set()
@@ -301,8 +377,8 @@ class Searcher:
 
 def _search(sent, threshold: float, paraphrase: float, bound: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items, latent = sent.value
-        s = Searcher(items, latent, threshold, paraphrase, bound)
+        items, latent, idf = sent.value
+        s = Searcher(items, latent, idf, threshold, paraphrase, bound)
         for batch in batches:
             for i, h, rows in _word_slices(batch):
                 found = s.search(h, rows)
@@ -323,9 +399,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
         raise ValueError(f"{n} benchmark items; search at most {MOST_ITEMS} at a time")
     if not n:
         return docs.select("doc_id").where("false").selectExpr("doc_id", "cast(null as long) item_id", "cast(null as double) lcs_share", "cast(null as double) cosine")
-    latent = latent_space(docs, items)
+    latent, idf = latent_space(docs, items)
     rows = sorted(((r.item_id, r.text, r.answer) for r in items.collect()), key=repr)
-    sent = spark.sparkContext.broadcast((rows, latent))
+    sent = spark.sparkContext.broadcast((rows, latent, idf))
     return docs.select("doc_id", "text").mapInArrow(_search(sent, threshold, paraphrase, bound), f"doc_id {kind}, item_id long, lcs_share double, cosine double")
 
 

@@ -454,3 +454,49 @@ def test_planted_benchmark_passages_are_found(spark, make):
     assert {r.doc_id for r in kept.collect()} == {r[0] for r in rows} - {i for i, _ in planted} - {500}
     assert decontamination.contaminated(docs.limit(0), bench).count() == 0
     assert decontamination.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def test_short_and_thinned_copies_are_found_as_by_brute_force(spark, make):
+    rng = random.Random(15)
+    tail = [f"rare{k}x" for k in range(4000)]
+    text = lambda n: [rng.choice(tail if rng.random() < 0.4 else WORDS) for _ in range(n)]
+    sizes = [8, 9, 10, 12, 15, 24, 40, 60]
+    items = [text(n) for n in sizes for _ in range(3)]
+    rows, planted = [], set()
+    for i in range(240):
+        k = i % len(items)
+        x, n = list(items[k]), len(items[k])
+        if i % 3:  # three fifths or more of the words, the answer among them, with others between
+            gone = set(rng.sample(range(n - 5), min(n - 5, int(n * 0.4))))
+            x = [w for p, w in enumerate(x) if p not in gone]
+            for _ in range(n // 2):
+                x.insert(rng.randrange(len(x)), rng.choice(tail))
+        w = text(rng.choice([60, 300]))
+        at = rng.randrange(len(w))
+        rows.append((i, w[:at] + x + w[at:]))
+        planted.add((i, k))
+
+    def common(a, b):
+        t = [0] * (len(b) + 1)
+        for x in a:
+            s = [0]
+            for j, y in enumerate(b):
+                s.append(t[j] + 1 if x == y else max(t[j + 1], s[j]))
+            t = s
+        return t[-1]
+
+    def copy(x, w):
+        span, can = 2 * len(x) + 24, set(x)
+        for a in range(max(1, len(w) - span + 1)):
+            part = [y for y in w[a : a + span] if y in can]
+            if len(part) >= 0.6 * len(x):
+                n = common(x, part)
+                if n >= 0.8 * len(x) or (n >= 0.6 * len(x) and common(x[-5:], part) == 5):
+                    return True
+        return False
+
+    want = {(i, k) for i, w in rows for k, x in enumerate(items) if len(set(x) & set(w)) >= 0.3 * len(x) and copy(x, w)}
+    assert planted <= want
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(make([(i, " ".join(w)) for i, w in rows]), bench).collect()}
+    assert got == want
