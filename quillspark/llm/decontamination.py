@@ -5,7 +5,7 @@ the randomised SVD's range finder: every passage (24 words, TF-IDF, length 1) is
 rows, and Spark adds up the rows of all tasks. A third is its Rayleigh-Ritz step: the Gram matrix of all passages in that
 subspace, whose eigenvectors and eigenvalues give the singular vectors and values. The last pass slides windows of 24
 words, 8 apart, over all texts, maps them to the latent space (each direction scaled to unit spread) and looks for pieces
-of 16 words of the items (every other one, and the last) whose cosine reaches a bound. Beside it an exact search by words
+of 16 words of the items (all of them, and the last 16 words) whose cosine reaches a bound. Beside it an exact search by words
 leaves out nothing that the decision would take: a text with `paraphrase` of an item's n words has 3 at least of any n -
 paraphrase * n + 3 of them, so stretches with 3 of the item's rarest so many are candidates, too. In each candidate the
 longest common subsequence of words decides: contaminated if, in a stretch of twice the item's words and 24 more, it has
@@ -239,7 +239,7 @@ class Searcher:
             self.words.append(w.tolist())
             self.answers.append((ha[rowa[k] : rowa[k + 1]] if answer is not None and rowa[k + 1] > rowa[k] else w[-5:]).tolist())
             n = len(w)
-            for a in sorted({min(a, max(0, n - PIECE)) for a in (*range(0, n, 2 * PIECE), n)}):
+            for a in sorted({min(a, max(0, n - PIECE)) for a in (*range(0, n, PIECE), n)}):
                 p = w[a : a + PIECE]
                 piece.append(latent[_terms(p)].sum(axis=0))
                 owner.append(len(self.ids) - 1)

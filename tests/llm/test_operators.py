@@ -500,3 +500,15 @@ def test_short_and_thinned_copies_are_found_as_by_brute_force(spark, make):
     bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(make([(i, " ".join(w)) for i, w in rows]), bench).collect()}
     assert got == want
+
+
+@pytest.mark.parametrize("n", [8, 16, 33, 80])
+def test_every_word_of_an_item_is_in_a_latent_query(n):
+    words = [f"word{k}" for k in range(n)]
+    h, *_ = _words.words(pa.array([" ".join(words)]))
+    terms = decontamination._terms(h)
+    latent = np.zeros((decontamination.TERMS + 1, n), np.float32)
+    latent[terms, np.arange(n)] = 1
+    s = decontamination.Searcher([(1, " ".join(words), None)], latent, np.ones(decontamination.TERMS, np.float32), 0.8, 0.6, 0.46)
+    assert len(set(terms.tolist())) == n
+    assert (s.queries > 0).any(axis=1).all()
