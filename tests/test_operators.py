@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -165,6 +166,35 @@ def test_long_texts_align_in_bounded_memory():
     assert [o["op"] for o in ops if o["op"] != "exact_match"] == ["insertion"]
 
 
+MIXED = st.lists(st.sampled_from("a b c ab abc bc the they are their there we were no not <NUM> a12345 foobar foo bar foobarr fobar color colour running run two 2".split()), min_size=1, max_size=14)
+
+
+@given(MIXED, MIXED, st.sampled_from([frozenset(), frozenset({"ab", "foo"})]))
+@settings(max_examples=200, deadline=None)
+def test_long_path_is_the_exact_path(ref, hyp, strict):
+    kept, compare.KEPT = compare.KEPT, 5
+    try:
+        assert compare._long_path(ref, hyp, 0.85, strict) == compare._path(ref, hyp, 0.85, strict)
+    finally:
+        compare.KEPT = kept
+
+
+def test_long_repetitive_texts_have_no_false_edits():
+    rng = random.Random(3)
+    words = [a + b for a in ("ba", "de", "fi", "go", "ku", "ma") for b in ("ltor", "mpus", "nkel", "rvik", "stom", "xand", "zzop", "ckul", "dgef", "pprin")]
+    ref = [rng.choice(words) for _ in range(1200)]
+    hyp = ["first", *ref[1:100], *ref[105:-1], "last"]
+    ops = [o["op"] for o in compare.align(ref, hyp)]
+    assert sum(o in ("substitution", "deletion", "insertion") for o in ops) <= 7
+
+
+def test_long_text_against_a_short_one_keeps_its_matches():
+    ref = [f"w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyzabcd'[k // 100]}" for k in range(1000)]
+    hyp = ["other", *(t for k, t in enumerate(ref) if k % 6 == 1), "thing"]
+    ops = [o["op"] for o in compare.align(ref, hyp)]
+    assert ops.count("exact_match") >= 160
+
+
 def test_identifier_slots():
     kinds = compare.identifier_slots(["numeric", "id", "id", "id"], ["numeric", "id", "numeric"])
     assert kinds == ["exempt", "matched", "mismatch", "mismatch"] and compare.identifier_score(kinds) == pytest.approx(1 / 3)
