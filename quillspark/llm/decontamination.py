@@ -174,7 +174,9 @@ def _gram(sent):
                 t = _terms(h)
                 for k, j in _pieces(rows):
                     if rows[j] > rows[k]:
-                        v = _unit(_windows(basis, t[rows[k] : rows[j]], rows[k : j + 1] - rows[k])[2][:: WINDOW // STRIDE])
+                        part = rows[k : j + 1] - rows[k]
+                        doc, firsts, v = _windows(basis, t[rows[k] : rows[j]], part)
+                        v = _unit(v[(firsts - part[doc]) % WINDOW == 0])  # passages from each document's first word on
                         total[:RANK] += v.T @ v
                         n += len(v)
         if n:

@@ -512,3 +512,11 @@ def test_every_word_of_an_item_is_in_a_latent_query(n):
     s = decontamination.Searcher([(1, " ".join(words), None)], latent, np.ones(decontamination.TERMS, np.float32), 0.8, 0.6, 0.46)
     assert len(set(terms.tolist())) == n
     assert (s.queries > 0).any(axis=1).all()
+
+
+def test_gram_has_the_passages_of_every_document():
+    sent = type("Sent", (), {"value": np.ones((decontamination.TERMS + 1, decontamination.RANK), np.float32)})
+    lens = [5, 8, 9, 16, 24, 25, 60, 3, 1]
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(f"w{k}" for k in range(n)) for n in lens])], ["text"])
+    (out,) = decontamination._gram(sent)(iter([batch]))
+    assert np.frombuffer(out.column("part")[decontamination.RANK].as_py(), np.float32)[0] == sum(-(-n // 24) for n in lens)
