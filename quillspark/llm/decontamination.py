@@ -1,14 +1,15 @@
 """Operator 10: benchmark decontamination by latent semantic retrieval.
 
-Words are hashed to 2**14 terms. A first pass over all texts counts in how many documents each term is. A second gives
+Words are hashed to 2**14 terms; one pass over all texts writes each word's term (two bytes) to a table in the shared folder, and
+the three passes of the latent space read that. The first counts in how many documents each term is. The second gives
 the randomised SVD's range finder: every passage (24 words, TF-IDF, length 1) is added with a random sign to one of 128
-rows, and Spark adds up the rows of all tasks. A third is its Rayleigh-Ritz step: the Gram matrix of all passages in that
+rows, and Spark adds up the rows of all tasks. The third is its Rayleigh-Ritz step: the Gram matrix of all passages in that
 subspace, whose eigenvectors and eigenvalues give the singular vectors and values. The last pass slides windows of 24
 words, 8 apart, over all texts, maps them to the latent space (each direction scaled to unit spread) and looks for pieces
 of 16 words of the items (all of them, and the last 16 words) whose cosine reaches a bound. Beside it an exact search by words
 leaves out nothing that the decision would take: a text with `paraphrase` of an item's n words has 3 at least of any n -
-paraphrase * n + 3 of them, so stretches with 3 of the item's rarest so many are candidates, too. In each candidate the
-longest common subsequence of words decides: contaminated if, in a stretch of twice the item's words and 24 more, it has
+paraphrase * n + 3 of them, so stretches with 3 of the item's rarest so many are candidates, too. Candidates with fewer of an
+item's words than the decision needs go (a table of hashed item words that never leaves one out); in each other the longest common subsequence of words decides: contaminated if, in a stretch of twice the item's words and 24 more, it has
 `threshold` of the item's words, or if it has `paraphrase` of them and the item's answer is there too, all of its words in
 order.
 
@@ -16,9 +17,12 @@ What comes to the driver has a fixed size: a count for each term, the 128 rows,
 
 The answer is the column `answer` of the benchmark if it has one, else the item's last five words.
 
-Defined results: rows only for contaminated documents, one for each document row and item. Null and empty texts and
-items match nothing. Items of fewer than 8 words match only where all their words stand in a row. Repeated rows of documents
-match alike, of items give one row; null ids pass. Empty tables give an empty result. Other columns are ignored.
+Defined results: rows only for contaminated documents, one for each document row and item; a text that matches several items
+equally well has a row for each, so there are no ties to decide. Null and empty texts and items match nothing. Items of fewer than
+8 words match only where all their words stand in a row. Texts of any length are read whole, in slices of documents; one document
+must fit in a task. Repeated rows of documents match alike, of items give one row; null ids pass, item ids keep their type. Empty
+tables give an empty result. Other columns are ignored. Work grows with windows x pieces of items, so the benchmark is bounded:
+MOST_ITEMS items and MOST_BYTES bytes, else an error.
 """
 
 from __future__ import annotations
@@ -30,14 +34,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from . import _words
-from ._common import checkpointed, python_ready
+from ._common import checkpointed, python_ready, stored
 
 TERMS, RANK = 1 << 14, 128
 WINDOW, STRIDE, PIECE = 24, 8, 16
 FEW = 3
-MOST_ITEMS = 200_000
+MOST_ITEMS, MOST_BYTES = 200_000, 256 << 20
+#: Tasks that add up sketches of 8 MB each, at most.
+SKETCH_TASKS = 4096
+MAYBE_BITS = 22
 
 
 def _terms(h: np.ndarray) -> np.ndarray:
@@ -50,11 +58,24 @@ def _word_slices(batch: pa.RecordBatch):
         yield i, h, rows
 
 
+def _coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of documents as the terms of their words and the words of each document."""
+    for batch in batches:
+        for _, h, rows in _word_slices(batch):
+            yield pa.RecordBatch.from_arrays([pa.array([_terms(h).tobytes()], pa.binary()), pa.array([np.diff(rows).astype(np.int32).tobytes()], pa.binary())], ["terms", "sizes"])
+
+
+def _decoded(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(terms, index of each document's first word, one more than documents) of each slice."""
+    for terms, sizes in zip(batch.column("terms"), batch.column("sizes"), strict=True):
+        yield np.frombuffer(terms.as_buffer(), np.uint16), np.concatenate([[0], np.cumsum(np.frombuffer(sizes.as_buffer(), np.int32), dtype=np.int64)])
+
+
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df, n = np.zeros(TERMS + 1, np.int64), 0
     for batch in batches:
-        for _, h, rows in _word_slices(batch):
-            t, k = _terms(h), len(rows) - 1
+        for t, rows in _decoded(batch):
+            k = len(rows) - 1
             owner = np.repeat(np.arange(k), np.diff(rows))
             for a in range(0, k, 64):  # one bit for each document and term
                 seen = np.zeros((min(64, k - a), TERMS), bool)
@@ -83,22 +104,22 @@ def _sketch(idf: np.ndarray):
 
         any_row = False
         for batch in batches:
-            for _, h, rows in _word_slices(batch):
-                if not len(h):
+            for t, rows in _decoded(batch):
+                if not len(t):
                     continue
                 any_row = True
-                t = _terms(h)
                 w = idf[t]
-                inside = np.arange(len(h)) - np.repeat(rows[:-1], np.diff(rows))
+                inside = np.arange(len(t)) - np.repeat(rows[:-1], np.diff(rows))
                 heads = np.flatnonzero(inside % WINDOW == 0)
                 norms = np.sqrt(np.maximum(np.add.reduceat(w * w, heads), 1e-12))
-                dice = _words.mix(h[heads] + inside[heads].astype(np.uint64))  # by the passage's first word and place
+                ends = np.minimum(heads + 2, len(t) - 1)
+                dice = _words.mix(t[heads] + (t[ends].astype(np.uint64) << np.uint64(16)) + (inside[heads].astype(np.uint64) << np.uint64(32)))  # by two words and the place
                 row = (dice >> np.uint64(32)).astype(np.int64) % RANK
                 scale = np.where(dice & np.uint64(1), 1.0, -1.0) / norms
-                sizes = np.diff(np.append(heads, len(h)))
+                sizes = np.diff(np.append(heads, len(t)))
                 cells.append(np.repeat(row * TERMS, sizes) + t)
                 values.append(w * np.repeat(scale, sizes))
-                held += len(h)
+                held += len(t)
                 if held > 2_000_000:
                     flush()
         flush()
@@ -170,8 +191,7 @@ def _gram(sent):
         basis = sent.value
         total, n = np.zeros((RANK + 1, RANK)), 0
         for batch in batches:
-            for _, h, rows in _word_slices(batch):
-                t = _terms(h)
+            for t, rows in _decoded(batch):
                 for k, j in _pieces(rows):
                     if rows[j] > rows[k]:
                         part = rows[k : j + 1] - rows[k]
@@ -190,7 +210,8 @@ def latent_space(docs: DataFrame, items: DataFrame) -> tuple[np.ndarray, np.ndar
     """The map from terms to the whitened latent space, from all texts of both tables, its last row zero; the idf of each term."""
     sc = docs.sparkSession.sparkContext
     texts = docs.select("text").unionByName(items.select("text"))
-    counts = texts.mapInArrow(_document_counts, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    terms = stored(texts.mapInArrow(_coded, "terms binary, sizes binary"), "terms").coalesce(SKETCH_TASKS)
+    counts = terms.mapInArrow(_document_counts, "term int, n long").groupBy("term").agg(F.sum("n").alias("n"))
     df, total = np.zeros(TERMS), 0
     for r in counts.collect():  # at most TERMS + 1 rows
         if r.term == TERMS:
@@ -198,10 +219,10 @@ def latent_space(docs: DataFrame, items: DataFrame) -> tuple[np.ndarray, np.ndar
         else:
             df[r.term] = r.n
     idf = np.log((total + 1) / (df + 1)).astype(np.float32) + np.float32(0.05)
-    rows = _sum_rows(texts.mapInArrow(_sketch(idf), "block int, part binary"), RANK, TERMS)
+    rows = _sum_rows(terms.mapInArrow(_sketch(idf), "block int, part binary"), RANK, TERMS)
     basis = np.linalg.qr(rows.T)[0] * idf[:, None]
     basis = np.vstack([basis, np.zeros((1, RANK))]).astype(np.float32)
-    found = _sum_rows(texts.mapInArrow(_gram(sc.broadcast(basis)), "block int, part binary"), RANK + 1, RANK)
+    found = _sum_rows(terms.mapInArrow(_gram(sc.broadcast(basis)), "block int, part binary"), RANK + 1, RANK)
     gram = found[:RANK] / max(found[RANK, 0], 1)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     spread = np.sqrt(np.maximum(values, 1e-6 * max(values[-1], 1e-12)))
@@ -255,6 +276,11 @@ class Searcher:
         self.sure, self.enough = ([math.ceil(n * (share - 1e-9)) for n in sizes] for share in (threshold, paraphrase))
         self.least = [max(1, min(x)) for x in zip(self.sure, self.enough, strict=True)]
         self._index(idf)
+        self.needed = np.array(self.least, np.int64)
+        self.salts = (_words.mix(np.arange(len(sizes), dtype=np.uint64)) >> np.uint64(64 - MAYBE_BITS)).astype(np.int64)
+        self.maybe = np.zeros(1 << MAYBE_BITS, bool)  # hashed (item, word)
+        for k, w in enumerate(self.words):
+            self.maybe[(np.array(w, np.uint64) >> np.uint64(64 - MAYBE_BITS)).astype(np.int64) ^ self.salts[k]] = True
         short = [k for k, w in enumerate(self.words) if len(w) < 8]
         self.short = {tuple(self.words[k]): k for k in short}
         self.heads = np.unique(np.array([self.words[k][0] for k in short], np.uint64))
@@ -293,6 +319,38 @@ class Searcher:
         i, d = i[first], d[first]
         return d, i, np.maximum(rows[d], p[last] - self.spans[i] + 1), np.minimum(rows[d + 1], p[first] + self.spans[i])
 
+    def _regions(self, h: np.ndarray, d: np.ndarray, i: np.ndarray, low: np.ndarray, high: np.ndarray, cosines: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Candidates of one row and item that touch, as one region with their highest cosine; without those of short items and those
+        in which no stretch of the item's span has as many of its words as a copy needs."""
+        long = np.array([len(w) >= 8 for w in self.words])[i] if len(i) else np.zeros(0, bool)
+        order = np.flatnonzero(long)[np.lexsort((low[long], i[long], d[long]))]
+        d, i, low, high, cosines = d[order], i[order], low[order], high[order], cosines[order]
+        if not len(d):
+            return d, i, low, high, cosines
+        # the furthest end so far inside each row and item: groups are lifted above each other, so that one running maximum does
+        group = np.cumsum(np.concatenate([[0], (d[1:] != d[:-1]) | (i[1:] != i[:-1])]))
+        lift = group * (len(h) + 1)
+        furthest = np.maximum.accumulate(high + lift)
+        heads = np.flatnonzero(np.concatenate([[True], (low + lift)[1:] > furthest[:-1]]))
+        low, high = low[heads], np.append(furthest[heads[1:] - 1], furthest[-1]) - lift[heads]
+        d, i, cosines = d[heads], i[heads], np.maximum.reduceat(cosines, heads)
+        enough = np.zeros(len(d), bool)
+        sizes = high - low
+        ends = np.cumsum(sizes)
+        a = 0
+        while a < len(d):  # about a million words at a time
+            b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 20), "right")))
+            n = sizes[a:b]
+            at = np.repeat(low[a:b] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            met = self.maybe[(h[at] >> np.uint64(64 - MAYBE_BITS)).astype(np.int64) ^ np.repeat(self.salts[i[a:b]], n)]
+            first = np.cumsum(n) - n
+            total = np.concatenate([[0], np.cumsum(met)])
+            there = np.arange(len(met))
+            held = total[np.minimum(there + np.repeat(self.spans[i[a:b]], n), np.repeat(first + n, n))] - total[there]
+            enough[a:b] = np.maximum.reduceat(held, first) >= self.needed[i[a:b]]
+            a = b
+        return d[enough], i[enough], low[enough], high[enough], cosines[enough]
+
     def _answered(self, item: int, words: list[int]) -> bool:
         answer = self.answers[item]
         return lcs(places(answer), len(answer), words) == len(answer)
@@ -347,24 +405,16 @@ class Searcher:
         exact = self._by_words(h, t, rows)
         near.append((*exact, np.full(len(exact[0]), -np.inf)))
         d, i, low, high, cosines = (np.concatenate(c) for c in zip(*near, strict=True))
-        order = np.lexsort((low, i, d))
-        d, i, low, high, cosines = d[order], i[order], low[order], high[order], cosines[order]
+        d, i, low, high, cosines = self._regions(h, d, i, low, high, cosines)
         heads = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (i[1:] != i[:-1])])) if len(d) else []
         ends = np.append(heads[1:], len(d)) if len(d) else []
         out = []
         for a, b in zip(heads, ends, strict=True):
             row, item = int(d[a]), int(i[a])
-            spans: list[list[int]] = []
-            for x, y in zip(low[a:b].tolist(), high[a:b].tolist(), strict=True):  # neighbouring candidates are one region
-                if spans and x <= spans[-1][1]:
-                    spans[-1][1] = max(spans[-1][1], y)
-                else:
-                    spans.append([x, y])
-            size = len(self.words[item])
-            best, hit = self._decide(item, [h[x:y].tolist() for x, y in spans]) if size >= 8 else (0, False)
+            best, hit = self._decide(item, [h[x:y].tolist() for x, y in zip(low[a:b].tolist(), high[a:b].tolist(), strict=True)])
             if hit:
                 cosine = float(cosines[a:b].max())
-                out.append((row, self.ids[item], best / size, cosine if cosine > -np.inf else self._cosine(h[rows[row] : rows[row + 1]], item)))
+                out.append((row, self.ids[item], best / len(self.words[item]), cosine if cosine > -np.inf else self._cosine(h[rows[row] : rows[row + 1]], item)))
         if len(self.heads):
             at = np.flatnonzero(np.isin(h, self.heads))
             seen = set()
@@ -377,7 +427,7 @@ class Searcher:
         return sorted(out, key=lambda x: (x[0], str(x[1])))
 
 
-def _search(sent, threshold: float, paraphrase: float, bound: float):
+def _search(sent, kind: pa.DataType, threshold: float, paraphrase: float, bound: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items, latent, idf = sent.value
         s = Searcher(items, latent, idf, threshold, paraphrase, bound)
@@ -385,7 +435,7 @@ def _search(sent, threshold: float, paraphrase: float, bound: float):
             for i, h, rows in _word_slices(batch):
                 found = s.search(h, rows)
                 if found:
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array([i + f[0] for f in found])), pa.array([f[1] for f in found], pa.int64()), pa.array([f[2] for f in found], pa.float64()), pa.array([f[3] for f in found], pa.float64())], ["doc_id", "item_id", "lcs_share", "cosine"])
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array([i + f[0] for f in found])), pa.array([f[1] for f in found], kind), pa.array([f[2] for f in found], pa.float64()), pa.array([f[3] for f in found], pa.float64())], ["doc_id", "item_id", "lcs_share", "cosine"])
 
     return run
 
@@ -395,16 +445,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     spark = docs.sparkSession
     python_ready(spark)
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
-    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text", answer.alias("answer")).distinct()
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    if (n := items.count()) > MOST_ITEMS:  # the benchmark is broadcast; its size is checked
-        raise ValueError(f"{n} benchmark items; search at most {MOST_ITEMS} at a time")
+    items = benchmark.where("text is not null").select("item_id", "text", answer.alias("answer")).distinct()
+    kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType
+    n, size = items.agg(F.count("*"), F.sum(F.octet_length("text") + F.coalesce(F.octet_length("answer"), F.lit(0)))).first()
+    if n > MOST_ITEMS or (size or 0) > MOST_BYTES:  # the benchmark is broadcast; its size is checked
+        raise ValueError(f"{n} benchmark items of {size} bytes; search at most {MOST_ITEMS} items and {MOST_BYTES} bytes at a time")
+    schema = f"doc_id {kind}, item_id {item_kind.simpleString()}, lcs_share double, cosine double"
     if not n:
-        return docs.select("doc_id").where("false").selectExpr("doc_id", "cast(null as long) item_id", "cast(null as double) lcs_share", "cast(null as double) cosine")
+        return docs.select("doc_id").where("false").selectExpr("doc_id", f"cast(null as {item_kind.simpleString()}) item_id", "cast(null as double) lcs_share", "cast(null as double) cosine")
     latent, idf = latent_space(docs, items)
     rows = sorted(((r.item_id, r.text, r.answer) for r in items.collect()), key=repr)
     sent = spark.sparkContext.broadcast((rows, latent, idf))
-    return docs.select("doc_id", "text").mapInArrow(_search(sent, threshold, paraphrase, bound), f"doc_id {kind}, item_id long, lcs_share double, cosine double")
+    return docs.select("doc_id", "text").mapInArrow(_search(sent, to_arrow_type(item_kind), threshold, paraphrase, bound), schema)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
