@@ -15,9 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where unset (tests, a local master) one of our own."""
+    """The folder that the cluster names in spark.checkpoint.dir; where unset, one of our own on a local master, else an error."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = "/tmp/quillspark-checkpoints"
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(named)
@@ -38,10 +40,10 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def python_ready(spark: SparkSession, rows: int = 1000) -> None:
-    """Ship this package to the executors and keep the Arrow batches that carry whole texts to Python small."""
+def python_ready(spark: SparkSession) -> None:
+    """Ship this package to the executors. Batches that carry texts to Python are bounded by spark.sql.execution.arrow.maxBytesPerBatch
+    and cut into slices there; no setting of the session is changed."""
     ship_package(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def free_name(df: DataFrame, base: str) -> str:
@@ -55,12 +57,13 @@ def free_name(df: DataFrame, base: str) -> str:
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a long, b long): rows (id, comp), comp the smallest id.
 
-    Alternating large-star and small-star steps; every step is a grouped minimum and an equi-join on narrow
+    Alternating large-star and small-star steps until nothing changes; every step is a grouped minimum and an equi-join on narrow
     rows, and a checkpoint ends each round. Only the row count and a checksum of a round come to the driver.
     """
     cur = checkpointed(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    last = None
-    for _ in range(50):
+    last, now = None, ()
+    while now != last:
+        last = now
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -69,12 +72,28 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("m").alias("y")), F.struct(F.col("v").alias("x"), F.col("m").alias("y")))).alias("e"))
         cur = checkpointed(small.select(F.col("e.x").alias("u"), F.col("e.y").alias("v")).where("u <> v").distinct())
         now = tuple(cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == last:
-            break
-        last = now
     return cur.select(F.col("u").alias("id"), F.col("v").alias("comp")).union(cur.select(F.col("v").alias("id"), F.col("v").alias("comp")).distinct())
 
 
+CELL_ROWS = 50_000
+
+
+def dealt_join(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """rows left-joined with groups (one row for each of `keys`, `size` of its rows among `total`): large groups meet in pieces.
+
+    Groups of over CELL_ROWS rows (more if `total` is over a million times that) are listed with their number of pieces, which is
+    at most a million short rows and is broadcast; their rows are dealt to the pieces, to each of which the group's row is copied.
+    groups should be stored or checkpointed, as it is read twice.
+    """
+    cell = max(CELL_ROWS, total // 1_000_000)
+    large = groups.where(F.col(size) > cell).select(*keys, F.ceil(F.col(size) / cell).cast("int").alias("_pieces"))
+    copies = groups.withColumn("_piece", F.explode(F.sequence(F.lit(0), F.when(F.col(size) > cell, F.ceil(F.col(size) / cell).cast("int") - 1).otherwise(0))))
+    number = F.xxhash64(F.spark_partition_id(), F.monotonically_increasing_id())
+    dealt = rows.withColumn("_n", number).join(F.broadcast(large), keys, "left")
+    dealt = dealt.withColumn("_piece", F.pmod("_n", F.coalesce("_pieces", F.lit(1))).cast("int")).drop("_n", "_pieces")
+    return dealt.join(copies, [*keys, "_piece"], "left").drop("_piece")
+
+
 def ranked(df: DataFrame, group: list[str], order: list[str], cell: str, out: str) -> DataFrame:
     """Rank rows from 0 without gaps in each group, in order of (cell, *order), with no task that holds a whole group.
 

@@ -2,17 +2,17 @@
 
 Documents are sets of five-word shingles. Equal sets form one class, so copies are never expanded. Classes that
 share a band of their MinHash signature are candidates; the bands miss a pair at the threshold with probability
-(1 - 0.8**6)**40 < 6e-6. Candidates are gathered as star edges (class, smallest class of the bucket), their connected
+(1 - 0.8**6)**40 < 6e-6. Candidates are gathered as star edges (class, first class of the bucket), their connected
 components are split into blocks, and each pair of blocks meets in one group of at most two blocks. There, pairs are
 compared 16 MinHash values at a time and dropped when the posterior probability of reaching the threshold falls below
 the tolerance; all others get their exact Jaccard similarity. Only one row a class leaves a group, so no step emits
 pairs, and the rows grow in proportion to the input except for components of many blocks.
 
 Defined results: a null or wordless text has no shingles, is in a class of its own and links to nothing. A text of one
-to four words is one shingle of all its words. Repeated rows are copies: each has its own output row and counts. A
-row with a null doc_id takes part; its class id is null only if all rows of its class have no id. An empty table gives
-an empty result. Other columns are ignored. Rows that share a doc_id should have one text; if they do not, their links
-are those of any of their texts.
+to four words is one shingle of all its words. Texts of any length are read whole; one must fit in a task. Repeated rows are copies:
+each has its own output row and counts. Rows with a null doc_id and rows of other texts with one doc_id take part like any other;
+the class id is the smallest doc_id of the rows linked, null only if none of them has one. Similarity of exactly the threshold links;
+there are no other ties. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words
-from ._common import checkpointed, components, python_ready, stored
+from ._common import checkpointed, components, dealt_join, python_ready, stored
 
 BANDS, ROWS, STEP, BLOCK = 40, 6, 16, 192
 
@@ -56,10 +56,10 @@ def _sketch(hashes: _words.MinHash, with_bands: bool):
                 part = batch.slice(i, j - i)
                 h, rows, *_ = _words.words(part.column("text"))
                 sets = [np.unique(s) for s in _words.shingles(h, rows)]
-                one = {"doc_id": part.column("doc_id")}
+                keys = np.array([[(s * _words.mix(s + np.uint64(k))).sum(dtype=np.uint64) for k in (1, 2)] for s in sets], np.uint64).reshape(-1, 2)
+                one = {"k1": pa.array(keys[:, 0].view(np.int64)), "k2": pa.array(keys[:, 1].view(np.int64))}
                 if with_bands:
-                    keys = np.array([[(s * _words.mix(s + np.uint64(k))).sum(dtype=np.uint64) for k in (1, 2)] for s in sets], np.uint64).reshape(-1, 2)
-                    one |= {"n": pa.array([len(s) for s in sets], pa.int64()), "k1": pa.array(keys[:, 0].view(np.int64)), "k2": pa.array(keys[:, 1].view(np.int64))}
+                    one |= {"doc_id": part.column("doc_id"), "n": pa.array([len(s) for s in sets], pa.int64())}
                     bands = []
                     for s in sets:
                         if len(s):
@@ -122,12 +122,10 @@ def _common(left: list[np.ndarray], right: list[np.ndarray], ask: np.ndarray) ->
 
 def _verify(threshold: float, least: list[tuple[int, int]], n_hashes: int):
     def sides(t: pa.Table):
-        return np.asarray(t["rid"]), np.asarray(t["size"]), [np.frombuffer(x, np.uint64) for x in t["grams"].to_pylist()], np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint32).reshape(-1, n_hashes)
+        return np.asarray(t["cid"]), np.asarray(t["size"]), [np.frombuffer(x, np.uint64) for x in t["grams"].to_pylist()], np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint32).reshape(-1, n_hashes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, b1, b2), t in groups(batches, ["comp", "b1", "b2"]):
-            if len(ids := np.asarray(t["rid"])) > 1:
-                t = t.filter(pa.array(np.concatenate([[True], ids[1:] != ids[:-1]])))  # repeated rows of one document
             if b1 == b2:
                 left = right = sides(t)
             else:
@@ -171,7 +169,7 @@ def _verify(threshold: float, least: list[tuple[int, int]], n_hashes: int):
                 if (low == root).all():
                     break
                 root = low
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(rows), pa.array(texts), pa.array(ids[root])], ["rid", "rows", "texts", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(rows), pa.array(texts), pa.array(ids[root])], ["cid", "rows", "texts", "root"])
 
     return run
 
@@ -184,35 +182,40 @@ def ngram_jaccard_join(docs: DataFrame, threshold: float = 0.8, tolerance: float
     python_ready(spark)
     hashes, least = _words.MinHash(BANDS * ROWS), fewest_matches(threshold, tolerance, STEP, BANDS * ROWS)
     src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = stored(src.mapInArrow(_sketch(hashes, True), "doc_id long, n long, k1 long, k2 long, bands array<long>"), "sketch")
-    # Classes of equal shingle sets; a text without words is alone.
-    classes = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rid"), F.count("*").alias("size"))
-    classes = checkpointed(classes)
-    reps = classes.where("rid is not null").select(F.col("rid").alias("doc_id"), "k1", "k2")
-    named = rows.where("n > 0").join(reps, ["doc_id", "k1", "k2"], "left_semi")
-    keyed = named.select(F.col("doc_id").alias("rid"), F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.min("rid").alias("low"), F.count("*").alias("c")).where("c > 1").select("key", "low")
-    stars = keyed.join(shared, "key").where("rid <> low").select(F.col("rid").alias("a"), F.col("low").alias("b"))
+    rows = stored(src.mapInArrow(_sketch(hashes, True), "k1 long, k2 long, doc_id long, n long, bands array<long>"), "sketch")
+    # Classes of equal shingle sets, numbered; a text without words is alone.
+    classes = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rid"), F.count("*").alias("size"), F.first("bands").alias("bands"))
+    classes = checkpointed(classes.withColumn("cid", F.monotonically_increasing_id()))
+    keyed = classes.select("cid", F.explode("bands").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("cid").alias("low"), F.count("*").alias("c")).where("c > 1").select("key", "low")
+    stars = keyed.join(shared, "key").where("cid <> low").select(F.col("cid").alias("a"), F.col("low").alias("b"))
     comp = components(stars)
     sizes = comp.groupBy("comp").agg(F.count("*").alias("c"))
     nb = F.ceil(F.col("c") / BLOCK).cast("int")
-    placed = comp.join(sizes, "comp").select("id", "comp", nb.alias("nb"), F.pmod(F.xxhash64("id"), nb).cast("int").alias("block"))
-    placed = checkpointed(placed.join(classes.select(F.col("rid").alias("id"), "size"), "id"))
-    wanted = placed.select(F.col("id").alias("doc_id"))
+    placed = comp.join(sizes, "comp").select(F.col("id").alias("cid"), "comp", nb.alias("nb"), F.pmod(F.xxhash64("id"), nb).cast("int").alias("block"))
+    placed = checkpointed(placed.join(classes.select("cid", "k1", "k2", "rid", "size"), "cid"))
+    # The texts of the classes that are placed: by the doc_id of one of their rows, or among all rows without one.
+    wanted = placed.where("rid is not null").select(F.col("rid").alias("doc_id")).distinct()
     if placed.count() <= 2_000_000:  # at most 16 MB
         wanted = F.broadcast(wanted)
-    grams = src.join(wanted, "doc_id", "left_semi").mapInArrow(_sketch(hashes, False), "doc_id long, grams binary, sig binary")
+    texts = src.join(wanted, "doc_id", "left_semi").select("text")
+    if not placed.where("rid is null").isEmpty():
+        texts = texts.unionByName(src.where("doc_id is null").select("text"))
+    grams = texts.mapInArrow(_sketch(hashes, False), "k1 long, k2 long, grams binary, sig binary")
+    grams = grams.groupBy("k1", "k2").agg(F.first("grams").alias("grams"), F.first("sig").alias("sig"))
     pairs = F.explode(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda k: F.struct(F.least("block", k).alias("b1"), F.greatest("block", k).alias("b2")))).alias("p")
-    met = placed.withColumnRenamed("id", "doc_id").join(grams, "doc_id").select("comp", F.col("doc_id").alias("rid"), "size", "block", "grams", "sig", pairs)
-    met = met.select("comp", "p.b1", "p.b2", "rid", "size", "block", "grams", "sig")
+    met = placed.join(grams, ["k1", "k2"]).select("comp", "cid", "size", "block", "grams", "sig", pairs)
+    met = met.select("comp", "p.b1", "p.b2", "cid", "size", "block", "grams", "sig")
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    met = met.repartition(n, "comp", "b1", "b2").sortWithinPartitions("comp", "b1", "b2", "rid")
-    found = checkpointed(met.mapInArrow(_verify(threshold, least, BANDS * ROWS), "rid long, rows long, texts long, root long"))
-    links = found.groupBy("rid").agg(F.sum("rows").alias("rows"), F.sum("texts").alias("texts"))
-    final = components(found.select(F.col("rid").alias("a"), F.col("root").alias("b")))
-    by_class = classes.join(links, "rid", "left").join(final.withColumnRenamed("id", "rid"), "rid", "left")
-    by_class = by_class.select("k1", "k2", F.coalesce("comp", "rid").alias("class_id"), F.col("rid").alias("copy_id"), F.col("size").alias("n_copies"), (F.coalesce("rows", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_text_links"))
-    linked = rows.where("n > 0").select("doc_id", "k1", "k2").join(by_class, ["k1", "k2"]).drop("k1", "k2")
+    met = met.repartition(n, "comp", "b1", "b2").sortWithinPartitions("comp", "b1", "b2", "cid")
+    found = checkpointed(met.mapInArrow(_verify(threshold, least, BANDS * ROWS), "cid long, rows long, texts long, root long"))
+    links = found.groupBy("cid").agg(F.sum("rows").alias("rows"), F.sum("texts").alias("texts"))
+    final = components(found.select(F.col("cid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "cid")
+    final = final.join(classes.select("cid", "rid"), "cid")
+    final = final.select("cid", "comp").join(final.groupBy("comp").agg(F.min("rid").alias("class_id")), "comp").select("cid", "class_id")
+    by_class = classes.drop("bands").join(links, "cid", "left").join(final, "cid", "left")
+    by_class = checkpointed(by_class.select("k1", "k2", F.coalesce("class_id", "rid").alias("class_id"), F.col("rid").alias("copy_id"), F.col("size").alias("n_copies"), (F.coalesce("rows", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("texts", F.lit(0)).alias("n_text_links")))
+    linked = dealt_join(rows.where("n > 0").select("doc_id", "k1", "k2"), by_class, ["k1", "k2"], "n_copies", rows.count()).drop("k1", "k2")
     alone = rows.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("copy_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"), F.lit(0).cast("long").alias("n_text_links"))
     return linked.unionByName(alone)
 
