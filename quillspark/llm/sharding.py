@@ -4,14 +4,18 @@ Documents with equal texts are linked; a link between shards is cut. Linked docu
 a document wants the open shard that holds most of its group (a histogram of the group by shard, joined back; ties go
 to the order of a hash of group and shard) if that is more than where it is. Of the wishes from shard i to shard j as
 many are granted as there are from j to i, and a share of the room that is left in j, so no shard outgrows its quota.
-Rounds end when nothing moves. Documents without links fill the room that is left: that keeps row counts at most one
+Rounds end when nothing moves: every move brings a document to at least as many of its group, so the sum of the squares of the
+groups' counts by shard grows with each. Where wishes are left but none can be granted, ties are drawn anew, TRIES times at most, as two
+groups may wait for each other's places. Documents without links fill the room that is left: that keeps row counts at most one
 apart (law `rows`).
 
 No group meets in one task: histograms are pre-aggregated, the join back to large groups is salted, and ranks come from
 counts by cell (see `_common.ranked`). The driver sees one count for each shard and pair of shards.
 
 Defined results: a null text has no bytes (size 1), no checksum and no links; empty texts are equal. Repeated rows are
-separate rows with equal texts. A null doc_id is an ordinary value. An empty table gives an empty result.
+separate rows with equal texts. A null doc_id is an ordinary value. Ties between rows go by a hash of doc_id and checksum. Texts of
+any length are read once, for their size and hashes. An empty table gives an empty result. Other columns are ignored by `shard` and
+kept by `shard_documents`, where those named like a result give way.
 """
 
 from __future__ import annotations
@@ -19,9 +23,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checkpointed, ranked
+from ._common import checkpointed, free_name, ranked, stored
 
-CELL_ROWS = 50_000
+CELL_ROWS, TRIES = 50_000, 6
 
 
 def _salts(group_size):
@@ -44,10 +48,17 @@ def quotas(wants: dict[tuple[int, int], int], free: list[int]) -> dict[tuple[int
     return out
 
 
-def shard(docs: DataFrame, n_shards: int = 8, rounds: int = 8) -> DataFrame:
-    """One row per row of docs (doc_id long, text string): doc_id, size, text_crc32, law, shard, slot, grown_shard."""
+def shard(docs: DataFrame, n_shards: int = 8, rounds: int | None = None) -> DataFrame:
+    """One row per row of docs (doc_id long, text string): doc_id, size, text_crc32, law, shard, slot, grown_shard. rounds: at most
+    so many; by default until nothing moves."""
+    return _shard(docs, n_shards, rounds, [])
+
+
+def _shard(docs: DataFrame, n_shards: int, rounds: int | None, carried: list[str]) -> DataFrame:
     sha = F.sha2("text", 256)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"), F.crc32("text").alias("text_crc32"), sha.alias("grp"))
+    # rows without a doc_id are told apart by their place
+    place = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).alias("place")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"), F.crc32("text").alias("text_crc32"), sha.alias("grp"), place, *carried)
     rows = checkpointed(rows)
     total = rows.count()
     cap = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
@@ -55,11 +66,11 @@ def shard(docs: DataFrame, n_shards: int = 8, rounds: int = 8) -> DataFrame:
     spread = 8
     linked_groups = rows.where("grp is not null").groupBy("grp").agg(F.count("*").alias("gsize")).where("gsize > 1")
     linked_groups = linked_groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    row_hash = F.xxhash64("doc_id", "text_crc32")
+    row_hash = F.xxhash64("doc_id", "text_crc32", "place")
     marked = checkpointed(rows.withColumn("salt", F.pmod(row_hash, F.lit(spread)).cast("int")).join(linked_groups, ["grp", "salt"], "left").drop("salt"))
     linked = marked.where("gsize is not null").withColumn("salt", F.pmod(row_hash, _salts(F.col("gsize"))).cast("int"))
     linked = linked.withColumn("cell", F.pmod(F.xxhash64("grp"), F.lit(cells)) * 1_000_000 + F.col("salt")).withColumn("one", F.lit(1))
-    linked = ranked(linked, ["one"], ["grp", "doc_id"], "cell", "r").withColumn("shard", F.pmod("r", F.lit(n_shards)).cast("int")).drop("r", "one")
+    linked = ranked(linked, ["one"], ["grp", "doc_id", "place"], "cell", "r").withColumn("shard", F.pmod("r", F.lit(n_shards)).cast("int")).drop("r", "one")
     linked = checkpointed(linked)
 
     def loads() -> list[int]:
@@ -67,11 +78,13 @@ def shard(docs: DataFrame, n_shards: int = 8, rounds: int = 8) -> DataFrame:
         return [found.get(s, 0) for s in range(n_shards)]
 
     load = loads()
-    for _ in range(rounds if sum(load) else 0):
+    done = stuck = 0
+    while sum(load) and (rounds is None or done < rounds):
+        done += 1
         free = [c - n for c, n in zip(cap, load, strict=True)]
         open_shards = [s for s, n in enumerate(free) if n > 0] or list(range(n_shards))
         held = linked.groupBy("grp", "shard").agg(F.count("*").alias("n"), F.first("gsize").alias("gsize"))
-        held = held.groupBy("grp").agg(F.collect_list(F.struct("n", F.xxhash64("grp", "shard").alias("tie"), "shard")).alias("held"), F.first("gsize").alias("gsize"))
+        held = held.groupBy("grp").agg(F.collect_list(F.struct("n", F.xxhash64("grp", "shard", F.lit(stuck)).alias("tie"), "shard")).alias("held"), F.first("gsize").alias("gsize"))
         held = held.select("grp", "held", F.array_max(F.filter("held", lambda x: x["shard"].isin(open_shards))).alias("best"), F.explode(F.sequence(F.lit(0), _salts(F.col("gsize")) - 1)).alias("salt"))
         here = F.filter("held", lambda x: x["shard"] == F.col("shard"))[0]
         asks = linked.join(held, ["grp", "salt"]).withColumn("target", F.when(F.col("best") > here, F.col("best.shard")).otherwise(F.col("shard"))).drop("held", "best")
@@ -79,9 +92,13 @@ def shard(docs: DataFrame, n_shards: int = 8, rounds: int = 8) -> DataFrame:
         wants = {(r.shard, r.target): r.n for r in asks.where("shard <> target").groupBy("shard", "target").agg(F.count("*").alias("n")).collect()}
         granted = quotas(wants, free)
         if not any(granted.values()):
-            break
+            stuck += 1
+            if not wants or stuck > TRIES:
+                break
+            continue
+        stuck = 0
         limit = F.coalesce(*[F.when((F.col("shard") == i) & (F.col("target") == j), F.lit(n)) for (i, j), n in granted.items()], F.lit(0))
-        moving = ranked(asks.where("shard <> target"), ["shard", "target"], ["grp", "doc_id"], "cell", "r")
+        moving = ranked(asks.where("shard <> target"), ["shard", "target"], ["grp", "doc_id", "place"], "cell", "r")
         moving = moving.withColumn("shard", F.when(F.col("r") < limit, F.col("target")).otherwise(F.col("shard"))).drop("r")
         linked = checkpointed(asks.where("shard = target").unionByName(moving).drop("target"))
         load = loads()
@@ -90,28 +107,23 @@ def shard(docs: DataFrame, n_shards: int = 8, rounds: int = 8) -> DataFrame:
         room += c - n
         ends.append(room)
     alone = marked.where("gsize is null").withColumn("cell", F.pmod(row_hash, F.lit(cells))).withColumn("one", F.lit(1))
-    alone = ranked(alone, ["one"], ["doc_id", "grp"], "cell", "r")
+    alone = ranked(alone, ["one"], ["doc_id", "grp", "place"], "cell", "r")
     alone = alone.withColumn("shard", F.coalesce(*[F.when(F.col("r") < end, F.lit(s)) for s, end in enumerate(ends)]))
-    keep = ["doc_id", "size", "text_crc32", "shard"]
+    keep = ["doc_id", "size", "text_crc32", "place", "shard", *carried]
     placed = checkpointed(linked.select(*keep).unionByName(alone.select(*keep)).withColumn("cell", F.pmod(row_hash, F.lit(cells))))
-    out = ranked(placed, ["shard"], ["doc_id", "text_crc32"], "cell", "slot")
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    out = ranked(placed, ["shard"], ["doc_id", "text_crc32", "place"], "cell", "slot")
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), F.col("shard").cast("int").alias("shard"), F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), *carried)
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 8, rounds: int = 8) -> DataFrame:
+def shard_documents(docs: DataFrame, n_shards: int = 8, rounds: int | None = None) -> DataFrame:
     """docs with size, text_crc32, law, shard, slot and grown_shard; columns of docs with such names give way.
 
-    Repeated rows (one doc_id and text) are dealt to the slots of that doc_id and text in an arbitrary order."""
-    from pyspark.sql import Window as W
-
-    plan = shard(docs, n_shards, rounds)
-    names = [c for c in plan.columns if c not in ("doc_id", "text_crc32")]
-    same = ["_id", "_crc"]
-    number = F.row_number().over(W.partitionBy(*same).orderBy("_order"))
-    left = docs.drop(*[c for c in docs.columns if c.lower() in {*names, "text_crc32"} or c in ("_id", "_crc", "_order", "_copy")])
-    left = left.withColumns({"_id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "_crc": F.coalesce(F.crc32("text"), F.lit(-1)), "_order": F.lit(0)}).withColumn("_copy", number)
-    right = plan.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.coalesce("text_crc32", F.lit(-1)).alias("_crc"), "text_crc32", *names, F.col("slot").alias("_order")).withColumn("_copy", number)
-    return left.drop("_order").join(right.drop("_order"), [*same, "_copy"]).drop("_id", "_crc", "_copy")
+    Rows are numbered in a stored copy, so that each finds its own place again, whatever ids and texts repeat."""
+    number = free_name(docs, "_number")
+    numbered = stored(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    plan = _shard(numbered, n_shards, rounds, [number]).drop("doc_id")
+    left = numbered.drop(*[c for c in docs.columns if c.lower() in {n.lower() for n in plan.columns if n != number}])
+    return left.join(plan, number).drop(number)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
