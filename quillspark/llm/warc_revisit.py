@@ -1,18 +1,23 @@
 """Operator 5: resolution of not-modified revisits in web archives.
 
 A revisit (a 304 answer stored without a body) takes its body from the latest earlier full response of the same
-canonical url. The as-of join runs inside (url, time bucket): each bucket's last full response is carried forward over
-the buckets of its url, one narrow row each, and a range frame finds the latest one inside the bucket. So no task holds
-all records of a url that holds a large part of the table, and bodies don't move.
+canonical url. Responses and times are first brought to one row for each (url, time); the as-of join runs over these inside (url,
+time bucket): each bucket's last full response is carried forward over the buckets of its url, one narrow row each, and a frame
+of the rows before finds the latest one inside the bucket. The revisits, however many share a url and a time, are then joined to
+their time's answer in pieces. So no task holds all records of a url or time that holds a large part of the table, and bodies
+don't move.
 
 Validators: if both sides have an ETag, the revisit's must be the response's (weak comparison: a leading W/ is ignored);
 else, if both have a Last-Modified, these must be equal; with neither there is nothing to hold against the response.
 The merged headers are those of the response, overwritten by those of the revisit but for the ones a 304 may not change.
 
+Header names are compared in lower case, as archives write them in any; of names that are then equal the last counts.
+
 Defined results: one row for each revisit. status is `resolved`, `validator_mismatch` (refers_to is set, no body) or
 `no_response`. A null url, time or record type: the record is neither a response nor resolved (`no_response`). Of
 responses at one time the largest record id counts; a response at the time of the revisit is not earlier. Repeated rows
-give repeated results. Null header maps count as empty. An empty table gives an empty result. Other columns are ignored.
+give repeated results. Null header maps count as empty. Headers of any length pass; bodies are not read. An empty table gives an
+empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ._common import CELL_ROWS, checkpointed, dealt_join
+
 #: Header fields that a not-modified answer may not change.
 NOT_MERGED = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade")
 
@@ -35,21 +42,33 @@ def canonical(url: Column) -> Column:
     return F.concat(host, F.regexp_replace(tail, "/*[?&]*$", ""))
 
 
-def resolve(records: DataFrame, buckets: int = 64) -> DataFrame:
-    """records: record_id, url string, ts long, record_type string (`response` or `revisit`), headers map<string,string>
-    (names in lower case), body_length long, body_digest string."""
-    typed = records.select("record_id", canonical(F.col("url")).alias("canonical_url"), F.col("ts").cast("long").alias("ts"), "record_type", F.coalesce("headers", F.create_map().cast("map<string,string>")).alias("headers"), "body_length", "body_digest")
+def lower_names(headers: Column) -> Column:
+    """Header maps with names in lower case; the last of equal names counts."""
+    entries = F.map_entries(F.coalesce(headers, F.create_map().cast("map<string,string>")))
+    names = F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"])))
+    return F.map_from_arrays(names, F.transform(names, lambda k: F.element_at(F.filter(entries, lambda e: F.lower(e["key"]) == k), -1)["value"]))
+
+
+def resolve(records: DataFrame, buckets: int | None = None) -> DataFrame:
+    """records: record_id, url string, ts long, record_type string (`response` or `revisit`), headers map<string,string>,
+    body_length long, body_digest string. buckets: of time; by default one for each 50,000 records, 64 at least."""
+    typed = records.select("record_id", canonical(F.col("url")).alias("canonical_url"), F.col("ts").cast("long").alias("ts"), "record_type", lower_names(F.col("headers")).alias("headers"), "body_length", "body_digest")
     typed = typed.where("record_type = 'response' or record_type = 'revisit'")
-    low, high = typed.agg(F.min("ts"), F.max("ts")).first()
-    width = max(1, ((high or 0) - (low or 0)) // buckets + 1)
+    spread = records.agg(F.min(F.col("ts").cast("long")).alias("low"), F.max(F.col("ts").cast("long")).alias("high"), F.count("*").alias("n")).first()
+    low, n = spread.low or 0, spread.n
+    width = max(1, ((spread.high or 0) - low) // (buckets or max(64, n // CELL_ROWS)) + 1)
     full = F.when((F.col("record_type") == "response") & F.col("canonical_url").isNotNull() & F.col("ts").isNotNull(), F.struct("ts", "record_id", F.col("headers").getItem("etag").alias("etag"), F.col("headers").getItem("last-modified").alias("modified"), F.to_json("headers").alias("headers"), "body_length", "body_digest"))
-    rows = typed.withColumn("full", full).withColumn("bucket", F.floor((F.col("ts") - F.lit(low or 0)) / width))
-    held = rows.groupBy("canonical_url", "bucket").agg(F.max("full").alias("own"))
+    seen = F.count_if(F.col("record_type") == "revisit").alias("revisits")
+    times = checkpointed(typed.where("canonical_url is not null and ts is not null").groupBy("canonical_url", "ts").agg(F.max(full).alias("full"), seen))
+    times = times.withColumn("bucket", F.floor((F.col("ts") - F.lit(low)) / width))
+    held = times.groupBy("canonical_url", "bucket").agg(F.max("full").alias("own"))
     earlier = F.max("own").over(W.partitionBy("canonical_url").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1))
-    held = held.select(F.col("canonical_url").alias("_u"), F.col("bucket").alias("_b"), earlier.alias("carried"))
-    inside = F.max("full").over(W.partitionBy("canonical_url", "bucket").orderBy("ts").rangeBetween(W.unboundedPreceding, -1))
-    asof = rows.withColumn("inside", inside).where("record_type = 'revisit'").join(held, (F.col("canonical_url") == F.col("_u")) & (F.col("bucket") == F.col("_b")), "left")
-    found = asof.withColumn("r", F.coalesce("inside", "carried"))
+    held = held.select("canonical_url", "bucket", earlier.alias("carried"))
+    inside = F.max("full").over(W.partitionBy("canonical_url", "bucket").orderBy("ts").rowsBetween(W.unboundedPreceding, -1))
+    answers = times.withColumn("inside", inside).where("revisits > 0").join(held, ["canonical_url", "bucket"], "left")
+    answers = checkpointed(answers.select("canonical_url", "ts", "revisits", F.coalesce("inside", "carried").alias("r")))
+    revisits = typed.where("record_type = 'revisit'")
+    found = dealt_join(revisits, answers, ["canonical_url", "ts"], "revisits", n)
     strong = lambda c: F.regexp_replace(c, "^W/", "")
     etag, modified = F.col("headers").getItem("etag"), F.col("headers").getItem("last-modified")
     same = F.when(etag.isNotNull() & F.col("r.etag").isNotNull(), strong(etag) == strong(F.col("r.etag"))).when(modified.isNotNull() & F.col("r.modified").isNotNull(), modified == F.col("r.modified")).otherwise(F.lit(True))
