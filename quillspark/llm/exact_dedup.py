@@ -1,13 +1,16 @@
 """Operator 6: exact deduplication by content-defined chunk recipes. DataFrame operations only.
 
 The text without white space is cut where its content says so: after the first sentence mark that follows 512
-characters, or after 8192 characters without one. A dictionary of all distinct chunks proves that no identifier (a
-64-bit hash, or SHA-256 should one collide) stands for two chunks; each chunk text moves once for that, and no document
-moves. A document is then its recipe, the ordered list of its chunks' identifiers; equal recipes are equal texts.
+characters; where there is none within 4096, after the first two characters in a row, 512 or more behind the start, whose numbers
+leave 3 divided by 8 (of the first 592 characters of Unicode); after 8192 characters at the latest. A dictionary of all distinct
+chunks proves that no identifier (MD5, or SHA-256 should one collide) stands for two chunks; each chunk text moves once for that,
+and no document moves. A document is then its recipe, the ordered list of its chunks' identifiers, which is stored; equal recipes are
+equal texts. The groups are joined back to the stored rows, large ones in pieces.
 
 Defined results: null counts as the empty text. Of equal texts the row with the most code points in the original text
 stays, then the smallest doc_id; a row without a doc_id stays only if no row of its group has one. Repeated rows (one
 doc_id) have equal rows in the result, all kept or none, and count in group_size. An empty table gives an empty result.
+Texts of any length are read whole, one in a task.
 Other columns are ignored.
 """
 
@@ -18,10 +21,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import checkpointed, dealt_join, stored
+
 SPACE = r"[\x20\x09-\x0D]+"
-CHUNK = r"(?s).{512,8192}?(?:[.!?。！？।]|\z)|.{1,8192}"
-SALTS = 16
-IDENTIFIERS: tuple[Callable[[Column], Column], ...] = (lambda c: F.xxhash64(c), lambda c: F.sha2(c, 256))
+#: Characters whose number leaves 3 divided by 8, for texts without marks.
+RARE = "[" + "".join(f"\\x{{{c:x}}}" for c in range(3, 592, 8)) + "]"
+CHUNK = rf"(?s).{{512,4096}}?(?:[.!?。！？।]|\z)|.{{512,8192}}?(?:{RARE}{{2}}|\z)|.{{1,8192}}"
+IDENTIFIERS: tuple[Callable[[Column], Column], ...] = (lambda c: F.unhex(F.md5(c)), lambda c: F.unhex(F.sha2(c, 256)))
 
 
 def chunks(text: Column) -> Column:
@@ -41,13 +47,12 @@ def exact_dedup(docs: DataFrame, identifiers: tuple[Callable[[Column], Column],
     ident = next((f for f in identifiers if clashes(norm, f).isEmpty()), None)
     if ident is None:
         raise ValueError("each of the identifiers stands for two chunks")
-    rows = norm.select("doc_id", "points", F.sha2("norm", 256).alias("text_sha256"), F.transform(chunks(F.col("norm")), ident).alias("recipe"))
-    best = F.max(F.struct("points", F.bitwise_not(F.col("doc_id")).alias("first")))
+    rows = stored(norm.select("doc_id", "points", F.sha2("norm", 256).alias("text_sha256"), F.transform(chunks(F.col("norm")), ident).alias("recipe")), "recipes")
+    # A row with a doc_id comes before one without.
+    best = F.max(F.struct(F.col("doc_id").isNotNull().alias("named"), "points", F.bitwise_not(F.col("doc_id")).alias("first")))
     groups = rows.groupBy("recipe").agg(best.alias("best"), F.count("*").alias("group_size")).where("group_size > 1")
-    # Only groups of two or more rows are joined back, each to SALTS parts of its rows.
-    stays = groups.select("recipe", F.bitwise_not(F.col("best.first")).alias("keep_id"), "group_size", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "points"), F.lit(SALTS)).cast("int"))
-    joined = dealt.join(stays, ["recipe", "salt"], "left")
+    stays = checkpointed(groups.select("recipe", F.bitwise_not(F.col("best.first")).alias("keep_id"), "group_size"))
+    joined = dealt_join(rows, stays, ["recipe"], "group_size", rows.count())
     keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
     return joined.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 
