@@ -8,12 +8,14 @@ compression behind a run of zeros, without which zstandard stores a few words as
 the least margin is rejected. Whole texts are read.
 
 Learned from: text and lang of documents whose crc32(doc_id as text) mod 3 is not 1. Bounds of the sample: `per_language`
-documents, `excerpt` characters of each, 112 KB a dictionary, `MOST_LANGUAGES` languages (the most frequent).
+documents, `excerpt` characters of each, 112 KB a dictionary. More than MOST_LANGUAGES labels raise an error, as every dictionary is
+sent to every executor. The sample takes two passes: one counts rows and distinct texts (about) by language, one draws the texts whose
+hash is under a limit that lets about four times as many through as are wanted, and the first of these by hash are taken.
 
 Defined results: a null text and one without a letter are `und` with score 0, rejected. Ties go to the language with
 more labelled rows, then the first by name. Without any labelled row all is `und`. A null doc_id is not learned from
-and not held out. Repeated rows are judged alike; an empty table gives an empty result. lang, source and other columns
-play no part in a prediction.
+and not held out. Texts of any length are read whole. Repeated rows are judged alike; an empty table gives an empty result. lang,
+source and other columns play no part in a prediction.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ._common import python_ready
 
-BLOCK, PIECE, DICT_BYTES, MOST_LANGUAGES = 4096, 3, 112 * 1024, 256
+BLOCK, PIECE, DICT_BYTES, MOST_LANGUAGES = 4096, 3, 112 * 1024, 1000
 LEAD = b"0" * 64 + b" "
 _LETTERS = re.compile(r"[\W\d_]+")
 
@@ -52,14 +54,22 @@ def train(docs: DataFrame, per_language: int = 400, excerpt: int = 800) -> dict[
     """Dictionaries by language, the most frequent first."""
     rest = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3))
     usable = docs.where((rest != 1) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    texts = usable.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n"))
-    counts = texts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
-    order = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("h"), "h"))
-    chosen = texts.withColumn("r", order).where(F.col("r") <= per_language).where(F.col("lang").isin([r.lang for r in counts])).select("doc_id", "lang")
+    usable = usable.select("lang", "text", F.xxhash64("text").alias("h"))
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("h").alias("texts")).limit(MOST_LANGUAGES + 1).collect()
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages")
+    counts.sort(key=lambda r: (-r.n, r.lang))
+    if not counts:
+        return {}
+    order = F.xxhash64("h")
+    share = {r.lang: min(1.0, 4 * max(per_language, 25) / r.texts) for r in counts}
+    limit = F.try_element_at(F.create_map(*[F.lit(x) for lang, q in share.items() for x in (lang, min(2**63 - 1, int((2 * q - 1) * 2**63)))]).cast("map<string,long>"), F.col("lang"))
     cut = F.substring(F.col("text"), (F.length("text") / 3).cast("int") + 1, F.lit(excerpt))
-    rows = usable.select("doc_id", "lang", cut.alias("x")).join(F.broadcast(chosen), ["doc_id", "lang"]).collect()  # bounded, see above
+    drawn = usable.where(order <= limit).groupBy("lang", order.alias("o"), "h").agg(F.min(cut).alias("x"))
+    place = F.row_number().over(W.partitionBy("lang").orderBy("o", "h"))
+    rows = drawn.withColumn("r", place).where(F.col("r") <= per_language).select("lang", "x").collect()  # per_language rows a language at most
     by: dict[str, list[str]] = {r.lang: [] for r in counts}
-    for r in sorted(rows, key=lambda r: (r.doc_id, r.x)):
+    for r in sorted(rows, key=lambda r: r.x):
         by[r.lang].append(r.x)
     made = {lang: dictionary(x) for lang, x in by.items()}
     return {lang: d for lang, d in made.items() if len(d) >= 8}
