@@ -8,8 +8,10 @@ fit, the longest (host and path together) wins; without one, any blocking patter
 
 Defined results: the host is what follows the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased (user names
 and ports stay part of it); the path is what then follows up to `?`, `#` or the end. A null url and one without `://`
-have empty host and path, fit no host rule, and are allowed unless a pattern blocks them (null: allowed). Repeated rows
-are judged alike; an empty table gives an empty result. Other columns pass through; clashing ones give way.
+have empty host and path, fit no host rule, and are allowed unless a pattern blocks them (null: allowed). Urls of any
+length are read whole; line breaks are ordinary characters. Of host rules of one length the greater name wins. Repeated rows are
+judged alike; an empty table gives an empty result. Other columns pass through; clashing ones give way, also where one of them
+is the url column itself.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import python_ready
+from ._common import free_name, python_ready
 
 MOST_RULES = 500_000  # a rule list is configuration; its size bounds what is sent to the executors
 
@@ -39,9 +41,11 @@ class Rule:
     def name(self) -> str:
         return self.host + self.path or self.pattern
 
-    def regex(self) -> str:
-        """Over the lower-cased host, then the path as it is; over the lower-cased url for patterns."""
-        return self.pattern or rf"(?:^|\.){re.escape(self.host)}\n{re.escape(self.path)}"
+    def regexes(self) -> tuple[re.Pattern, ...]:
+        """For the lower-cased host and for the path as it is; for patterns one for the lower-cased url."""
+        if self.pattern:
+            return (re.compile(self.pattern, re.ASCII),)
+        return re.compile(rf"(?:\A|\.){re.escape(self.host)}\Z"), re.compile(rf"\A{re.escape(self.path)}")
 
     def tokens(self) -> list[str]:
         if self.pattern:
@@ -87,7 +91,7 @@ def _judge(rules: tuple[Rule, ...], rarity: dict[str, int], url_at: str, keep: l
         always = []
         for r in rules:
             tokens = r.tokens()
-            entry = (r, re.compile(r.regex(), 0 if r.host else re.ASCII))
+            entry = (r, r.regexes())
             if tokens:
                 index.setdefault(min(tokens, key=lambda t: (rarity.get(t, 0), t)), []).append(entry)
             else:
@@ -98,12 +102,11 @@ def _judge(rules: tuple[Rule, ...], rarity: dict[str, int], url_at: str, keep: l
                 host, path = host_path(url)
                 named, blocked = None, False
                 low = (url or "").lower()
-                at = f"{host}\n{path}"
-                for rule, regex in [*always, *(e for t in url_tokens(low) if t in index for e in index[t])]:
+                for rule, regexes in [*always, *(e for t in url_tokens(low) if t in index for e in index[t])]:
                     if rule.host:
-                        if host and (m := regex.search(at)) and m and (named is None or (len(rule.name), rule.name) > (len(named.name), named.name)):
+                        if host and regexes[0].search(host) and regexes[1].search(path) and (named is None or (len(rule.name), rule.name) > (len(named.name), named.name)):
                             named = rule
-                    elif not blocked and rule.verdict == "block" and regex.search(low):
+                    elif not blocked and rule.verdict == "block" and regexes[0].search(low):
                         blocked = True
                 out.append((host, path, named.name if named else None, named.verdict if named else "block" if blocked else "allow"))
             cols = list(zip(*out, strict=True)) if out else [[]] * 4
@@ -116,7 +119,7 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = (*HOST_RULES, *PATTE
     """pages with host, path, rule (of the host rule that decides, else null) and verdict."""
     if len(rules) > MOST_RULES:
         raise ValueError(f"over {MOST_RULES} rules")
-    python_ready(pages.sparkSession, 10_000)
+    python_ready(pages.sparkSession)
     wanted = sorted({t for r in rules for t in r.tokens()})
     runs = F.array_distinct(F.regexp_extract_all(F.lower(F.col(url)), F.lit("[a-z0-9]+"), F.lit(0)))
     counted = pages.select(F.explode(F.array_intersect(runs, F.array(*map(F.lit, wanted)))).alias("t")).groupBy("t").agg(F.count("*").alias("n"))
@@ -125,7 +128,8 @@ def filter_urls(pages: DataFrame, rules: tuple[Rule, ...] = (*HOST_RULES, *PATTE
     keep = [c for c in pages.columns if c.lower() not in new]
     fields = [pages.schema[c].simpleString().split(":", 1)[1] for c in keep]
     schema = ", ".join([*(f"`{c}` {t}" for c, t in zip(keep, fields, strict=True)), *(f"{c} string" for c in new)])
-    return pages.select(*(f"`{c}`" for c in keep)).mapInArrow(_judge(rules, rarity, url, keep, [*keep, *new]), schema)
+    at = free_name(pages, "_url")
+    return pages.select(*(f"`{c}`" for c in keep), F.col(url).alias(at)).mapInArrow(_judge(rules, rarity, at, keep, [*keep, *new]), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
