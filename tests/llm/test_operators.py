@@ -145,7 +145,7 @@ def test_rake_meets_targets(spark):
     cells = [(f"s{a}", b, c, rng.randrange(100, 1000)) for a in range(4) for b in ("en", "de") for c in ("prose", "code")]
     df = spark.createDataFrame(cells, "source string, lang string, topic string, tokens long")
     target = {"source": {f"s{k}": 1.0 for k in range(4)}, "lang": {"en": 3.0, "de": 1.0}, "topic": {"prose": 1.0, "code": 1.0}}
-    out = mixing.rake(df.coalesce(1), target, rate=0.1, rounds=25).toPandas()
+    out = mixing.rake(df.coalesce(1), target, rate=0.1).toPandas()
     out["kept"] = out.tokens * out.probability
     total = out.kept.sum()
     assert total == pytest.approx(0.1 * out.tokens.sum(), rel=1e-6)
@@ -518,5 +518,5 @@ def test_gram_has_the_passages_of_every_document():
     sent = type("Sent", (), {"value": np.ones((decontamination.TERMS + 1, decontamination.RANK), np.float32)})
     lens = [5, 8, 9, 16, 24, 25, 60, 3, 1]
     batch = pa.RecordBatch.from_arrays([pa.array([" ".join(f"w{k}" for k in range(n)) for n in lens])], ["text"])
-    (out,) = decontamination._gram(sent)(iter([batch]))
+    (out,) = decontamination._gram(sent)(decontamination._coded(iter([batch])))
     assert np.frombuffer(out.column("part")[decontamination.RANK].as_py(), np.float32)[0] == sum(-(-n // 24) for n in lens)
