@@ -173,6 +173,43 @@ def pack_characters(text: str | None, most: int = 300) -> list[str]:
     return pack([s for s in re.split(r"(?<=[.!?])\s+", (text or "").strip()) if s], " ", commas)
 
 
+EAST_ASIAN = re.compile("[\u4e00-\u9fff\u3040-\u30ff\uac00-\ud7af]")
+
+
+def cut_at_words(text: str, most: int) -> list[str]:
+    """Pieces of at most `most` characters, cut behind marks, then at spaces, or anywhere in scripts without spaces (over 0.3 of the
+    letters) and in longer words."""
+    letters = re.sub(r"\s+", "", text)
+    east = bool(letters) and len(EAST_ASIAN.findall(letters)) / len(letters) > 0.3
+    out: list[str] = []
+    for part in re.split(r"(?<=[、。，；：！？])" if east else r"(?<=[,;:.!?])\s+", text):
+        if len(part) <= most:
+            out.append(part)
+        elif east:
+            out += [part[k : k + most] for k in range(0, len(part), most)]
+        else:
+            now = ""
+            for word in part.split():
+                pieces = [word[k : k + most] for k in range(0, len(word), most)]
+                for piece in pieces:
+                    if now and len(now) + 1 + len(piece) <= most and piece is pieces[0]:
+                        now += " " + piece
+                    else:
+                        out += [now] if now else []
+                        now = piece
+            out += [now] if now else []
+    return [p for p in out if p]
+
+
+def segmented(text: str | None, least: int, most: int) -> list[str]:
+    """Paragraphs, their sentences, short ones joined, long ones cut; each piece has at most `most` characters."""
+    out: list[str] = []
+    for paragraph in filter(None, (p.strip() for p in re.split(r"\n\s*\n", text or ""))):
+        sentences = [s for s in re.split(r"(?<=[.!?])\s+|(?<=[。！？])\s*", paragraph) if s]
+        out += [piece for s in merge_short(sentences, least, most) for piece in ([s] if len(s) <= most else cut_at_words(s, most))]
+    return out
+
+
 def merge_short(pieces: list[str], least: int, most: int) -> list[str]:
     """Neighbours joined while a piece has fewer than `least` characters and both fit `most`."""
     out: list[str] = []

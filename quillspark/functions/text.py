@@ -70,14 +70,10 @@ def chunk_bucket(n: Column) -> Column:
 
 
 def punctuation_boundary(text: Column) -> Column:
-    t = strip(text)
-    out = None
-    for label, ends in ENDINGS:
-        cond = None
-        for e in ends:
-            cond = t.endswith(e) if cond is None else cond | t.endswith(e)
-        out = F.when(cond, label) if out is None else out.when(cond, label)
-    return F.when(t != "", out)
+    """The label of the mark that ends a text, white space aside; null for an empty text. Only the end of the text is looked at."""
+    end = F.regexp_extract(text, r"(\.\.\.|\S)\s*$", 1)
+    labels = {e: label for label, ends in ENDINGS for e in ends}
+    return lookup(end, labels)
 
 
 def is_heading_paragraph(text: Column) -> Column:
@@ -153,9 +149,21 @@ def is_id_like(token: Column) -> Column:
     return mixed | t.rlike("^[0-9]{4,}$")
 
 
+#: Letters whose case folding is not their lower case (Unicode, full folding of the scripts in use).
+FOLDED = {"ß": "ss", "ẞ": "ss", "ς": "σ", "ſ": "s", "ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ŉ": "ʼn", "µ": "μ", "ϐ": "β", "ϑ": "θ", "ϕ": "φ", "ϖ": "π", "ϰ": "κ", "ϱ": "ρ", "ϵ": "ε"}
+
+
+def casefold(text: Column) -> Column:
+    """Lower case in which ß is ss, a final sigma is a sigma, and ligatures are letters."""
+    one = {k: v for k, v in FOLDED.items() if len(v) == 1}
+    low = F.translate(F.lower(text), "".join(one), "".join(one.values()))
+    special = low.rlike("[" + "".join(k for k, v in FOLDED.items() if len(v) > 1) + "]")
+    return F.when(special, replace_in_order(low, {k: v for k, v in FOLDED.items() if len(v) > 1})).otherwise(low)
+
+
 def text_hash(text: Column) -> Column:
-    """SHA-256 of the lower-cased text with single spaces."""
-    return F.sha2(strip(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\s+", " ")), 256)
+    """SHA-256 of the case-folded text with single spaces."""
+    return F.sha2(strip(F.regexp_replace(casefold(F.coalesce(text, F.lit(""))), r"\s+", " ")), 256)
 
 
 def replace_in_order(text: Column, table: dict[str, str]) -> Column:

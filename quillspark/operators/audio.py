@@ -104,8 +104,8 @@ def partials(frames: Column, size: int, step: int, least: float = 0.8) -> Column
 
 def padded_rows(rows: DataFrame, vector: str) -> DataFrame:
     """Arrays filled with zeros up to the longest."""
-    most = rows.agg(F.max(F.size(vector))).first()[0] or 0  # one number
-    return rows.withColumn(vector, F.concat(vector, F.array_repeat(F.lit(0.0).cast("float"), F.lit(most) - F.size(vector))))
+    most = rows.agg(F.coalesce(F.max(F.size(vector)), F.lit(0)).alias("_most"))  # one row
+    return rows.join(F.broadcast(most)).withColumn(vector, F.concat(vector, F.array_repeat(F.lit(0.0).cast("float"), F.col("_most") - F.size(vector)))).drop("_most")
 
 
 def binned(value: Column, step: float = 0.05) -> Column:

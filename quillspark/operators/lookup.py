@@ -6,12 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MOST_BROADCAST = 1_000_000
+MOST_BROADCAST = 64 << 20
 
 
 def small(df: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
-    """Marked for broadcast if it has at most `most` rows; else as it is, and the planner decides."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+    """Marked for broadcast if the plan's statistics bound it to `most` bytes; else as it is, and the planner decides as it runs."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return F.broadcast(df) if int(str(size)) <= most else df
 
 
 def with_override(rows: DataFrame, overrides: DataFrame, name: str = "override") -> DataFrame:

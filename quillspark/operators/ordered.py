@@ -154,3 +154,25 @@ def changed_lines(lines: DataFrame, keys: list[str], order: str, value: str) ->
     """Rows whose value differs from that of the row before."""
     before = F.lag(value).over(W.partitionBy(*keys).orderBy(order))
     return lines.withColumn("_b", before).where(~F.col(value).eqNullSafe(F.col("_b")) | F.col("_b").isNull()).drop("_b")
+
+
+def progress_lines(lines: DataFrame, keys: list[str], order: str, every: int, hidden: tuple[str, ...] = ()) -> DataFrame:
+    """Log lines (line) with what is read from them and whether they are shown: sampling lines give tokens, total and rate and are hidden;
+    chunk lines are shown first, last, each `every`-th, not while their rate is still computed, and not when equal to the chunk line
+    shown before; lines with a hidden part are hidden. Empty lines go."""
+    text = F.trim("line")
+    rows = lines.where("line <> ''")
+    bar = text.startswith("Sampling:")
+    number = lambda p, k=1: F.nullif(F.regexp_extract(text, p, k), F.lit(""))
+    chunk = ~bar & text.contains("\U0001f300 Chunk")
+    at, of = number("\U0001f300 Chunk\\s+([0-9]+)/([0-9]+)").cast("long"), number("\U0001f300 Chunk\\s+([0-9]+)/([0-9]+)", 2).cast("long")
+    waits = text.contains("Realtime: Calculating...")
+    due = chunk & ~waits & (at.isNull() | (at == 1) | (at % every == 0) | (at == of))
+    rows = rows.withColumns({"tokens": F.when(bar, number("([0-9]+)/([0-9]+)")).cast("long"), "total": F.when(bar, number("([0-9]+)/([0-9]+)", 2)).cast("long"), "rate": F.when(bar, number("([0-9]+\\.?[0-9]*)it/s")).cast("double")})
+    rows = rows.withColumn("_said", F.when(due & at.isNotNull(), text))
+    before = F.last("_said", ignorenulls=True).over(W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, -1))
+    other = F.lit(True)
+    for part in hidden:
+        other = other & ~text.contains(part)
+    shown = F.when(bar, False).when(chunk, due & ~F.coalesce(F.col("_said") == F.col("_before"), F.lit(False))).otherwise(other)
+    return rows.withColumn("_before", before).withColumn("shown", shown).drop("_said", "_before")

@@ -118,15 +118,21 @@ def schedule_batches(spark, d):
 
 
 def text_f1(spark, d):
-    docs = t(spark, d, "documents").select("doc_id", F.lower("text").alias("x"))
-    near = t(spark, d, "documents").select((F.col("doc_id") + 1).alias("doc_id"), F.lower("text").alias("y"))
-    words = lambda c: F.array_distinct(F.filter(F.split(F.regexp_replace(c, r"[^\p{L}\p{N}\s]", ""), r"\s+"), lambda w: w != ""))
-    j = docs.join(near, "doc_id").select("doc_id", words(F.col("x")).alias("a"), words(F.col("y")).alias("b"))
+    words = lambda c: F.array_distinct(F.filter(F.split(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}\s]", ""), r"\s+"), lambda w: w != ""))
+    docs = t(spark, d, "documents").select("doc_id", words(F.col("text")).alias("a"))  # sets, not texts, are shuffled
+    j = docs.join(docs.select((F.col("doc_id") + 1).alias("doc_id"), F.col("a").alias("b")), "doc_id")
     na, nb, both = F.size("a"), F.size("b"), F.size(F.array_intersect("a", "b"))
     f1 = F.when((na == 0) & (nb == 0), 1.0).when((na == 0) | (nb == 0), 0.0).otherwise(2.0 * both / (na + nb))
     return j.select("doc_id", f1.alias("f1"))
 
 
+def failed_ids(failed, most):
+    """The first ids as text, and how many more there are; only `most` ids and one count meet in a task."""
+    first = failed.orderBy("chunk_id").limit(most).agg(F.array_join(F.transform(F.array_sort(F.collect_list("chunk_id")), lambda x: x.cast("string")), ", ").alias("first_ids"))
+    more = failed.agg(F.greatest(F.count("*") - most, F.lit(0)).alias("n_more"))
+    return first.join(F.broadcast(more))  # one row each
+
+
 def packed(spark, d):
     s = t(spark, d, "documents").select("doc_id", X.sentences(F.col("text")).alias("sentences"))
     return ordered.pack_to_min(s, ["doc_id"], 20)
@@ -179,23 +185,18 @@ SELECT orderkey, island, min(cid) AS chapter_id, CASE WHEN min(cid) = 0 THEN 'Fr
     ),
     "chapter_subdivide": (lambda s, d: scheduling.subdivide(ordered.islands(chapter_runs(s, d), ["orderkey"], ["index"], "chapter_id"), ["orderkey", "island"], 10.0), None),
     "chapter_export_plan": (lambda s, d: scheduling.export_plan(ordered.islands(chapter_runs(s, d), ["orderkey"], ["index"], "chapter_id"), ["orderkey"], "headings_or_minutes", 10.0), None),
-    "sentence_packs": (packed, None),
     "chunk_word_totals": (
         lambda s, d: packed(s, d).groupBy("doc_id").agg(F.sum(X.word_count(F.col("text"))).alias("n_words")),
         rf"WITH {SENT} SELECT doc_id, sum(len(regexp_extract_all(text, '\S+'))) AS n_words FROM s GROUP BY doc_id",
     ),
-    "small_chunks_combined": (
-        lambda s, d: ordered.combine_small(sentence_rows(s, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "text"))).alias("m")).select("doc_id", F.transform("m", lambda x, i: F.struct(x["text"].alias("text"), (i == F.size("m") - 1).alias("end"))).alias("chunks")), ["doc_id"], 4, 28),
-        None,
-    ),
     "missing_ids": (
-        lambda s, d: lookup.missing_ids(t(s, d, "lineitem").where("l_suppkey % 3 <> 0").select("l_orderkey", "l_linenumber"), ["l_orderkey"], "l_linenumber"),
-        """WITH p AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey % 3 <> 0), m AS (SELECT l_orderkey, max(l_linenumber) AS k FROM p GROUP BY 1)
+        lambda s, d: lookup.missing_ids(t(s, d, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey"], "l_linenumber"),
+        """WITH p AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), m AS (SELECT l_orderkey, max(l_linenumber) AS k FROM p GROUP BY 1)
 SELECT l_orderkey, l_linenumber FROM (SELECT l_orderkey, unnest(range(1, k + 1)) AS l_linenumber FROM m) ANTI JOIN p USING (l_orderkey, l_linenumber)""",
     ),
     "resume_points": (
-        lambda s, d: lookup.resume_point(t(s, d, "lineitem").where("l_suppkey % 3 <> 0").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber")), ["l_orderkey"], "l_linenumber"),
-        """WITH p AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem WHERE l_suppkey % 3 <> 0), m AS (SELECT l_orderkey, max(l_linenumber) AS k FROM p GROUP BY 1)
+        lambda s, d: lookup.resume_point(t(s, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber")), ["l_orderkey"], "l_linenumber"),
+        """WITH p AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem), m AS (SELECT l_orderkey, max(l_linenumber) AS k FROM p GROUP BY 1)
 SELECT l_orderkey, min(n) AS resume_at FROM (SELECT l_orderkey, unnest(range(1, k + 2)) AS n FROM m) r ANTI JOIN p ON p.l_orderkey = r.l_orderkey AND p.l_linenumber = r.n GROUP BY l_orderkey""",
     ),
     "completeness": (
@@ -297,7 +298,7 @@ SELECT chunk_id, attempt, score, score < 9.0 AS still_failed, n_attempts FROM (S
         f"WITH {REPORT} SELECT min(error) || CASE WHEN count(DISTINCT error) > 1 THEN ' (+' || (count(DISTINCT error) - 1) || ' distinct)' ELSE '' END AS summary, count(*) AS n FROM r WHERE error IS NOT NULL",
     ),
     "failed_id_list": (
-        lambda s, d: lookup.confirmed_failures(report(s, d)).groupBy().agg(F.array_join(F.transform(F.slice(F.array_sort(F.collect_list("chunk_id")), 1, 20), lambda x: x.cast("string")), ", ").alias("first_ids"), F.greatest(F.count("*") - 20, F.lit(0)).alias("n_more")),
+        lambda s, d: failed_ids(lookup.confirmed_failures(report(s, d)).select("chunk_id"), 20),
         f"WITH {REPORT}, f AS (SELECT chunk_id FROM r WHERE error IS NULL AND NOT passed) SELECT (SELECT string_agg(chunk_id::VARCHAR, ', ' ORDER BY chunk_id) FROM (SELECT chunk_id FROM f ORDER BY chunk_id LIMIT 20)) AS first_ids, greatest(count(*) - 20, 0) AS n_more FROM f",
     ),
     "term_evidence": (
@@ -411,8 +412,8 @@ SELECT vec_id, n, round(sqrt(list_sum(list_transform(v, lambda x: x * x)) / n),
         """SELECT event_id, round_even(greatest(0.1, least(0.65, 0.4 + (floor(value) / 50 - 1) * 0.5)), 2) AS exaggeration, round_even(greatest(0.1, least(2.35, 0.7 + (floor(value) / 50 - 1) * 0.3)), 2) AS temperature FROM events""",
     ),
     "retry_parameters": (
-        lambda s, d: event_attempts(s, d).where("attempt between 1 and 2").select("chunk_id", "attempt", audio.retry_parameters(F.struct(F.lit(0.8).alias("temperature"), F.lit(0.5).alias("exaggeration"), F.lit(0.5).alias("cfg_weight")), F.col("score") / 10, F.col("attempt"), {"temperature": 0.1, "exaggeration": 0.15, "cfg_weight": 0.1}).alias("p")).select("chunk_id", "attempt", F.round("p.temperature", 6).alias("temperature"), F.round("p.exaggeration", 6).alias("exaggeration"), F.round("p.cfg_weight", 6).alias("cfg_weight")),
-        f"""WITH a AS (SELECT user_id AS chunk_id, row_number() OVER ({EV}) - 1 AS attempt, floor(value) / 100 AS q FROM events), k AS (SELECT *, CASE WHEN q < 0.3 THEN 2.0 WHEN q < 0.6 THEN 1.0 ELSE 0.5 END AS f FROM a WHERE attempt BETWEEN 1 AND 2)
+        lambda s, d: event_attempts(s, d).select("chunk_id", "attempt", audio.retry_parameters(F.struct(F.lit(0.8).alias("temperature"), F.lit(0.5).alias("exaggeration"), F.lit(0.5).alias("cfg_weight")), F.col("score") / 10, F.col("attempt"), {"temperature": 0.1, "exaggeration": 0.15, "cfg_weight": 0.1}).alias("p")).select("chunk_id", "attempt", F.round("p.temperature", 6).alias("temperature"), F.round("p.exaggeration", 6).alias("exaggeration"), F.round("p.cfg_weight", 6).alias("cfg_weight")),
+        f"""WITH a AS (SELECT user_id AS chunk_id, row_number() OVER ({EV}) - 1 AS attempt, floor(value) / 100 AS q FROM events), k AS (SELECT *, CASE WHEN q < 0.3 THEN 2.0 WHEN q < 0.6 THEN 1.0 ELSE 0.5 END AS f FROM a)
 SELECT chunk_id, attempt, round(CASE WHEN attempt = 1 THEN greatest(0.1, 0.8 - f * 0.1) ELSE 0.8 END, 6) AS temperature, round(CASE WHEN attempt = 2 THEN greatest(0.1, 0.5 - f * 0.15) ELSE 0.5 END, 6) AS exaggeration, round(CASE WHEN attempt = 2 THEN least(1.0, 0.5 + f * 0.1) ELSE 0.5 END, 6) AS cfg_weight FROM k""",
     ),
     "retry_plan": (

@@ -20,10 +20,20 @@ RECORD = T.StructType([
     T.StructField("text", T.StringType()), T.StructField("asr_text", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("passed", T.BooleanType()),
     T.StructField("error", T.StringType()), T.StructField("threshold", T.DoubleType()),
 ])
-#: Failure reports, the preferred first.
-REPORT_ORDER = (
-    "asr_stage2_failures.json", "asr_stage2.json", "asr_regen_confirmed_failures.json", "asr_stage1_failures.json", "asr_investigation.json",
-)
+#: Failure reports, the preferred first, and what they are called.
+REPORTS = (
+    ("asr_failed_regenerations.json", "Failed regenerations"),
+    ("asr_investigation_failures.json", "Investigation failures"),
+    ("asr_conservative_fuzzy.json", "Conservative fuzzy review"),
+    ("asr_false_positives.json", "ASR false positives"),
+    ("asr_near_matches.json", "ASR near matches"),
+    ("asr_significant_mismatches.json", "ASR significant mismatches"),
+    ("asr_manual_repair_selection.json", "Manual audio review selection"),
+    ("asr_confirmed_failures.json", "Stage 2 confirmed failures"),
+    ("asr_remaining_failures.json", "Still failed after regen"),
+    ("asr_stage2.json", "Stage 2 report (failed rows)"),
+    ("asr_stage1_failures.json", "Stage 1 failures"),
+)
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -31,6 +41,41 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file written at once: first beside its place, then renamed into it, so that no reader sees half of it."""
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    target = fs_path(path)
+    part = fs_path(target.getParent(), f".{target.getName()}.tmp")
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(part, True)
+    try:
+        out.write(bytearray(text.encode("utf-8")))
+    finally:
+        out.close()
+    if fs.exists(target):
+        fs.delete(target, True)
+    if not fs.rename(part, target):
+        raise OSError(f"cannot rename {part.toString()}")
+
+
+def save_queue(jobs: DataFrame, path: str, order: str) -> None:
+    """A queue of jobs as one JSON array in the order of a column. A queue is what one person lines up, so it fits in one file."""
+    rows = jobs.orderBy(order).toJSON().collect()
+    put_text(jobs.sparkSession, path, "[" + ",\n ".join(rows) + "]\n")
+
+
+def load_queue(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The jobs of a queue file with their place in it, none for a missing file. A file that is no array of objects raises an error."""
+    if not _exists(spark, path):
+        return spark.createDataFrame([], T.StructType([T.StructField("ord", T.IntegerType()), *schema.fields]))
+    value = spark.read.text(path, wholetext=True).select("value")
+    bad = F.raise_error(F.lit("the queue file must hold a JSON array of objects"))
+    items = F.from_json("value", T.ArrayType(T.StringType()), {"mode": "PERMISSIVE"})
+    checked = F.when(F.ltrim("value").startswith("[") & F.forall(F.coalesce(items, bad.cast("array<string>")), lambda x: x.startswith("{")), items).otherwise(bad.cast("array<string>"))
+    rows = value.select(F.posexplode(checked).alias("ord", "job"))
+    return rows.select("ord", F.from_json("job", schema, {"mode": "FAILFAST"}).alias("r")).select("ord", "r.*")
+
+
 def load_chunks(spark: SparkSession, path: str) -> DataFrame:
     """Chunk records of a JSON array; header rows go."""
     return spark.read.schema(CHUNK).json(path, multiLine=True).where(~F.coalesce("_metadata", F.lit(False))).drop("_metadata", "voice_name")
@@ -38,15 +83,17 @@ def load_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 def load_metadata(spark: SparkSession, path: str) -> DataFrame:
     """The header row, if the array starts with one."""
-    raw = spark.read.text(path, wholetext=True).select(F.from_json("value", T.ArrayType(CHUNK))[0].alias("r")).select("r.*")
+    files = spark.read.text(path, wholetext=True)
+    raw = files.select(*files.drop("value").columns, F.from_json("value", T.ArrayType(CHUNK))[0].alias("r")).select(*files.drop("value").columns, "r.*")
     return raw.where(F.coalesce("_metadata", F.lit(False)))
 
 
 def load_chunks_checked(spark: SparkSession, path: str) -> DataFrame:
     """Like `load_chunks`, but a root that is no array and a row without a text raise an error."""
-    value = spark.read.text(path, wholetext=True).select("value")
-    checked = value.withColumn("value", F.when(F.ltrim("value").startswith("["), F.col("value")).otherwise(F.raise_error(F.lit("the chunk file must hold a JSON array"))))
-    rows = checked.select(F.explode(F.from_json("value", T.ArrayType(CHUNK))).alias("r")).select("r.*").where(~F.coalesce("_metadata", F.lit(False)))
+    files = spark.read.text(path, wholetext=True)
+    checked = files.withColumn("value", F.when(F.ltrim("value").startswith("["), F.col("value")).otherwise(F.raise_error(F.lit("the chunk file must hold a JSON array"))))
+    keep = files.drop("value").columns
+    rows = checked.select(*keep, F.explode(F.from_json("value", T.ArrayType(CHUNK))).alias("r")).select(*keep, "r.*").where(~F.coalesce("_metadata", F.lit(False)))
     return rows.withColumn("text", F.coalesce("text", F.raise_error(F.lit("each chunk needs a text")).cast("string"))).drop("_metadata", "voice_name")
 
 
@@ -123,24 +170,27 @@ def append_report(rows: DataFrame, path: str) -> None:
 
 def summary_field(spark: SparkSession, path: str, field: str = "regen_still_failed") -> DataFrame:
     """One field of a summary as text; no row where it is missing or null."""
-    return spark.read.text(path, wholetext=True).select(F.get_json_object("value", f"$.{field}").alias("still_fails")).where("still_fails is not null")
+    files = spark.read.text(path, wholetext=True)
+    return files.select(*files.drop("value").columns, F.get_json_object("value", f"$.{field}").alias("still_fails")).where("still_fails is not null")
 
 
-def discover_reports(spark: SparkSession, folder: str, order: tuple[str, ...] = REPORT_ORDER) -> DataFrame:
-    """Report files of more than two bytes, the preferred first."""
+def discover_reports(spark: SparkSession, folder: str, order: tuple[tuple[str, str], ...] = REPORTS) -> DataFrame:
+    """Report files of more than two bytes with their labels, the preferred first."""
     files = spark.read.format("binaryFile").load(f"{folder}/*.json").select("path", "length", F.regexp_extract("path", "[^/]+$", 0).alias("name"))
-    rank = F.array_position(F.array(*map(F.lit, order)), F.col("name"))
-    return files.where((F.col("length") > 2) & (rank > 0)).select("path", "name", rank.alias("rank")).orderBy("rank")
+    rank = F.array_position(F.array(*(F.lit(n) for n, _ in order)), F.col("name")).cast("int")
+    label = F.get(F.array(*(F.lit(x) for _, x in order)), rank - 1)
+    return files.where((F.col("length") > 2) & (rank > 0)).select("path", "name", label.alias("label"), rank.alias("rank")).orderBy("rank")
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
     """Rows of a report: a bare array, or an object with records, results or failures. Anything else raises an error."""
-    value = spark.read.text(path, wholetext=True).select("value")
+    files = spark.read.text(path, wholetext=True)
+    keep = files.drop("value").columns
     kind = T.ArrayType(RECORD)
     inner = F.coalesce(*[F.from_json(F.get_json_object("value", f"$.{k}"), kind) for k in ("records", "results", "failures")])
     rows = F.when(F.ltrim("value").startswith("["), F.from_json("value", kind)).otherwise(inner)
     checked = F.coalesce(rows, F.raise_error(F.lit("the report holds no list of records")).cast(kind))
-    return value.select(F.posexplode(checked).alias("pos", "r")).select("pos", "r.*").withColumn("expected_text", F.coalesce("expected_text", "text"))
+    return files.select(*keep, F.posexplode(checked).alias("pos", "r")).select(*keep, "pos", "r.*").withColumn("expected_text", F.coalesce("expected_text", "text"))
 
 
 def failure_rows(spark: SparkSession, path: str, drop_passed: bool) -> DataFrame:
@@ -149,7 +199,8 @@ def failure_rows(spark: SparkSession, path: str, drop_passed: bool) -> DataFrame
     rows = records(spark, path).withColumn("chunk_id", cid).where("chunk_id is not null")
     if drop_passed:
         rows = rows.where(~F.coalesce("passed", F.lit(False)))
-    return aggregates.first_wins(rows, ["chunk_id"], ["pos"])
+    known = {"pos", *RECORD.fieldNames()}
+    return aggregates.first_wins(rows, [*(c for c in rows.columns if c not in known), "chunk_id"], ["pos"])
 
 
 def overrides(spark: SparkSession, path: str, default: str = "manual no-fail review") -> DataFrame:
@@ -158,10 +209,11 @@ def overrides(spark: SparkSession, path: str, default: str = "manual no-fail rev
     empty = spark.createDataFrame([], "chunk_id long, text_sha256 string, reason string, position int")
     if not _exists(spark, path):
         return empty
-    value = spark.read.text(path, wholetext=True).select("value")
+    files = spark.read.text(path, wholetext=True)
+    keep = files.drop("value").columns
     listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", kind)).otherwise(F.from_json(F.get_json_object("value", "$.passes"), kind))
-    rows = value.select(F.posexplode(listed).alias("position", "r"))
-    out = rows.select(F.col("r.chunk_id").try_cast("long").alias("chunk_id"), "r.text_sha256", F.coalesce(F.nullif("r.reason", F.lit("")), F.lit(default)).alias("reason"), "position")
+    rows = files.select(*keep, F.posexplode(listed).alias("position", "r"))
+    out = rows.select(*keep, F.col("r.chunk_id").try_cast("long").alias("chunk_id"), "r.text_sha256", F.coalesce(F.nullif("r.reason", F.lit("")), F.lit(default)).alias("reason"), "position")
     return out.where("chunk_id is not null and length(text_sha256) = 64")
 
 
