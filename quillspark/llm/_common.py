@@ -7,25 +7,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import ship_package
+from ..session import shared_dir, ship_package
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where unset, one of our own on a local master, else an error."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        named = "/tmp/quillspark-checkpoints"
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(named)
-    return named
-
-
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder: survives lost executors and cuts the lineage."""
     shared_dir(df.sparkSession)
@@ -35,7 +23,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write to a table in the shared folder and read it again."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tables/{what}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tables/{what}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
