@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import compare, numbers, rules, segments
 from ..functions import text as X
-from ..operators import audio, jobs, lookup, ordered
+from ..operators import audio, jobs, lookup, ordered, scheduling
+from ..streaming import events
 from .row_queries import REPORT, packed, report, t
 from .text_queries import SENT, sentence_rows
 
@@ -155,6 +156,43 @@ def headers(s, d):
     return t(s, d, "documents").withColumn("h", X.chapter_header(F.concat(pick(["", "  “", '"'], k), label, form, pick([": The Road", ".", ""], k)))).select("doc_id", "h.title", "h.kind", "h.number")
 
 
+def enriched(s, d):
+    """Chunk records of conversations; the score of a text is a rule on its letters."""
+    c = t(s, d, "conversations").select("conv_id", "turn", F.concat(F.when(F.col("turn") % 3 == 1, "Chapter 2. ").otherwise(""), "text").alias("text"))
+    mood = lambda text: (F.regexp_count(text, F.lit("[aeiou]")) - F.regexp_count(text, F.lit("[rst]"))) / F.greatest(F.length(text), F.lit(1))
+    out = jobs.enriched_chunks(c, ["conv_id", "turn"], mood, {"exaggeration": 0.5, "cfg_weight": 0.5, "temperature": 0.85, "min_p": 0.05, "repetition_penalty": 1.2}, {"exaggeration": 0.15, "temperature": 0.3, "min_p": 0.02})
+    return out.select("conv_id", "turn", "index", "text", "boundary_type", "chapter_id", "word_count", F.round("sentiment_compound", 6).alias("score"), "tts_params.exaggeration", "tts_params.temperature", "tts_params.min_p")
+
+
+def waits(s, d):
+    docs, labels = t(s, d, "documents"), t(s, d, "labels")
+    tasks = docs.select(F.col("doc_id").cast("string").alias("task_id"), (F.col("n_chars") % 240).cast("double").alias("waited"))
+    done = labels.select(F.col("doc_id").cast("string").alias("task_id"), (F.col("quality") == 1).alias("passed"), (F.col("toxic") / 2).alias("score"), F.lit(None).cast("string").alias("error"), (F.col("doc_id") % 3000).cast("double").alias("took"))
+    now, gone = (events.awaited(tasks, done, "waited", 120.0, alive) for alive in (True, False))
+    limited = events.within_limit(tasks, done, "took", 1800.0)
+    both = now.select("task_id", "state", "score").join(gone.select("task_id", F.col("state").alias("gone"), F.col("score").alias("gone_score"), F.col("error").alias("gone_error")), "task_id")
+    return both.join(limited.select("task_id", F.col("score").alias("limited_score"), F.col("error").alias("limited_error")), "task_id")
+
+
+def slots(s, d):
+    line = t(s, d, "lineitem")
+    kind = lambda c: F.when(c % 3 == 0, "numeric").when(c % 3 == 1, "id").otherwise("code")
+    side = lambda c, keep: F.array_sort(F.collect_list(F.when(keep, F.struct("l_linenumber", "l_partkey", c.alias("k")))))["k"]
+    by = line.groupBy("l_orderkey").agg(side(kind(F.col("l_partkey")), F.lit(True)).alias("ref"), side(kind(F.col("l_partkey") + F.floor(F.col("l_suppkey") / 60)), F.col("l_linenumber") < 5).alias("hyp"))
+    r = by.select("l_orderkey", compare.identifier_results(F.col("ref"), F.col("hyp"), (5,)).alias("r"))
+    return r.select("l_orderkey", F.array_join("r", " ").alias("results"), F.round(compare.identifier_scores(F.col("r")), 9).alias("score"))
+
+
+def queue_moves(s, d):
+    q = t(s, d, "part").select(F.col("p_partkey").alias("ord"), "p_name")
+    return scheduling.swapped(scheduling.swapped(q, 5, 1), 1, -1)
+
+
+def legal(s, d):
+    p = t(s, d, "part")
+    return p.select("p_partkey", scheduling.accepts(F.col("p_size") % 5 + 1, F.col("p_partkey") * 7 % 2000, {2: 1400, 3: 1000}).alias("legal"))
+
+
 def folded(least: str, step: str) -> str:
     """SQL of a fold over a document's sentences: least is when a sentence opens a new group, step its words so far."""
     return rf"""WITH RECURSIVE {SENT}, n AS MATERIALIZED (SELECT doc_id, idx, text, len(regexp_extract_all(text, '\S+')) AS w FROM s),
@@ -164,6 +202,27 @@ f AS (SELECT doc_id, idx, 0 AS grp, w AS total FROM n WHERE idx = 0 UNION ALL
 
 
 QUERIES = {
+    "awaited_results": (
+        waits,
+        """WITH j AS (SELECT d.doc_id, d.n_chars % 240 AS waited, l.doc_id IS NOT NULL AS there, toxic / 2 AS sc, l.doc_id % 3000 > 1800 AS late FROM documents d LEFT JOIN labels l USING (doc_id))
+SELECT doc_id::VARCHAR AS task_id, CASE WHEN there THEN 'delivered' WHEN waited >= 120 THEN 'timed_out' ELSE 'pending' END AS state, sc AS score, CASE WHEN there THEN 'delivered' ELSE 'producer_gone' END AS gone,
+  CASE WHEN there THEN sc ELSE 0.0 END AS gone_score, CASE WHEN NOT there THEN 'producer exited before returning a result' END AS gone_error, CASE WHEN NOT late THEN sc END AS limited_score,
+  CASE WHEN late THEN 'over the limit of 1800 s' WHEN NOT there THEN 'no result' END AS limited_error FROM j""",
+    ),
+    "identifier_slots": (
+        slots,
+        """WITH k AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_partkey % 3) - 1 AS i, CASE l_partkey % 3 WHEN 0 THEN 'numeric' WHEN 1 THEN 'id' ELSE 'code' END AS a FROM lineitem),
+h0 AS (SELECT *, CASE (l_partkey + l_suppkey // 60) % 3 WHEN 0 THEN 'numeric' WHEN 1 THEN 'id' ELSE 'code' END AS b FROM lineitem WHERE l_linenumber < 5),
+h AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, b) - 1 AS i, b FROM h0),
+j AS (SELECT l_orderkey, k.i, CASE WHEN a = 'numeric' AND (b IS NULL OR b = a) THEN 'exempt' WHEN a = b OR (b IS NULL AND k.i = 5) THEN 'matched' ELSE 'mismatch' END AS r FROM k LEFT JOIN h USING (l_orderkey, i))
+SELECT l_orderkey, string_agg(r, ' ' ORDER BY i) AS results, round(coalesce(count(*) FILTER (r = 'matched') / nullif(count(*) FILTER (r <> 'exempt'), 0), 1.0), 9) AS score FROM j GROUP BY l_orderkey""",
+    ),
+    "queue_moves": (queue_moves, "SELECT CASE p_partkey WHEN 5 THEN 6 WHEN 6 THEN 5 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE p_partkey END AS ord, p_name FROM part"),
+    "legal_batches": (
+        legal,
+        "SELECT p_partkey, CASE p_size % 5 + 1 WHEN 1 THEN true WHEN 2 THEN p_partkey * 7 % 2000 <= 1400 WHEN 3 THEN p_partkey * 7 % 2000 <= 1000 ELSE false END AS legal FROM part",
+    ),
+    "enriched_chunks": (enriched, None),
     "chunk_meta": (
         meta,
         """WITH c AS (SELECT CASE WHEN l_linenumber % 2 = 0 THEN l_orderkey - 1 WHEN l_linenumber % 7 <> 1 THEN l_orderkey END AS chunk_id, CASE WHEN l_quantity > 25 THEN l_returnflag ELSE 'none' END AS b,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,3 +79,74 @@ def positions(rows: DataFrame) -> DataFrame:
         yield pd.DataFrame([(k[0], most, jumps)], columns=["seq", "furthest", "jumps"])
 
     return rows.groupBy("seq").applyInPandasWithState(step, "seq long, furthest long, jumps long", "last long, most long, jumps long", "update", GroupStateTimeout.NoTimeout)
+
+
+def awaited(tasks: DataFrame, results: DataFrame, waited: str, timeout: float, alive: bool = True) -> DataFrame:
+    """tasks (task_id, `waited` seconds) with what a caller gets now: the result if there is one, once; an error row if the producer is
+    gone; nothing after the timeout; else the task is pending. results (task_id, passed, score, ...)."""
+    there = results.dropDuplicates(["task_id"]).withColumn("_there", F.lit(True))
+    rows = tasks.select("task_id", waited).join(there, "task_id", "left")
+    state = F.when(F.col("_there"), "delivered").when(~F.lit(alive), "producer_gone").when(F.col(waited) >= timeout, "timed_out").otherwise("pending")
+    gone = F.col("state") == "producer_gone"
+    out = rows.withColumn("state", state)
+    return out.select("task_id", "state", F.when(gone, False).otherwise(F.col("passed")).alias("passed"), F.when(gone, 0.0).otherwise(F.col("score")).alias("score"), F.when(gone, "producer exited before returning a result").alias("error"))
+
+
+def within_limit(tasks: DataFrame, results: DataFrame, seconds: str, limit: float) -> DataFrame:
+    """Each task with its result; error rows where there is none or where it took longer than the limit."""
+    rows = tasks.select("task_id").join(results, "task_id", "left")
+    late = F.coalesce(F.col(seconds) > limit, F.lit(False))
+    error = F.when(late, F.concat(F.lit("over the limit of "), F.lit(f"{limit:g}"), F.lit(" s"))).when(F.col("score").isNull(), F.coalesce("error", F.lit("no result"))).otherwise(F.col("error"))
+    return rows.select("task_id", F.when(~late, F.col("passed")).alias("passed"), F.when(~late, F.col("score")).alias("score"), error.alias("error"))
+
+
+#: Fixed values of the step monitor: jumps that are no break, marks of a start, of an end, of a tail and of a repetition.
+JUMP, EDGE, FIRM, END_TOKENS, TAIL, AGAIN = (-4, 7), 0.1, 0.5, 3, 10.0, 5.0
+
+
+class StepMonitor:
+    """Follows the weights of one step after another over the tokens of a text; `values` is its whole memory."""
+
+    def __init__(self, values: list[float] | None = None):
+        # steps, position, started at, completed at (-1: not yet), firmest early weight, last-two weight of the step before, tails, again
+        self.values = list(values) if values else [0.0, 0.0, -1.0, -1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0]
+
+    def step(self, weights: list[float]) -> dict:
+        steps, position, started, completed, firm, edge, *tails, again = self.values
+        row = np.array(weights, np.float64)
+        row[int(steps) + 1 :] = 0.0  # nothing is said before its time
+        steps += 1
+        here = int(row.argmax()) if len(row) else 0
+        broken = not JUMP[0] < here - position < JUMP[1]
+        if not broken:
+            position = float(here)
+        firm, last = max(firm, float(row[:4].max(initial=0.0))), float(row[-2:].max(initial=0.0))
+        false_start = started < 0 and (max(edge, last) > EDGE or firm < FIRM)
+        if started < 0 and not false_start:
+            started = steps
+        if completed >= 0:
+            tail = row[-END_TOKENS:] if len(row) >= END_TOKENS else np.zeros(END_TOKENS)
+            tails = [float(a + b) for a, b in zip(tails, tail, strict=True)]
+            again += float(row[:-5].max(initial=0.0))
+        elif position >= len(row) - END_TOKENS:
+            completed = steps
+        self.values = [steps, position, started, completed, firm, last, *tails, again]
+        done = completed >= 0
+        return {"step": int(steps), "position": int(position), "discontinuity": broken, "false_start": false_start, "complete": done, "long_tail": done and max(tails) >= TAIL, "repetition": done and again > AGAIN}
+
+
+FLAGS = "seq long, step long, position long, discontinuity boolean, false_start boolean, complete boolean, long_tail boolean, repetition boolean"
+
+
+def monitored(rows: DataFrame) -> DataFrame:
+    """rows (seq, step, weights array<double>): the flags of each step; the state of a sequence is ten numbers."""
+    ship_package(rows.sparkSession)
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        monitor = StepMonitor(state.get[0] if state.exists else None)
+        for b in batches:
+            found = [{"seq": k[0], **monitor.step(list(w))} for w in b.sort_values("step")["weights"]]
+            yield pd.DataFrame(found)
+        state.update((monitor.values,))
+
+    return rows.groupBy("seq").applyInPandasWithState(step, FLAGS, "values array<double>", "append", GroupStateTimeout.NoTimeout)
