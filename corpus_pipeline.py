@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return the columns
 of documents; the last adds the shard, the slot in it and what led to them. Language models of compression, the MinHash
 join and the latent search have no SQL form, so the whole is tested against brute-force versions of its stages.
+
+Defined results: documents with a null, empty or letterless text go in the first stage, as no language is found. Texts of any length are
+read whole. Of near duplicates the smallest doc_id stays; rows without a doc_id stay there and are never taken for contaminated; repeated
+rows of one doc_id become one. The mix draws by doc_id (by text without one), so ties and repeats share a fate. An empty table gives
+an empty result. Other columns pass through all stages; those named like a column of the shard plan give way in the last.
 """
 
 from __future__ import annotations
