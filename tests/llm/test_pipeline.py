@@ -69,3 +69,21 @@ def test_run_and_registry(spark, folder):
     ops = sorted(int(n[2:].split("_")[0]) for n in queries())
     assert ops == list(range(1, 11)) and set(oracle_sql()) <= set(queries())
     assert mixing.ORACLE_SQL and decontamination.TERMS
+
+
+def test_pipeline_with_rare_rows(spark, make, tmp_path):
+    rng = random.Random(21)
+    rows = [(i, t, lang, f"s{i % 3}") for i, t, lang in language_rows(rng, 60)]
+    rows += [(None, rows[0][1], None, None), (None, None), (5, rows[5][1], rows[5][2], "s2"), (900, ""), (901, "word " * 5000, "en", "s1")]
+    make(rows).write.parquet(str(tmp_path / "documents.parquet"))
+    make(rows).limit(0).write.parquet(str(tmp_path / "none" / "documents.parquet"))
+    for d in (tmp_path, tmp_path / "none"):
+        spark.createDataFrame([(1, " ".join(f"leak{k}" for k in range(30)))], "item_id long, text string").write.parquet(str(d / "benchmark.parquet"))
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = [r.doc_id for r in out if r.doc_id is not None]
+    assert len(ids) == len(set(ids)) and all(r.text for r in out) and all(r.score == "y" and r.kept == "k" and isinstance(r.shard, int) for r in out)
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
