@@ -43,8 +43,11 @@ def draw(doc_id: Column, text: Column, seed: int) -> Column:
     return F.conv(F.substring(F.sha2(F.concat(key, F.lit(f":{seed}")), 256), 1, 12), 16, 10).cast("double") / F.lit(float(16**12))
 
 
-def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = 0.5, rate: float = 0.5, tolerance: float = 1e-10) -> DataFrame:
-    """cells (source, lang, topic, tokens, others) with probability and the target shares target_source, target_lang, target_topic."""
+def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = 0.5, rate: float = 0.5, tolerance: float = 1e-10, local: bool = False) -> DataFrame:
+    """cells (source, lang, topic, tokens, others) with probability and the target shares target_source, target_lang, target_topic.
+    local: in one partition, so that no window deals the cells anew."""
+    near = lambda df: df.coalesce(1) if local else df
+    cells = near(cells)
     whole = lambda d: F.sum("tokens").over(W.partitionBy(d))
     # Each of a marginal's n cells adds 1/n of its tempered weight.
     weights = {d: F.pow(whole(d).cast("double"), F.lit(temper)) for d in DIMS}
@@ -70,7 +73,7 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, t
                 now = F.sum("_x").over(W.partitionBy(d))
                 out = out.withColumn("_x", F.when(now > 0, F.col("_x") * F.col(f"target_{d}") / now).otherwise(0.0))
             out = out.withColumn("_x", F.least("_x", "_cap"))
-        out = checkpointed(out)
+        out = near(checkpointed(out))
         moved, rounds = out.agg(F.max(F.abs(F.col("_x") - F.col("_was")))).first()[0], rounds + 5
         out = out.drop("_was")
     lift = 1.0
@@ -107,14 +110,14 @@ def _cells(docs: DataFrame) -> tuple[Column, Column, DataFrame]:
 def raked_cells(docs: DataFrame, **how) -> DataFrame:
     """The cells of docs with their probabilities and targets."""
     cells = _cells(docs)[2]
-    return rake(cells.coalesce(1) if cells.count() <= MOST_LOCAL else cells, **how)
+    return rake(cells, local=cells.count() <= MOST_LOCAL, **how)
 
 
 def _mixed(docs: DataFrame, seed: int, **how) -> DataFrame:
     """docs as a struct `row`, and `mix`."""
     keys, tokens, cells = _cells(docs)
     local = cells.count() <= MOST_LOCAL
-    raked = checkpointed(rake(cells.coalesce(1) if local else cells, **how))
+    raked = checkpointed(rake(cells, local=local, **how))
     side = raked.select(F.struct(*DIMS).alias("cell"), "docs", "probability")
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), keys.alias("cell"), tokens.alias("tokens"), draw(F.col("doc_id"), F.col("text"), seed).alias("draw"))
     if local:
