@@ -149,6 +149,46 @@ def test_verdicts(ref, hyp, kind):
     assert got["failure_type"] == kind and got["passed"] == (kind is None), got
 
 
+LONG = "It was easy to reach someone from badge to badge, all he had to do was say their name. Why had they not made the whole thing as simple?"
+
+
+@pytest.mark.parametrize(
+    ("ref", "hyp", "kinds"),
+    [
+        ("I would bet my life on it.", "I would bet my life on him.", ["listener_pair"]),
+        ("I know that answer.", "I know them answer.", ["listener_pair"]),
+        ("I know that answer.", "I know them answer well.", None),
+        ("I saw him leave.", "I saw her leave.", None),
+        ("I will not go.", "I will now go.", None),
+        ("Trapped. By what? I don't know.", "trapped by one I don't know", ["question_word"]),
+        ("From what?", "From one.", None),
+        (LONG, LONG.replace("badge", "batch"), ["long_text", "long_text"]),
+        (LONG, LONG.replace("badge to badge", "batch to batch").replace("simple", "garden"), None),
+        (LONG, LONG.replace("badge", "8"), None),
+        (LONG, LONG.replace(" not", ""), None),
+        (LONG, LONG.replace("badge to badge", "batch to batch").replace("all", "all right"), None),
+    ],
+)
+def test_bounded_accepts(ref, hyp, kinds):
+    got = compare.compare(ref, hyp)
+    assert (got["classification"] == "FUZZY_ACCEPT") == (kinds is not None) and [a["kind"] for a in got["accepted"]] == (kinds or []), got
+    assert got["passed"] == (kinds is not None) and (kinds is None or got["score"] >= 0.72)
+
+
+def test_lone_word_is_an_option():
+    lone = {"accept_lone_word": True}
+    for ref, hyp, passed in (
+        ("The gnome left early.", "the no left early", True),
+        ("They saw the tower.", "they sought the tower", True),
+        ("The nis left early.", "the george left early", False),
+        ("The tax was paid.", "the msv was paid", False),
+        ("He will not swim.", "he will knot swim", False),
+        ("Green apples taste nice.", "green umbrellas taste nice cold", False),
+    ):
+        got = compare.compare(ref, hyp, lone)
+        assert got["passed"] == passed and (not passed or got["classification"] == "PASS"), (ref, got)
+
+
 @given(st.lists(WORD, max_size=12), st.lists(WORD, max_size=12))
 @settings(max_examples=80, deadline=None)
 def test_alignment_covers_each_token_once(ref, hyp):
