@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -157,7 +159,45 @@ def renest(rows: DataFrame, keys: list[str], position: str, value: str) -> DataF
     return rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(position).alias("i"), F.col(value).alias("v")))).alias("m")).select(*keys, F.col("m.v").alias(value))
 
 
-FEATURES = T.StructType([T.StructField(n, T.DoubleType()) for n in ("hum_ratio", "steady_ratio", "spectral_score", "end_rms_ratio", "end_zero_crossings", "end_low_share", "centroid_hz", "noise_floor_db")] + [T.StructField("hum", T.BooleanType()), T.StructField("end_artifact", T.BooleanType()), T.StructField("trim_at", T.LongType())])
+#: Frame, step, bands and coefficients of the cepstra, decibels under the loudest band that count, and the jump of
+#: variance between neighbouring coefficients that is worth no mark; weights of that mark and the mark for spread.
+FRAME, STEP, BANDS, CEPSTRA, RANGE_DB, MOST_JUMP, MARK_WEIGHTS = 2048, 512, 128, 13, 80.0, 100.0, (0.6, 0.4)
+
+
+@lru_cache(8)
+def _mel_bands(rate: int) -> np.ndarray:
+    """Triangles of equal area over the spectrum of a frame: evenly spaced up to 1,000 Hz, by ratio above (27 steps for a factor of 6.4)."""
+    top = rate / 2
+    linear, ratio = 200 / 3, np.log(6.4) / 27
+    last = top / linear if top <= 1000 else 15 + np.log(top / 1000) / ratio
+    mel = np.linspace(0, last, BANDS + 2)
+    edges = np.where(mel <= 15, mel * linear, 1000 * np.exp(ratio * (mel - 15)))
+    low, middle, high = edges[:-2, None], edges[1:-1, None], edges[2:, None]
+    hz = np.fft.rfftfreq(FRAME, 1 / rate)[None]
+    return np.maximum(0, np.minimum((hz - low) / (middle - low), (high - hz) / (high - middle))) * 2 / (high - low)
+
+
+def mel_cepstra(y: np.ndarray, rate: int, block: int = 1024) -> np.ndarray:
+    """CEPSTRA coefficients for each frame; the clip is padded by half a frame of silence. Spectra are taken for `block` frames at a time."""
+    padded = np.pad(y, FRAME // 2)
+    frames = np.lib.stride_tricks.sliding_window_view(padded, FRAME)[::STEP]
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(FRAME) / FRAME)
+    power = np.concatenate([np.abs(np.fft.rfft(frames[k : k + block] * window)) ** 2 @ _mel_bands(rate).T for k in range(0, len(frames), block)])
+    db = 10 * np.log10(np.maximum(power, 1e-10))
+    db = np.maximum(db, db.max() - RANGE_DB)
+    waves = np.cos(np.pi * np.outer(2 * np.arange(BANDS) + 1, np.arange(CEPSTRA)) / (2 * BANDS)) * np.sqrt(2 / BANDS)
+    waves[:, 0] /= np.sqrt(2)
+    return db @ waves
+
+
+def artifact_marks(y: np.ndarray, rate: int) -> tuple[float, float]:
+    """The mark for even cepstra (1 is best), and that mark weighted with the one for spread."""
+    jump = float(np.abs(np.diff(mel_cepstra(y, rate).var(axis=0))).max())
+    even, calm = 1 - min(jump / MOST_JUMP, 1.0), 1 - min(float(np.var(np.abs(y))) / 0.1, 1.0)
+    return even, MARK_WEIGHTS[0] * even + MARK_WEIGHTS[1] * calm
+
+
+FEATURES = T.StructType([T.StructField(n, T.DoubleType()) for n in ("hum_ratio", "steady_ratio", "spectral_score", "cepstral_score", "artifact_score", "end_rms_ratio", "end_zero_crossings", "end_low_share", "centroid_hz", "noise_floor_db")] + [T.StructField("hum", T.BooleanType()), T.StructField("end_artifact", T.BooleanType()), T.StructField("trim_at", T.LongType())])
 
 
 def _features(y: np.ndarray, rate: int, threshold: float) -> dict:
@@ -169,6 +209,7 @@ def _features(y: np.ndarray, rate: int, threshold: float) -> dict:
     steady = sum(HUM_LEVEL[0] < v < HUM_LEVEL[1] for v in levels) / len(levels) if levels else 0.0
     hum = float(spectrum[band].sum() / (spectrum.sum() + 1e-10))
     out = {"hum_ratio": hum, "steady_ratio": steady, "hum": hum > HUM_SHARE and steady > HUM_STEADY, "spectral_score": 1 - min(float(np.var(np.abs(y))) / 0.1, 1.0)}
+    out["cepstral_score"], out["artifact_score"] = artifact_marks(y, rate)
     size = rate // 10
     if len(y) >= 2 * size > 0:
         end, middle = y[-size:], y[len(y) // 2 : len(y) // 2 + size]
@@ -190,7 +231,7 @@ def _features(y: np.ndarray, rate: int, threshold: float) -> dict:
 
 
 def audio_features(spark: SparkSession, rate: int, threshold: float = 0.01):
-    """A pandas UDF on arrays of samples: hum, spread, end of the clip, centroid, noise floor, and the sample at which speech ends."""
+    """A pandas UDF on arrays of samples: hum, spread, evenness of cepstra, end of the clip, centroid, noise floor, and the sample at which speech ends."""
     ship_package(spark)
 
     @F.pandas_udf(FEATURES)
@@ -201,8 +242,13 @@ def audio_features(spark: SparkSession, rate: int, threshold: float = 0.01):
     return features
 
 
-def recording_score(rate: int, dynamic_db: Column, clipped_percent: Column, spread: Column, seconds: Column, common_format: bool) -> Column:
-    """Weighted marks for sampling rate, dynamic range, clipping, evenness and delivery standards."""
+#: Seconds of a level window, level that counts as clipped, weights of the marks of a recording.
+SECONDS, CLIPPED = 5, 0.95
+MARKS = {"fidelity": 0.25, "range": 0.25, "clipping": 0.25, "evenness": 0.15, "standards": 0.10}
+
+
+def recording_marks(rate: int, dynamic_db: Column, clipped_percent: Column, spread: Column, seconds: Column, common_format: bool) -> dict[str, Column]:
+    """Marks for sampling rate, dynamic range, clipping, evenness and delivery standards."""
 
     def marks(value: Column, steps: list[tuple[float, int]], rest: int, above: bool) -> Column:
         out = None
@@ -211,7 +257,43 @@ def recording_score(rate: int, dynamic_db: Column, clipped_percent: Column, spre
             out = F.when(cond, mark) if out is None else out.when(cond, mark)
         return out.otherwise(rest)
 
-    fidelity = 100 if rate >= 44100 else 80 if rate >= 22050 else 60
-    even = F.when(spread.isNull(), 90).otherwise(marks(spread, [(0.1, 100), (0.2, 80), (0.3, 60)], 40, False))
-    standards = F.lit(100 - (0 if common_format else 10) - (0 if rate in (22050, 44100, 48000) else 10)) - F.when(seconds < 300, 20).otherwise(0)
-    return F.lit(fidelity * 0.25) + marks(dynamic_db, [(60, 100), (40, 80), (20, 60)], 40, True) * 0.25 + marks(clipped_percent, [(0.01, 100), (0.1, 80), (1.0, 60)], 30, False) * 0.25 + even * 0.15 + standards * 0.10
+    return {
+        "fidelity": F.lit(100 if rate >= 44100 else 80 if rate >= 22050 else 60),
+        "range": marks(dynamic_db, [(60, 100), (40, 80), (20, 60)], 40, True),
+        "clipping": marks(clipped_percent, [(0.01, 100), (0.1, 80), (1.0, 60)], 30, False),
+        "evenness": F.when(spread.isNull(), 90).otherwise(marks(spread, [(0.1, 100), (0.2, 80), (0.3, 60)], 40, False)),
+        "standards": F.lit(100 - (0 if common_format else 10) - (0 if rate in (22050, 44100, 48000) else 10)) - F.when(seconds < 300, 20).otherwise(0),
+    }
+
+
+def recording_score(rate: int, dynamic_db: Column, clipped_percent: Column, spread: Column, seconds: Column, common_format: bool) -> Column:
+    """Weighted marks for sampling rate, dynamic range, clipping, evenness and delivery standards."""
+    marks = recording_marks(rate, dynamic_db, clipped_percent, spread, seconds, common_format)
+    return sum((marks[k] * w for k, w in MARKS.items()), F.lit(0.0))
+
+
+def recording_report(rows: DataFrame, keys: list[str], samples: str, rate: int, common_format: bool) -> DataFrame:
+    """One row for each recording (keys): levels and range in decibels, clipped percent, centroid, the five marks and their weighted sum. Null or
+    empty recordings have nulls. The centroid and the noise floor come from `audio_features`, all else stays in the JVM."""
+    y = F.when(F.size(samples) > 0, F.col(samples))
+    decibels = lambda c: 20 * F.log10(c + 1e-10)
+    levels = F.transform(windows(y, rate * SECONDS), rms)
+    n = F.size("_levels")
+    mean = _sum(F.col("_levels"), lambda x: x) / n
+    spread = F.when(n > 1, F.sqrt(_sum(F.col("_levels"), lambda x: (x - mean) * (x - mean)) / n) / F.nullif(mean, F.lit(0.0)))
+    one = rows.select(*keys, y.alias("_y"), audio_features(rows.sparkSession, rate)(F.col(samples)).alias("_f"), levels.alias("_levels"))
+    out = one.select(
+        *keys,
+        (F.size("_y") / rate).alias("seconds"),
+        decibels(rms(F.col("_y"))).alias("rms_db"),
+        decibels(peak(F.col("_y"))).alias("peak_db"),
+        (decibels(peak(F.col("_y"))) - F.col("_f.noise_floor_db")).alias("dynamic_db"),
+        F.col("_f.noise_floor_db").alias("noise_floor_db"),
+        (100 * F.size(F.filter("_y", lambda x: F.abs(x) >= CLIPPED)) / F.size("_y")).alias("clipped_percent"),
+        F.col("_f.centroid_hz").alias("centroid_hz"),
+        spread.alias("level_spread"),
+    )
+    marks = recording_marks(rate, F.col("dynamic_db"), F.col("clipped_percent"), F.col("level_spread"), F.col("seconds"), common_format)
+    known = F.col("dynamic_db").isNotNull()
+    out = out.select("*", *(F.when(known, m).alias(f"{k}_mark") for k, m in marks.items()))
+    return out.withColumn("overall", sum((F.col(f"{k}_mark") * w for k, w in MARKS.items()), F.lit(0.0)))

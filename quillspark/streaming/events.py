@@ -30,10 +30,10 @@ def watch_tasks(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def scored_tasks(tasks: DataFrame) -> DataFrame:
-    """Results of tasks; a task without a transcript has an error and no score, and so counts as no failure."""
-    rows = compare.compare_rows(tasks, "expected_text", "asr_text", ["task_id", "asr_text"])
+    """Results of tasks; a task without a transcript, or whose comparison fails, has an error and no score, and so counts as no failure."""
+    rows = compare.compare_rows(tasks, "expected_text", "asr_text", ["task_id", "asr_text"], errors=True)
     lost = F.col("asr_text").isNull()
-    return rows.select("task_id", F.when(~lost, F.col("passed")).alias("passed"), F.when(~lost, F.col("score")).alias("score"), F.when(lost, "no transcript").alias("error"))
+    return rows.select("task_id", F.when(~lost, F.col("passed")).alias("passed"), F.when(~lost, F.col("score")).alias("score"), F.when(lost, "no transcript").otherwise(F.col("error")).alias("error"))
 
 
 def filled_results(tasks: DataFrame, results: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import itertools
 import json
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -534,3 +535,44 @@ def test_task_folder(spark, tmp_path):
     assert sorted((r.task_id, r.passed, r.error) for r in got.collect()) == [("0", True, None), ("1", None, "no transcript")]
     tasks = spark.createDataFrame([("0",), ("9",)], "task_id string")
     assert {r.task_id: r.error for r in events.filled_results(tasks, got).collect()} == {"0": None, "9": "no result"}
+
+
+def test_cepstra_against_sums():
+    rate, rng = 16000, np.random.default_rng(5)
+    y = np.sin(np.arange(3000) * 0.2) * 0.3 + rng.normal(0, 0.05, 3000)
+    padded = np.concatenate([np.zeros(1024), y, np.zeros(1024)])
+    to_mel = lambda f: f * 3 / 200 if f < 1000 else 15 + np.log(f / 1000) / np.log(6.4) * 27
+    to_hz = lambda m: m * 200 / 3 if m < 15 else 1000 * 6.4 ** ((m - 15) / 27)
+    edges = [to_hz(to_mel(rate / 2) * k / 129) for k in range(130)]
+    bins, frames = np.arange(1025) * rate / 2048, range(0, len(padded) - 2047, 512)
+    hann = np.array([np.sin(np.pi * k / 2048) ** 2 for k in range(2048)])
+    rows = []
+    for at in frames:
+        power = np.abs(np.fft.fft(padded[at : at + 2048] * hann)[:1025]) ** 2
+        rows.append([sum(p * 2 / (c - a) * ((f - a) / (b - a) if f <= b else (c - f) / (c - b)) for p, f in zip(power, bins, strict=True) if a < f < c) for a, b, c in zip(edges, edges[1:], edges[2:], strict=False)])
+    db = 10 * np.log10(np.maximum(rows, 1e-10))
+    db = np.maximum(db, db.max() - 80)
+    want = [[sum(v * np.cos(np.pi * k * (2 * n + 1) / 256) for n, v in enumerate(row)) * np.sqrt((1 if k == 0 else 2) / 128) for k in range(13)] for row in db]
+    assert np.allclose(audio.mel_cepstra(y, rate), want) and np.allclose(audio.mel_cepstra(y, rate, 2), want)
+    even, both = audio.artifact_marks(y, rate)
+    jump = np.abs(np.diff(np.var(want, axis=0))).max()
+    assert np.isclose(even, 1 - min(jump / 100, 1)) and np.isclose(both, 0.6 * even + 0.4 * (1 - min(np.var(np.abs(y)) / 0.1, 1)))
+
+
+def test_recording_report(spark):
+    rows = spark.createDataFrame([(1, [0.5, -0.5] * 40), (2, [1.0] * 31 + [0.0] * 9), (3, []), (4, None)], "id int, y array<double>")
+    got = {r.id: r for r in audio.recording_report(rows, ["id"], "y", 6, False).collect()}
+    assert got[1].evenness_mark == 100 and got[1].range_mark == 40 and got[1].clipping_mark == 100 and got[1].standards_mark == 60 and round(got[1].rms_db, 2) == -6.02
+    assert got[1].overall == 60 * 0.25 + 40 * 0.25 + 100 * 0.25 + 100 * 0.15 + 60 * 0.1
+    assert got[2].clipped_percent == 77.5 and got[2].clipping_mark == 30 and got[2].evenness_mark == 90 and got[2].range_mark == 100
+    assert all(got[k].overall is None and got[k].rms_db is None and got[k].fidelity_mark is None for k in (3, 4))
+
+
+def test_failed_comparison_is_a_row(spark):
+    rows = spark.createDataFrame([(1, "a cat sat", "a cat sat"), (2, "it", None)], "id int, r string, h string")
+    bad = {"homographs": 5}  # no list of groups: each comparison raises
+    got = {r.id: r for r in compare.compare_rows(rows, "r", "h", ["id"], bad, errors=True).collect()}
+    assert all(g.passed is None and g.error for g in got.values())
+    assert [r.error for r in compare.compare_rows(rows, "r", "h", ["id"], errors=True).collect()] == [None, None]
+    with pytest.raises(Exception, match="TypeError"):
+        compare.compare_rows(rows, "r", "h", ["id"], bad).collect()
