@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, language_id, license_scan, mixing, ngram_join, sharding, token_counts, url_filter, warc_revisit
+from . import codebooks, decontamination, exact_dedup, language_id, license_scan, mixing, ngram_join, prefix_trie, sharding, token_counts, top_k, url_filter, warc_revisit
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": language_id.query,
         "op9_url_filter": url_filter.query,
         "op10_latent_decontamination": decontamination.query,
+        "op11_vector_codes": codebooks.query,
+        "op12_prefix_trie": prefix_trie.query,
+        "op13_exact_top_k": top_k.query,
     }
 
 
@@ -30,4 +33,7 @@ def oracle_sql() -> dict[str, str]:
         "op5_warc_revisit": warc_revisit.ORACLE_SQL,
         "op6_exact_dedup": exact_dedup.ORACLE_SQL,
         "op9_url_filter": url_filter.ORACLE_SQL,
+        "op11_vector_codes": codebooks.ORACLE_SQL,
+        "op12_prefix_trie": prefix_trie.ORACLE_SQL,
+        "op13_exact_top_k": top_k.ORACLE_SQL,
     }
