@@ -396,6 +396,7 @@ class ReportSource(DataSource):
 def ready(spark: SparkSession) -> None:
     """Register the formats with a session."""
     ship_package(spark)
+    spark.createDataFrame([], "n int")  # makes the session the active one of this thread, where the formats are looked up
     for source in (WavSource, JsonArraySource, ReportSource):
         spark.dataSource.register(source)
 

@@ -1,10 +1,10 @@
 """Formats with a header or a frame: sound parts, one JSON array, a report that two jobs extend."""
 
 import json
+import threading
 import wave
 
 import pytest
-from pyspark import InheritableThread
 from pyspark.sql import functions as F
 
 from quillspark.sources import files
@@ -98,7 +98,7 @@ def test_two_jobs_append(spark, tmp_path):
     folder = str(tmp_path / "report")
     rows = spark.range(5).select("id", F.concat(F.lit("stage, one\n"), F.col("id").cast("string")).alias("stage_note"), F.lit(None).cast("string").alias("missing"))
     files.append_runs(rows, "id", folder)
-    jobs = [InheritableThread(target=files.append_runs, args=(rows, "id", folder)) for _ in range(3)]
+    jobs = [threading.Thread(target=files.append_runs, args=(rows, "id", folder)) for _ in range(3)]
     for j in jobs:
         j.start()
     for j in jobs:
