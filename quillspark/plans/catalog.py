@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import compare_queries, job_queries, row_queries, source_queries, text_queries
+from . import compare_queries, job_queries, row_queries, source_queries, stream_queries, text_queries
 
-_MODULES = (text_queries, row_queries, compare_queries, source_queries, job_queries)
+_MODULES = (text_queries, row_queries, compare_queries, source_queries, job_queries, stream_queries)
 
 
 def _all() -> dict[str, tuple]:

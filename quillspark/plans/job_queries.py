@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..functions import compare, numbers, rules, segments
 from ..functions import text as X
 from ..operators import audio, jobs, lookup, ordered, scheduling
-from ..streaming import events
 from .row_queries import REPORT, packed, report, t
 from .text_queries import SENT, sentence_rows
 
@@ -164,16 +163,6 @@ def enriched(s, d):
     return out.select("conv_id", "turn", "index", "text", "boundary_type", "chapter_id", "word_count", F.round("sentiment_compound", 6).alias("score"), "tts_params.exaggeration", "tts_params.temperature", "tts_params.min_p")
 
 
-def waits(s, d):
-    docs, labels = t(s, d, "documents"), t(s, d, "labels")
-    tasks = docs.select(F.col("doc_id").cast("string").alias("task_id"), (F.col("n_chars") % 240).cast("double").alias("waited"))
-    done = labels.select(F.col("doc_id").cast("string").alias("task_id"), (F.col("quality") == 1).alias("passed"), (F.col("toxic") / 2).alias("score"), F.lit(None).cast("string").alias("error"), (F.col("doc_id") % 3000).cast("double").alias("took"))
-    now, gone = (events.awaited(tasks, done, "waited", 120.0, alive) for alive in (True, False))
-    limited = events.within_limit(tasks, done, "took", 1800.0)
-    both = now.select("task_id", "state", "score").join(gone.select("task_id", F.col("state").alias("gone"), F.col("score").alias("gone_score"), F.col("error").alias("gone_error")), "task_id")
-    return both.join(limited.select("task_id", F.col("score").alias("limited_score"), F.col("error").alias("limited_error")), "task_id")
-
-
 def slots(s, d):
     line = t(s, d, "lineitem")
     kind = lambda c: F.when(c % 3 == 0, "numeric").when(c % 3 == 1, "id").otherwise("code")
@@ -202,13 +191,6 @@ f AS (SELECT doc_id, idx, 0 AS grp, w AS total FROM n WHERE idx = 0 UNION ALL
 
 
 QUERIES = {
-    "awaited_results": (
-        waits,
-        """WITH j AS (SELECT d.doc_id, d.n_chars % 240 AS waited, l.doc_id IS NOT NULL AS there, toxic / 2 AS sc, l.doc_id % 3000 > 1800 AS late FROM documents d LEFT JOIN labels l USING (doc_id))
-SELECT doc_id::VARCHAR AS task_id, CASE WHEN there THEN 'delivered' WHEN waited >= 120 THEN 'timed_out' ELSE 'pending' END AS state, sc AS score, CASE WHEN there THEN 'delivered' ELSE 'producer_gone' END AS gone,
-  CASE WHEN there THEN sc ELSE 0.0 END AS gone_score, CASE WHEN NOT there THEN 'producer exited before returning a result' END AS gone_error, CASE WHEN NOT late THEN sc END AS limited_score,
-  CASE WHEN late THEN 'over the limit of 1800 s' WHEN NOT there THEN 'no result' END AS limited_error FROM j""",
-    ),
     "identifier_slots": (
         slots,
         """WITH k AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_partkey % 3) - 1 AS i, CASE l_partkey % 3 WHEN 0 THEN 'numeric' WHEN 1 THEN 'id' ELSE 'code' END AS a FROM lineitem),

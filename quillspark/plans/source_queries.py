@@ -77,10 +77,10 @@ QUEUE = T.StructType([T.StructField("id", T.LongType()), T.StructField("text_fil
 
 
 def queue_file(s, d):
-    jobs = t(s, d, "part").where("p_size = 7").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text_file"), F.col("p_retailprice").alias("quality"))
+    jobs = t(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text_file"), F.col("p_retailprice").alias("quality"))
     path = f"{folder(s, 'queue')}/queue.json"
     reports.save_queue(jobs.where("id < 0"), path, "id")
-    reports.save_queue(jobs, path, "quality")
+    reports.save_queue(jobs, path, "id")
     return reports.load_queue(s, path, QUEUE)
 
 
@@ -236,7 +236,7 @@ SELECT book, index, {MENDED} AS text, {BINNED.format('e')} AS exaggeration, {BIN
         tag_files,
         """SELECT s_nationkey, 'name' AS key, arg_max(s_name, s_suppkey) AS value FROM supplier GROUP BY ALL UNION ALL SELECT s_nationkey, 'key', max(s_suppkey) || ': a' FROM supplier GROUP BY ALL""",
     ),
-    "queue_file": (queue_file, "SELECT row_number() OVER (ORDER BY p_retailprice) - 1 AS ord, p_partkey AS id, p_name AS text_file, p_retailprice AS quality FROM part WHERE p_size = 7"),
+    "queue_file": (queue_file, "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS ord, p_partkey AS id, p_name AS text_file, p_retailprice AS quality FROM part"),
     "run_logs": (
         run_logs,
         """SELECT n_nationkey, unnest(['run_name', 'fails', 'asr_stage1', 'stage1_fails', 'total_time']) AS field, unnest([n_name, '99', 'on', n_nationkey::VARCHAR, '1:' || n_nationkey]) AS value FROM nation

@@ -260,7 +260,7 @@ def json_items(blocks: Iterator[bytes], path: str) -> Iterator[tuple[int | None,
         yield None, text.rstrip()
         return
     if text[:1] != "[":
-        raise ValueError(f"the root is neither an array nor an object: {path}")
+        raise ValueError(f"neither an array of objects nor an object: {path}")
     text, place = text[1:], 0
     if skip() == "]":
         return
@@ -299,16 +299,16 @@ class JsonArrayWriter(_Beside):
         with fs.open_output_stream(temporary) as out:
             for r in rows:
                 out.write(((",\n " if n else "") + r["value"]).encode())
-                first, n = r["ord"] if first is None else first, n + 1
-        return Wrote([(temporary, target, first)])
+                first, n = first if n else r["ord"], n + 1
+        return Wrote([(temporary, target, (n, first))])
 
     def commit(self, messages: list[Wrote]) -> None:
         fs, target = opened(self.path)
-        parts = sorted(((f[2], f[0]) for m in messages if m for f in m.files if f[2] is not None))
+        parts = in_order(messages)
         whole = self.temporary(os.path.basename(target))
         with fs.open_output_stream(whole) as out:
             out.write(b"[")
-            for k, (_, path) in enumerate(parts):
+            for k, path in enumerate(parts):
                 out.write(b",\n " if k else b"")
                 copied(fs, path, out)
             out.write(b"]\n")
@@ -316,6 +316,12 @@ class JsonArrayWriter(_Beside):
         self.clean()
 
 
+def in_order(messages: list[Wrote]) -> list[str]:
+    """Files of the tasks that had rows, by their first value, null first."""
+    found = [f for m in messages if m for f in m.files if f[2][0]]
+    return [f[0] for f in sorted(found, key=lambda f: (f[2][1] is not None, f[2][1]))]
+
+
 def copied(fs: pafs.FileSystem, path: str, out: Any) -> None:
     with fs.open_input_stream(path) as f:
         while block := f.read(COPY_BYTES):
@@ -353,12 +359,12 @@ class ReportWriter(_Beside):
         fs, folder = opened(self.path)
         if not isinstance(fs, pafs.LocalFileSystem):
             raise ValueError("the report needs a file system that can make a file only where there is none")
-        parts = sorted(((f[2], f[0]) for m in messages if m for f in m.files if f[2] is not None))
+        parts = in_order(messages)
         while parts:
             number = first = next_number(folder)
             whole = self.temporary("runs")
             with open(whole, "w", encoding="utf-8") as out:
-                for _, path in parts:
+                for path in parts:
                     with open(path, encoding="utf-8") as f:
                         for block in f.read().split(",\n "):
                             out.write(f"Run #{number}\n{json.loads(block)}\n")
@@ -427,7 +433,7 @@ def stitch(clips: DataFrame, sounds: str, folder: str, part_bytes: int = PART_BY
 def save_array(rows: DataFrame, order: str, path: str) -> None:
     """Rows as one JSON array in one file, in the order of a column."""
     ready(rows.sparkSession)
-    out = rows.select(F.col(order).cast("long").alias("ord"), F.to_json(F.struct(*rows.columns)).alias("value"))
+    out = rows.select(F.col(order).alias("ord"), F.to_json(F.struct(*rows.columns)).alias("value"))
     out.repartitionByRange("ord").sortWithinPartitions("ord", "value").write.format("json_array").mode("append").option("path", path).save()
 
 
@@ -443,6 +449,6 @@ def append_runs(rows: DataFrame, order: str, folder: str) -> None:
     ready(rows.sparkSession)
     lines = [F.concat(F.lit(c.replace("_", " ").title() + ": "), F.coalesce(F.col(c).cast("string"), F.lit("N/A"))) for c in rows.columns]
     block = F.to_json(F.array(F.concat_ws("\n", *lines, F.lit(""))))
-    out = rows.select(F.col(order).cast("long").alias("ord"), F.substring(block, F.lit(2), F.length(block) - 2).alias("value"))
+    out = rows.select(F.col(order).alias("ord"), F.substring(block, F.lit(2), F.length(block) - 2).alias("value"))
     out.repartitionByRange("ord").sortWithinPartitions("ord", "value").write.format("run_report").mode("append").option("path", folder).save()
 

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..operators import aggregates, lookup, ordered
+from .files import append_runs, load_array, save_array
 
 PARAMS = T.StructType([T.StructField(n, T.DoubleType()) for n in ("exaggeration", "cfg_weight", "temperature", "min_p", "top_p", "repetition_penalty")])
 CHUNK = T.StructType([
@@ -59,21 +60,18 @@ def put_text(spark: SparkSession, path: str, text: str) -> None:
 
 
 def save_queue(jobs: DataFrame, path: str, order: str) -> None:
-    """A queue of jobs as one JSON array in the order of a column. A queue is what one person lines up, so it fits in one file."""
-    rows = jobs.orderBy(order).toJSON().collect()
-    put_text(jobs.sparkSession, path, "[" + ",\n ".join(rows) + "]\n")
+    """A queue of jobs as one JSON array in the order of a column."""
+    save_array(jobs, order, path)
 
 
 def load_queue(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     """The jobs of a queue file with their place in it, none for a missing file. A file that is no array of objects raises an error."""
     if not _exists(spark, path):
         return spark.createDataFrame([], T.StructType([T.StructField("ord", T.IntegerType()), *schema.fields]))
-    value = spark.read.text(path, wholetext=True).select("value")
-    bad = F.raise_error(F.lit("the queue file must hold a JSON array of objects"))
-    items = F.from_json("value", T.ArrayType(T.StringType()), {"mode": "PERMISSIVE"})
-    checked = F.when(F.ltrim("value").startswith("[") & F.forall(F.coalesce(items, bad.cast("array<string>")), lambda x: x.startswith("{")), items).otherwise(bad.cast("array<string>"))
-    rows = value.select(F.posexplode(checked).alias("ord", "job"))
-    return rows.select("ord", F.from_json("job", schema, {"mode": "FAILFAST"}).alias("r")).select("ord", "r.*")
+    bad = F.raise_error(F.lit("the queue file must hold a JSON array of objects")).cast("string")
+    jobs = F.when(F.col("place").isNotNull() & F.col("value").startswith("{"), F.col("value")).otherwise(bad)
+    rows = load_array(spark, path).select(F.col("place").cast("int").alias("ord"), F.from_json(jobs, schema, {"mode": "FAILFAST"}).alias("r"))
+    return rows.select("ord", "r.*")
 
 
 def load_chunks(spark: SparkSession, path: str) -> DataFrame:
@@ -118,7 +116,7 @@ def save_chunks(chunks: DataFrame, path: str, binned: bool = False) -> None:
 
 
 def as_one_array(rows: DataFrame, order: str) -> DataFrame:
-    """One JSON array of all rows of a book, in order; for sinks that need a single file."""
+    """One JSON array of all rows of a book, in order, as a value; `files.save_array` writes one of any size to a file."""
     return rows.agg(F.to_json(F.array_sort(F.collect_list(F.struct(order, *[c for c in rows.columns if c != order])))).alias("value"))
 
 
@@ -158,14 +156,8 @@ def next_run_number(spark: SparkSession, path: str) -> int:
 
 
 def append_report(rows: DataFrame, path: str) -> None:
-    """Rows as one text block each, with run numbers that go on from those in the report."""
-    from pyspark.sql import Window as W
-
-    start = next_run_number(rows.sparkSession, path)
-    number = F.row_number().over(W.orderBy(rows.columns[0])) + (start - 1)
-    lines = [F.concat(F.lit("Run #"), number.cast("string"))]
-    lines += [F.concat(F.lit(c.replace("_", " ").title() + ": "), F.coalesce(F.col(c).cast("string"), F.lit("N/A"))) for c in rows.columns]
-    rows.select(F.concat_ws("\n", *lines, F.lit("")).alias("value")).write.mode("append").text(path)
+    """Rows, in the order of their first column, as one text block each, with run numbers that go on from those in the report; two jobs may append at once."""
+    append_runs(rows, rows.columns[0], path)
 
 
 def summary_field(spark: SparkSession, path: str, field: str = "regen_still_failed") -> DataFrame:

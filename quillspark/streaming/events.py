@@ -81,25 +81,6 @@ def positions(rows: DataFrame) -> DataFrame:
     return rows.groupBy("seq").applyInPandasWithState(step, "seq long, furthest long, jumps long", "last long, most long, jumps long", "update", GroupStateTimeout.NoTimeout)
 
 
-def awaited(tasks: DataFrame, results: DataFrame, waited: str, timeout: float, alive: bool = True) -> DataFrame:
-    """tasks (task_id, `waited` seconds) with what a caller gets now: the result if there is one, once; an error row if the producer is
-    gone; nothing after the timeout; else the task is pending. results (task_id, passed, score, ...)."""
-    there = results.dropDuplicates(["task_id"]).withColumn("_there", F.lit(True))
-    rows = tasks.select("task_id", waited).join(there, "task_id", "left")
-    state = F.when(F.col("_there"), "delivered").when(~F.lit(alive), "producer_gone").when(F.col(waited) >= timeout, "timed_out").otherwise("pending")
-    gone = F.col("state") == "producer_gone"
-    out = rows.withColumn("state", state)
-    return out.select("task_id", "state", F.when(gone, False).otherwise(F.col("passed")).alias("passed"), F.when(gone, 0.0).otherwise(F.col("score")).alias("score"), F.when(gone, "producer exited before returning a result").alias("error"))
-
-
-def within_limit(tasks: DataFrame, results: DataFrame, seconds: str, limit: float) -> DataFrame:
-    """Each task with its result; error rows where there is none or where it took longer than the limit."""
-    rows = tasks.select("task_id").join(results, "task_id", "left")
-    late = F.coalesce(F.col(seconds) > limit, F.lit(False))
-    error = F.when(late, F.concat(F.lit("over the limit of "), F.lit(f"{limit:g}"), F.lit(" s"))).when(F.col("score").isNull(), F.coalesce("error", F.lit("no result"))).otherwise(F.col("error"))
-    return rows.select("task_id", F.when(~late, F.col("passed")).alias("passed"), F.when(~late, F.col("score")).alias("score"), error.alias("error"))
-
-
 #: Fixed values of the step monitor: jumps that are no break, marks of a start, of an end, of a tail and of a repetition.
 JUMP, EDGE, FIRM, END_TOKENS, TAIL, AGAIN = (-4, 7), 0.1, 0.5, 3, 10.0, 5.0
 
@@ -139,8 +120,15 @@ FLAGS = "seq long, step long, position long, discontinuity boolean, false_start
 
 
 def monitored(rows: DataFrame) -> DataFrame:
-    """rows (seq, step, weights array<double>): the flags of each step; the state of a sequence is ten numbers."""
+    """rows (seq, step, weights array<double>) of a stream or a table: the flags of each step; the state of a sequence is ten numbers."""
     ship_package(rows.sparkSession)
+    if not rows.isStreaming:
+
+        def whole(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            monitor = StepMonitor()
+            return pd.DataFrame([{"seq": k[0], **monitor.step(list(w))} for w in pdf.sort_values("step")["weights"]])
+
+        return rows.groupBy("seq").applyInPandas(whole, FLAGS)
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         monitor = StepMonitor(state.get[0] if state.exists else None)

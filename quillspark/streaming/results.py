@@ -5,6 +5,7 @@ Each form takes streams and tables alike, so that a stream's result can be held
 
 from __future__ import annotations
 
+import contextlib
 import math
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -18,9 +19,23 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from ..session import ship_package
 
+#: Packs of one key that a task takes at a time.
+MANY = 64
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+@contextlib.contextmanager
+def state_in_rocks(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started inside keep their state in RocksDB, which packs need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 # results by key with a time limit
 
 
@@ -35,7 +50,7 @@ def awaited(tasks: DataFrame, results: DataFrame, limit: str, late: str = "0 sec
     """
     if results.isStreaming:
         tasks, results = tasks.withWatermark("submitted", late), results.withWatermark("done_at", late)
-        results = results.dropDuplicatesWithinWatermark(["task_id"])
+        tasks, results = tasks.dropDuplicates(["task_id", "submitted"]), results.dropDuplicatesWithinWatermark(["task_id"])
         first = results.select(F.col("task_id").alias("_id"), "done_at", "passed", "score", "error")
         found = tasks.join(first, _in_time(limit), "left_outer")
     else:
@@ -136,8 +151,13 @@ def packed(rows: DataFrame, key: str, run: Callable[[pd.DataFrame], pd.DataFrame
     rows = rows.select(key, F.col("id").cast("long").alias("id"), "payload", F.coalesce("is_end", F.lit(False)).alias("is_end"))
     if not rows.isStreaming:
         place = F.row_number().over(W.partitionBy(key).orderBy("id", "payload")) - 1
-        cut = rows.where("not is_end").withColumn("pack", F.floor(place / size).cast("int")).drop("is_end")
-        return cut.groupBy(key, "pack").applyInPandas(lambda k, pdf: tried(pdf.sort_values("id", kind="stable"), run, key, int(k[1])), schema)
+        cut = rows.where("not is_end").withColumn("pack", F.floor(place / size).cast("int")).withColumn("many", F.floor(F.col("pack") / MANY)).drop("is_end")
+
+        def some(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            packs = pdf.sort_values(["pack", "id"], kind="stable").groupby("pack", sort=True)
+            return pd.concat([tried(p.reset_index(drop=True), run, key, int(n)).astype({"error": object}) for n, p in packs], ignore_index=True)
+
+        return cut.groupBy(key, "many").applyInPandas(some, schema)
     ms = lambda text: int(pd.Timedelta(text).total_seconds() * 1000)
     processor = _Packer(key, size, run, ms(quiet) if quiet else None, ms(keep) if keep else None)
     return rows.groupBy(key).transformWithStateInPandas(processor, schema, "Append", "ProcessingTime" if quiet or keep else "None")
