@@ -63,8 +63,8 @@ def items(e: DataFrame) -> DataFrame:
 
 
 def length_of(pack: pd.DataFrame) -> pd.DataFrame:
-    """Lengths of payloads; a pack with an error event fails, one alone with a small number does so again."""
-    bad = pack["payload"].str.startswith("error")
+    """Lengths of payloads; a pack with an error event of a certain number fails, one alone with the smallest does so again."""
+    bad = pack["payload"].str.startswith('error {"k": 7')
     if len(pack) > 1 and bad.any():
         raise RuntimeError("an error event in the pack")
     if bad.any() and pack["payload"].str.len().iloc[0] < 15:
@@ -85,12 +85,12 @@ def pack_stream(s, d):
         return nulls(through(results.packed(items(as_stream(s, d, "events")), "user_id", length_of), "packs"))
 
 
-PACKS = """
+PACKS = '''
 WITH p AS (SELECT user_id, event_id AS id, event_type || ' ' || props AS payload, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 8 AS pack FROM events),
-b AS (SELECT *, bool_or(starts_with(payload, 'error')) OVER w AND count(*) OVER w > 1 AS alone, count(*) OVER w AS n, starts_with(payload, 'error') AND length(payload) < 15 AS bad FROM p WINDOW w AS (PARTITION BY user_id, pack))
+b AS (SELECT *, bool_or(starts_with(payload, 'error {"k": 7')) OVER w AND count(*) OVER w > 1 AS alone, count(*) OVER w AS n, starts_with(payload, 'error {"k": 7') AND length(payload) < 15 AS bad FROM p WINDOW w AS (PARTITION BY user_id, pack))
 SELECT user_id, pack, id, CASE WHEN NOT (bad AND (alone OR n = 1)) THEN length(payload)::DOUBLE END AS value, alone OR (n = 1 AND bad) AS alone,
   CASE WHEN bad AND (alone OR n = 1) THEN 'ValueError: an error event alone' END AS error
-FROM b"""
+FROM b'''
 
 
 def judged(e: DataFrame) -> DataFrame:

@@ -50,8 +50,21 @@ def listed(path: str) -> list[tuple[str, int]]:
 
 @dataclass
 class Part(InputPartition):
-    path: str
-    number: int
+    """Pieces (path, number) that a task reads one after another."""
+
+    pieces: list[tuple[str, int]]
+
+
+def dealt(pieces: list[tuple[str, int, int]], most: int) -> list[Part]:
+    """Pieces (path, number, bytes) put together to parts of about `most` bytes."""
+    out, held, size = [], [], 0
+    for path, number, n in pieces:
+        if held and size + n > most:
+            out.append(Part(held))
+            held, size = [], 0
+        held.append((path, number))
+        size += n + 1024
+    return [*out, Part(held)] if held else out
 
 
 @dataclass
@@ -136,22 +149,28 @@ class WavReader(DataSourceReader):
         self.only_header = options.get("headeronly", "false").lower() == "true"
 
     def partitions(self) -> list[Part]:
-        return [Part(p, k) for p, size in listed(self.path) for k in range(1 if self.only_header else max(1, -(-size // self.size)))]
+        if self.only_header:
+            return dealt([(p, 0, 1024) for p, _ in listed(self.path)], 4 << 20)
+        return dealt([(p, k, min(size, self.size)) for p, size in listed(self.path) for k in range(max(1, -(-size // self.size)))], self.size)
 
     def read(self, part: Part) -> Iterator[tuple]:
-        fs, p = opened(part.path)
+        for path, number in part.pieces:
+            yield from self.piece(path, number)
+
+    def piece(self, path: str, number: int) -> Iterator[tuple]:
+        fs, p = opened(path)
         with fs.open_input_file(p) as f:
-            h = wav_header(f, part.path)
+            h = wav_header(f, path)
             step = max(1, self.size // (h.channels * h.width)) * h.channels * h.width
             if self.only_header:
-                yield (part.path, h.channels, h.width, h.rate, h.size, 0, None)
+                yield (path, h.channels, h.width, h.rate, h.size, 0, None)
                 return
             # the last part takes what whole frames have left over
-            last = part.number == max(1, -(-f.size() // self.size)) - 1
-            low, high = part.number * step, h.size if last else min(h.size, (part.number + 1) * step)
-            for at in range(low, max(high, low + (part.number == 0)), step):
+            last = number == max(1, -(-f.size() // self.size)) - 1
+            low, high = number * step, h.size if last else min(h.size, (number + 1) * step)
+            for at in range(low, max(high, low + (number == 0)), step):
                 f.seek(h.start + at)
-                yield (part.path, h.channels, h.width, h.rate, h.size, at, f.read(max(0, min(step, high - at))))
+                yield (path, h.channels, h.width, h.rate, h.size, at, f.read(max(0, min(step, high - at))))
 
 
 class WavWriter(_Beside):
@@ -225,13 +244,14 @@ class JsonArrayReader(DataSourceReader):
         self.path = options["path"]
 
     def partitions(self) -> list[Part]:
-        return [Part(p, 0) for p, _ in listed(self.path)]
+        return dealt([(p, 0, size) for p, size in listed(self.path)], PART_BYTES)
 
     def read(self, part: Part) -> Iterator[tuple]:
-        fs, p = opened(part.path)
-        with fs.open_input_stream(p) as f:
-            for place, text in json_items(iter(lambda: f.read(COPY_BYTES), b""), part.path):
-                yield (part.path, place, text)
+        for path, _ in part.pieces:
+            fs, p = opened(path)
+            with fs.open_input_stream(p) as f:
+                for place, text in json_items(iter(lambda f=f: f.read(COPY_BYTES), b""), path):
+                    yield (path, place, text)
 
 
 def json_items(blocks: Iterator[bytes], path: str) -> Iterator[tuple[int | None, str]]:

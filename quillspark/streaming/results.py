@@ -10,6 +10,7 @@ import math
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -70,21 +71,27 @@ def _in_time(limit: str) -> Column:
 # packs
 
 
-def tried(pack: pd.DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], key: str, number: int) -> pd.DataFrame:
-    """Results of a pack (columns id, value of `run`); where the pack fails its rows are run once more, one by one, and a row that fails
+def tried(pack: pd.DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], number: int) -> list[tuple]:
+    """(number, id, value, alone, error) of a pack's rows; where the pack fails its rows are run once more, one by one, and a row that fails
     alone gives its error."""
     try:
-        found = run(pack).assign(alone=False, error=None)
+        found = run(pack)
+        return [(number, i, v, False, None) for i, v in zip(found["id"].tolist(), found["value"].tolist(), strict=True)]
     except Exception:
-        parts = []
+        out = []
         for k in range(len(pack)):
             row = pack.iloc[k : k + 1]
             try:
-                parts.append(run(row).assign(alone=True, error=None))
+                out.append((number, row["id"].iloc[0], float(run(row)["value"].iloc[0]), True, None))
             except Exception as e:
-                parts.append(pd.DataFrame({"id": row["id"], "value": [math.nan], "alone": True, "error": [f"{type(e).__name__}: {e}"]}))
-        found = pd.concat([p.astype({"error": object}) for p in parts], ignore_index=True)
-    return found.assign(**{key: pack[key].iloc[0], "pack": number})[[key, "pack", "id", "value", "alone", "error"]]
+                out.append((number, row["id"].iloc[0], math.nan, True, f"{type(e).__name__}: {e}"))
+        return out
+
+
+def _framed(rows: list[tuple], key: str, value: Any) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["pack", "id", "value", "alone", "error"]).astype({"error": object})
+    out.insert(0, key, [value] * len(out))
+    return out
 
 
 class _Packer(StatefulProcessor):
@@ -129,7 +136,7 @@ class _Packer(StatefulProcessor):
         number = self.number.get()[0] if self.number.exists() else 0
         for k in range(0, len(rows), self.size):
             pack = pd.DataFrame(rows[k : k + self.size], columns=["id", "payload"]).assign(**{self.key: key[0]})
-            yield tried(pack, self.run, self.key, number)
+            yield _framed(tried(pack, self.run, number), self.key, key[0])
             number += 1
         if rows:
             self.number.update((number,))
@@ -153,9 +160,11 @@ def packed(rows: DataFrame, key: str, run: Callable[[pd.DataFrame], pd.DataFrame
         place = F.row_number().over(W.partitionBy(key).orderBy("id", "payload")) - 1
         cut = rows.where("not is_end").withColumn("pack", F.floor(place / size).cast("int")).withColumn("many", F.floor(F.col("pack") / MANY)).drop("is_end")
 
-        def some(_: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            packs = pdf.sort_values(["pack", "id"], kind="stable").groupby("pack", sort=True)
-            return pd.concat([tried(p.reset_index(drop=True), run, key, int(n)).astype({"error": object}) for n, p in packs], ignore_index=True)
+        def some(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(["pack", "id"], kind="stable", ignore_index=True)
+            numbers = pdf.pop("pack").to_numpy()
+            cuts = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1), len(pdf)]
+            return _framed([r for a, b in zip(cuts[:-1], cuts[1:], strict=True) for r in tried(pdf.iloc[a:b], run, int(numbers[a]))], key, k[0])
 
         return cut.groupBy(key, "many").applyInPandas(some, schema)
     ms = lambda text: int(pd.Timedelta(text).total_seconds() * 1000)
