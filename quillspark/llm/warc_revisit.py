@@ -32,14 +32,21 @@ from ._common import CELL_ROWS, checkpointed, dealt_join
 NOT_MERGED = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-connection", "te", "trailer", "transfer-encoding", "upgrade")
 
 
+#: Parameters that only track: these names, and all that start with TRACKS.
+TRACKING, TRACKS = ("ref", "sessionid"), "utm_"
+
+
 def canonical(url: Column) -> Column:
-    """Without scheme, fragment, user part, default port, `www.`, tracking parameters, and slashes at the end; host in lower case."""
+    """Without scheme, fragment, user part, default port, `www.`, tracking and empty parameters, and, where no parameter is left, slashes at the
+    end; host in lower case. Parameters are whole parts between `&` behind the first `?`, compared by their exact name; the path is not searched."""
     rest = F.regexp_replace(F.regexp_replace(url, "#.*$", ""), "^[A-Za-z][A-Za-z0-9+.-]*://", "")
     host = F.regexp_extract(rest, "^[^/?]*", 0)
     tail = F.substring(rest, F.length(host) + 1, F.length(rest))
     host = F.regexp_replace(F.regexp_replace(F.lower(host), "^.*@|:(80|443)$", ""), r"^www\.", "")
-    tail = F.regexp_replace(tail, "(utm_[a-z]+|ref|sessionid)=[^&]*(&|$)", "")
-    return F.concat(host, F.regexp_replace(tail, "/*[?&]*$", ""))
+    path, query = F.substring_index(tail, "?", 1), F.regexp_extract(tail, r"(?s)\?(.*)$", 1)
+    name = lambda p: F.substring_index(p, "=", 1)
+    kept = F.filter(F.split(query, "&"), lambda p: (p != "") & ~name(p).isin(*TRACKING) & ~name(p).startswith(TRACKS))
+    return F.concat(host, F.when(F.size(kept) > 0, F.concat(path, F.lit("?"), F.array_join(kept, "&"))).otherwise(F.regexp_replace(path, "/+$", "")))
 
 
 def lower_names(headers: Column) -> Column:
@@ -107,11 +114,15 @@ def query(spark, sf_dir: str) -> DataFrame:
 ORACLE_SQL = r"""
 WITH c AS (
   SELECT page_id, html, regexp_replace(regexp_replace(url, '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS rest FROM pages),
+u AS (
+  SELECT page_id, html, regexp_extract(rest, '^[^/?]*') AS host, string_split(substr(rest, length(regexp_extract(rest, '^[^/?]*')) + 1), '?') AS parts FROM c),
+q AS (
+  SELECT page_id, html, regexp_replace(regexp_replace(lower(host), '^.*@|:(80|443)$', '', 'g'), '^www\.', '') AS host, parts[1] AS path,
+         list_filter(string_split(array_to_string(parts[2:], '?'), '&'), lambda p: p <> '' AND string_split(p, '=')[1] NOT IN ('ref', 'sessionid') AND string_split(p, '=')[1][1:4] <> 'utm_') AS kept FROM u),
 k AS (
   SELECT page_id, md5(coalesce(html, '')) AS digest, coalesce(strlen(html), 0) AS len, 'day ' || (page_id % 28)::VARCHAR AS day,
-         regexp_replace(regexp_replace(lower(regexp_extract(rest, '^[^/?]*')), '^.*@|:(80|443)$', '', 'g'), '^www\.', '')
-         || regexp_replace(regexp_replace(substr(rest, length(regexp_extract(rest, '^[^/?]*')) + 1), '(utm_[a-z]+|ref|sessionid)=[^&]*(&|$)', '', 'g'), '/*[?&]*$', '') AS u
-  FROM c),
+         host || CASE WHEN len(kept) > 0 THEN path || '?' || array_to_string(kept, '&') ELSE rtrim(path, '/') END AS u
+  FROM q),
 f AS (SELECT u, page_id * 10 AS ts, page_id * 3 AS record_id, digest, day, len FROM k),
 v AS (
   SELECT u, page_id * 10 + 13 AS ts, page_id * 3 + 1 AS record_id, CASE WHEN page_id % 5 = 0 THEN 'changed' ELSE 'W/' || digest END AS etag, NULL AS day FROM k
