@@ -14,7 +14,8 @@ hash is under a limit that lets about four times as many through as are wanted,
 
 Defined results: a null text and one without a letter are `und` with score 0, rejected. Ties go to the language with
 more labelled rows, then the first by name. Without any labelled row all is `und`. A null doc_id is not learned from
-and not held out. Texts of any length are read whole. Repeated rows are judged alike; an empty table gives an empty result. lang,
+and not held out. Every learned language has a dictionary: where its texts have fewer than three words, of the words there are; an excerpt
+of fewer gives way to the text from its first letter on. Texts of any length are read whole. Repeated rows are judged alike; an empty table gives an empty result. lang,
 source and other columns play no part in a prediction.
 """
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._common import python_ready
+from ._common import free_name, python_ready
 
 BLOCK, PIECE, DICT_BYTES, MOST_LANGUAGES = 4096, 3, 112 * 1024, 1000
 LEAD = b"0" * 64 + b" "
@@ -43,11 +44,13 @@ def letters(text: str | None) -> str:
 
 
 def dictionary(excerpts: list[str]) -> bytes:
-    pieces: dict[str, None] = {}
-    for x in excerpts:
-        words = letters(x).split()
-        pieces.update({" ".join(words[k : k + PIECE]): None for k in range(0, len(words) - PIECE + 1, PIECE)})
-    return " ".join(sorted(pieces, key=lambda p: (zlib.crc32(p.encode()), p))).encode()[:DICT_BYTES]
+    """Pieces of PIECE words; where no excerpt has so many, what words there are. Repeated up to the 8 bytes that a dictionary needs."""
+    texts = [letters(x).split() for x in excerpts]
+    pieces = {" ".join(w[k : k + PIECE]): None for w in texts for k in range(0, len(w) - PIECE + 1, PIECE)} or {" ".join(w): None for w in texts if w}
+    out = " ".join(sorted(pieces, key=lambda p: (zlib.crc32(p.encode("utf-8", "surrogatepass")), p))).encode("utf-8", "surrogatepass")[:DICT_BYTES]
+    while 0 < len(out) < 8:
+        out += b" " + out
+    return out
 
 
 def train(docs: DataFrame, per_language: int = 400, excerpt: int = 800) -> dict[str, bytes]:
@@ -65,6 +68,7 @@ def train(docs: DataFrame, per_language: int = 400, excerpt: int = 800) -> dict[
     share = {r.lang: min(1.0, 4 * max(per_language, 25) / r.texts) for r in counts}
     limit = F.try_element_at(F.create_map(*[F.lit(x) for lang, q in share.items() for x in (lang, min(2**63 - 1, int((2 * q - 1) * 2**63)))]).cast("map<string,long>"), F.col("lang"))
     cut = F.substring(F.col("text"), (F.length("text") / 3).cast("int") + 1, F.lit(excerpt))
+    cut = F.when(F.regexp_count(cut, F.lit(r"\p{L}+")) >= PIECE, cut).otherwise(F.substring(F.regexp_extract("text", r"(?s)\p{L}.*", 0), F.lit(1), F.lit(excerpt)))
     drawn = usable.where(order <= limit).groupBy("lang", order.alias("o"), "h").agg(F.min(cut).alias("x"))
     place = F.row_number().over(W.partitionBy("lang").orderBy("o", "h"))
     rows = drawn.withColumn("r", place).where(F.col("r") <= per_language).select("lang", "x").collect()  # per_language rows a language at most
@@ -72,7 +76,7 @@ def train(docs: DataFrame, per_language: int = 400, excerpt: int = 800) -> dict[
     for r in sorted(rows, key=lambda r: r.x):
         by[r.lang].append(r.x)
     made = {lang: dictionary(x) for lang, x in by.items()}
-    return {lang: d for lang, d in made.items() if len(d) >= 8}
+    return {lang: d for lang, d in made.items() if d}
 
 
 class Classifier:
@@ -141,7 +145,7 @@ def identify(docs: DataFrame, least_margin: float = 0.002) -> DataFrame:
 def keep_identified(docs: DataFrame, least_margin: float = 0.002) -> DataFrame:
     """The rows of docs whose language is not rejected, with the columns of docs; those named like a column of the
     prediction (lang_pred, score, rejected) are set aside meanwhile."""
-    aside = {c: f"_own_{i}" for i, c in enumerate(docs.columns) if c.lower() in ("lang_pred", "score", "rejected")}
+    aside = {c: free_name(docs, f"_own_{i}") for i, c in enumerate(docs.columns) if c.lower() in ("lang_pred", "score", "rejected")}
     plain = docs.withColumnsRenamed(aside)
     out = _labelled(plain, plain.columns, least_margin).where(~F.col("rejected")).drop("lang_pred", "score", "rejected")
     return out.withColumnsRenamed({v: k for k, v in aside.items()}).select(*docs.columns)
