@@ -2,7 +2,7 @@
 
 Documents are pre-aggregated to cells (source, language, topic) with their tokens. The cells' shares are raked to the
 targets of the three marginals in turn; after each round a share is held at what the cell has at all. Rounds go on until no share
-moves by more than `tolerance`. What those holds keep back of the budget then goes to the cells that have more, in proportion to their
+moves by more than `tolerance`, or, where targets are only met in the limit (a share has to go to 0), up to MOST_ROUNDS. What those holds keep back of the budget then goes to the cells that have more, in proportion to their
 shares. A cell's documents are sampled with the probability that gives it its share of the token budget. `marginals` tells how
 far each target, and the budget, is from what is expected: a target of more tokens than there are cannot be met.
 
@@ -29,7 +29,9 @@ from pyspark.sql import functions as F
 from ._common import checkpointed, dealt_join
 
 DIMS = ("source", "lang", "topic")
-MOST_LOCAL, MOST_ROUNDS = 200_000, 500
+MOST_LOCAL, MOST_ROUNDS = 200_000, 200
+#: Shares that still move by so much after MOST_ROUNDS are no result; what moves less is taken, and `marginals` tells what is left.
+MOST_MOVED = 1e-3
 TOKEN = "[^ \\t\\n\\x0B\\f\\r]+"
 
 
@@ -65,7 +67,9 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, t
     moved, rounds = 1.0, 0
     while moved > tolerance and total:
         if rounds >= MOST_ROUNDS:
-            raise ValueError(f"shares still move by {moved} after {rounds} rounds")
+            if moved > MOST_MOVED:
+                raise ValueError(f"shares still move by {moved} after {rounds} rounds")
+            break
         for k in range(5):
             if k == 4:
                 out = out.withColumn("_was", F.col("_x"))
