@@ -1,8 +1,8 @@
 """Operator 6: exact deduplication by content-defined chunk recipes. DataFrame operations only.
 
-The text without white space is cut where its content says so: after the first sentence mark that follows 512
-characters; where there is none within 4096, after the first two characters in a row, 512 or more behind the start, whose numbers
-leave 3 divided by 8 (of the first 592 characters of Unicode); after 8192 characters at the latest. A dictionary of all distinct
+The text without white space is cut, as UTF-8 bytes, where its content says so: after the first sentence mark that follows 512
+bytes; where there is none within 4096, after the first two bytes, 512 or more behind the start and at most three apart, that both
+leave 3 divided by 8, as bytes of letters of every script may; after 8192 bytes at the latest. A dictionary of all distinct
 chunks proves that no identifier (MD5, or SHA-256 should one collide) stands for two chunks; each chunk text moves once for that,
 and no document moves. A document is then its recipe, the ordered list of its chunks' identifiers, which is stored; equal recipes are
 equal texts. The groups are joined back to the stored rows, large ones in pieces.
@@ -24,14 +24,17 @@ from pyspark.sql import functions as F
 from ._common import checkpointed, dealt_join, stored
 
 SPACE = r"[\x20\x09-\x0D]+"
-#: Characters whose number leaves 3 divided by 8, for texts without marks.
-RARE = "[" + "".join(f"\\x{{{c:x}}}" for c in range(3, 592, 8)) + "]"
-CHUNK = rf"(?s).{{512,4096}}?(?:[.!?。！？।]|\z)|.{{512,8192}}?(?:{RARE}{{2}}|\z)|.{{1,8192}}"
+#: Sentence marks as UTF-8 bytes: . ! ? and those of Chinese, Devanagari, Arabic and Urdu.
+MARK = r"(?:[.!?]|\xE3\x80\x82|\xEF\xBC[\x81\x9F]|\xE0\xA5\xA4|\xD8\x9F|\xDB\x94)"
+#: Bytes that leave 3 divided by 8, which letters of every script have.
+RARE = "[" + "".join(f"\\x{c:02x}" for c in range(3, 256, 8)) + "]"
+CHUNK = rf"(?s).{{512,4096}}?(?:{MARK}|\z)|.{{512,8192}}?(?:{RARE}.{{0,2}}{RARE}|\z)|.{{1,8192}}"
 IDENTIFIERS: tuple[Callable[[Column], Column], ...] = (lambda c: F.unhex(F.md5(c)), lambda c: F.unhex(F.sha2(c, 256)))
 
 
 def chunks(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(CHUNK), F.lit(0))
+    """Pieces of the text's UTF-8 bytes, each byte as one character."""
+    return F.regexp_extract_all(F.decode(F.encode(text, "UTF-8"), "ISO-8859-1"), F.lit(CHUNK), F.lit(0))
 
 
 def clashes(norm: DataFrame, ident: Callable[[Column], Column]) -> DataFrame:
