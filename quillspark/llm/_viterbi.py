@@ -29,20 +29,19 @@ class _Counts(dict):
 
 class Segmenter:
     """pieces: (text, score) of the ordinary pieces. Unknown characters score the lowest piece's score less 10 and
-    count as one piece, or as their UTF-8 bytes with byte fallback.
+    count as their UTF-8 bytes (byte fallback).
 
     Where no piece holds a pair of adjacent characters, every best path has a boundary between them, so the text is
     cut there and the cuts are counted alone: after a word before a mark, after a mark before a word, and before
     spaces. Texts that hold one of the pairs that contradict this are cut before spaces only if no piece forbids it."""
 
-    def __init__(self, pieces: list[tuple[str, float]], byte_fallback: bool):
+    def __init__(self, pieces: list[tuple[str, float]]):
         self.auto = ahocorasick.Automaton()
         for text, score in pieces:
             if text:
                 self.auto.add_word(text, (len(text), float(score)))
         self.auto.make_automaton()
         self.unknown = min(s for _, s in pieces) - 10.0
-        self.byte_fallback = byte_fallback
         kind = lambda c: 2 if c == SPACE else int(bool(re.match(r"\w", c)))
         pairs = {t[i : i + 2] for t, _ in pieces for i in range(len(t) - 1)}
         self.whole = any(a != SPACE and b == SPACE for a, b in pairs)
@@ -59,12 +58,12 @@ class Segmenter:
         n = len(text)
         score, pieces = [0.0] * (n + 1), [0] * (n + 1)
         at, high, best, single = 0, None, 0, False
-        unknown, fallback = self.unknown, self.byte_fallback
+        unknown = self.unknown
 
         def close() -> None:
             nonlocal at, high, best, single
             if not single and (high is None or score[at] + unknown > high):
-                high, best = score[at] + unknown, pieces[at] + (len(text[at].encode("utf-8", "surrogatepass")) if fallback else 1)
+                high, best = score[at] + unknown, pieces[at] + len(text[at].encode("utf-8", "surrogatepass"))
             at += 1
             score[at], pieces[at] = high, best
             high, best, single = None, 0, False
@@ -92,7 +91,7 @@ class Segmenter:
         return sum(map(self.known.__getitem__, cut.findall(text)))
 
 
-def segmenter(digest: str, pieces, byte_fallback: bool) -> Segmenter:
+def segmenter(digest: str, pieces) -> Segmenter:
     if digest not in _made:
-        _made[digest] = Segmenter(pieces(), byte_fallback)
+        _made[digest] = Segmenter(pieces())
     return _made[digest]

@@ -141,6 +141,17 @@ def test_texts_without_marks_are_cut_by_content(spark, make):
     assert len(parts[0] & parts[1]) >= 0.8 * len(parts[0])
 
 
+SCRIPTS = {"cyrillic": range(0x430, 0x450), "greek": range(0x3B1, 0x3CA), "hebrew": range(0x5D0, 0x5EB), "arabic": range(0x628, 0x64B), "han": range(0x4E00, 0x5E00), "hangul": range(0xAC00, 0xB800), "hindi": range(0x915, 0x93A)}
+
+
+@pytest.mark.parametrize("script", sorted(SCRIPTS))
+def test_letters_of_every_script_are_cut_by_content(spark, make, script):
+    rng = random.Random(34)
+    text = "".join(chr(rng.choice(SCRIPTS[script])) for _ in range(40_000))
+    parts = [set(r.c) for r in make([(1, text), (2, text[:5] + text)]).select(exact_dedup.chunks(F.col("text")).alias("c")).collect()]
+    assert len(parts[0]) > 20 and len(parts[0] & parts[1]) >= 0.8 * len(parts[0])
+
+
 # 7
 
 
@@ -221,3 +232,80 @@ def test_benchmark_bytes_are_bounded(spark, make, monkeypatch):
     monkeypatch.setattr(decontamination, "MOST_BYTES", 10)
     with pytest.raises(ValueError):
         decontamination.contaminated(make(EDGE), spark.createDataFrame([(1, "a text of many words")], "item_id long, text string"))
+
+
+# 2, 5 and 8, faults of an earlier version
+
+
+def test_targets_met_in_the_limit_end(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_ROUNDS", 30)
+    cells = [("a", "en", "t", 1000), ("b", "en", "t", 1000), ("b", "de", "t", 1000)]
+    half = {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 0.5, "de": 0.5}, "topic": {"t": 1.0}}
+    raked = _common.checkpointed(mixing.rake(spark.createDataFrame(cells, "source string, lang string, topic string, tokens long").coalesce(1), half, local=True))
+    assert max(abs(r.residual) for r in mixing.marginals(raked).collect()) < 0.02
+    monkeypatch.setattr(mixing, "MOST_MOVED", 1e-12)
+    with pytest.raises(ValueError, match="still move"):
+        mixing.rake(spark.createDataFrame(cells, "source string, lang string, topic string, tokens long").coalesce(1), half, local=True)
+
+
+URLS = {
+    "http://a/p?href=1": "a/p?href=1", "http://a/p?href=2": "a/p?href=2", "http://a/p?pref=x&b=1": "a/p?pref=x&b=1", "http://a/dp/ref=sr_1": "a/dp/ref=sr_1", "http://a/dp/ref=sr_2?ref=3": "a/dp/ref=sr_2",
+    "https://www.A.org:443/x/?utm_campaign2=1": "a.org/x", "a?utm_source=1&b=2&ref=3&&c=4&sessionid=5": "a?b=2&c=4", "a/x/?b=1": "a/x/?b=1", "a/?sessionid": "a", "a/x?b=1?ref=2": "a/x?b=1?ref=2", "a//?": "a", "http://u:p@h:80/y#f?ref=1": "h/y", "a?b=ref=1&REF=2": "a?b=ref=1&REF=2",
+}
+
+
+def test_only_whole_tracking_parameters_go(spark):
+    got = {r.u: r.c for r in spark.createDataFrame([(u,) for u in URLS], "u string").select("u", warc_revisit.canonical(F.col("u")).alias("c")).collect()}
+    assert got == URLS
+    long = "http://a/x?" + "&".join(f"k{i}=v&utm_x{i}=1" for i in range(20_000))
+    assert spark.createDataFrame([(long,)], "u string").select(F.length(warc_revisit.canonical(F.col("u")))).first()[0] == len("a/x?" + "&".join(f"k{i}=v" for i in range(20_000)))
+
+
+def test_revisits_of_other_pages_stay_apart(spark):
+    rows = [(1, "http://a/p?href=1", 1, "response", {"ETag": "x"}, 5, "one"), (2, "http://a/p?href=2", 2, "revisit", {}, None, None), (3, "http://a/p?href=1&utm_a=2", 3, "revisit", {"x": "y" * 100_000}, None, None)]
+    got = {r.record_id: (r.status, r.body_digest) for r in warc_revisit.resolve(spark.createDataFrame(rows, HEADERS)).collect()}
+    assert got == {2: ("no_response", None), 3: ("resolved", "one")}
+
+
+def test_languages_of_short_texts_have_dictionaries(spark, make):
+    short = [(k, "zwei wort", "q2") for k in range(40)]
+    assert {r.lang_pred for r in language_id.identify(make(short)).collect()} == {"q2"}
+    rng = random.Random(3)
+    both = short + [(100 + k, prose(rng, 60), "en") for k in range(40)] + [(200 + k, "!!!! 12 " * 30 + "ja", "q3") for k in range(40)]
+    got = language_id.identify(make(both)).collect()
+    assert {r.lang_pred for r in got if r.doc_id < 40} == {"q2"} and {r.lang_pred for r in got if 100 <= r.doc_id < 140} == {"en"} and {r.lang_pred for r in got if r.doc_id >= 200} == {"q3"}
+
+
+def test_predictions_equal_plain_compression(spark, make):
+    import zlib
+
+    import zstandard
+
+    rng = random.Random(5)
+    words = {lang: [f"{stem}{a}{b}" for a in "aeiou" for b in "nrst"] for lang, stem in (("x", "k"), ("y", "m"), ("z", "w"))}
+    rows = [(k, " ".join(rng.choice(words[lang]) for _ in range(rng.randint(1, 90))), lang) for k in range(150) for lang in [rng.choice("xyz")]]
+    rows += [(500, None, "x"), (501, "12 !", "y"), (502, rows[0][1], "z"), (502, rows[0][1], "z")]
+    docs = make(rows)
+    learned = {lang: sorted({t for k, t, own in rows if own == lang and t and zlib.crc32(str(k).encode()) % 3 != 1 and any(c.isalpha() for c in t)}) for lang in "xyz"}
+    counts = {lang: sum(1 for k, t, own in rows if own == lang and t and zlib.crc32(str(k).encode()) % 3 != 1 and any(c.isalpha() for c in t)) for lang in "xyz"}
+    made = {lang: language_id.dictionary(sorted(cut if len((cut := t[len(t) // 3 : len(t) // 3 + 800]).split()) >= 3 else t for t in texts)) for lang, texts in learned.items()}
+    assert language_id.train(docs) == made
+    order = sorted(made, key=lambda lang: (-counts[lang], lang))
+
+    def size(text, lang, level, lead):
+        p = zstandard.ZstdCompressionParameters.from_level(level, dict_size=len(made[lang]), write_content_size=0, write_checksum=0, write_dict_id=0)
+        c = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(made[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=p)
+        return len(c.compress(lead + text.encode()))
+
+    for r in language_id.identify(docs).collect():
+        text = language_id.letters(dict((k, t) for k, t, _ in rows)[r.doc_id])
+        if not text:
+            assert (r.lang_pred, r.score, r.rejected) == ("und", 0.0, True)
+            continue
+        for level, lead in ((6, b""), (19, language_id.LEAD)):
+            sizes = sorted((size(text, lang, level, lead), order.index(lang), lang) for lang in order)
+            margin = 1 - sizes[0][0] / sizes[1][0]
+            if margin >= 0.01:
+                break
+        assert (r.lang_pred, r.score) == (sizes[0][2], margin)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)

@@ -175,7 +175,7 @@ def test_token_counts_match_the_library():
     pieces = token_counts.read_vocabulary(token_counts.VOCABULARY)
     special = [(f"<0x{k:02X}>", 0.0) for k in range(256)]
     theirs = tokenizers.Tokenizer(Unigram([("<unk>", 0.0), *special, *pieces], 0, True))
-    ours = _viterbi.Segmenter(pieces, True)
+    ours = _viterbi.Segmenter(pieces)
     rng = random.Random(6)
     texts = ["", " ", "  a  b", "Hello wonderful world\n\tx", "你好 🙂 m².x ².", "x_y (_z) \r\n ();", "ab" * 400, *(prose(rng, 40) for _ in range(30))]
     for t in texts:
@@ -186,7 +186,7 @@ def test_token_counts_match_the_library():
 
 
 def test_viterbi_ties_go_to_the_first_start():
-    s = _viterbi.Segmenter([("a", -1.0), ("b", -1.0), ("ab", -2.0), ("c", -1.0)], False)
+    s = _viterbi.Segmenter([("a", -1.0), ("b", -1.0), ("ab", -2.0), ("c", -1.0)])
     assert s.count("ab") == 1  # ab and a+b score alike
     assert s.count("abz") == 2 and s.count("zz") == 2
 
