@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranking import value_at
+
 
 def bucket_distribution(rows: DataFrame) -> DataFrame:
     """rows (bucket, n): n_chunks, percent of all, min_len, max_len, avg_len of each bucket."""
@@ -80,7 +82,5 @@ def term_evidence(docs: DataFrame, least: int) -> DataFrame:
 
 
 def nearest_rank_95(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """The value at index int(0.95 (n - 1)) of each group's sorted values."""
-    w = W.partitionBy(*keys)
-    ranked = rows.withColumn("_rn", F.row_number().over(w.orderBy(value)) - 1).withColumn("_n", F.count("*").over(w))
-    return ranked.where(F.col("_rn") == F.floor(F.lit(0.95) * (F.col("_n") - 1))).select(*keys, F.col(value).alias("p95"))
+    """The value at index int(0.95 (n - 1)) of each group's sorted values, nulls left out."""
+    return value_at(rows, keys, value, F.floor(F.lit(0.95) * (F.col("n") - 1)), "p95")
