@@ -67,18 +67,6 @@ def split_matched(rows: DataFrame, source: DataFrame, id_: str) -> tuple[DataFra
     return rows.join(source, id_), rows.join(source, id_, "left_anti").select(id_).distinct()
 
 
-def segments_to_regions(segments: DataFrame, regions: DataFrame, slack: float = 0.001) -> DataFrame:
-    """segments (seg, start, end) to regions (region, r_start, r_end) of the same `key`: the first region that holds the middle,
-    give or take `slack`; else the one with most overlap (or the least distance), the first of equals."""
-    middle = (F.col("start") + F.col("end")) / 2
-    inside = (middle >= F.col("r_start") - slack) & (middle <= F.col("r_end") + slack)
-    overlap = F.least("end", "r_end") - F.greatest("start", "r_start")
-    met = segments.join(small(regions), "key")
-    rank = F.struct(inside.cast("int").alias("inside"), F.when(inside, 0.0).otherwise(overlap).alias("overlap"), (-F.col("region")).alias("order"))
-    best = met.groupBy("key", "seg").agg(F.max(rank).alias("b"))
-    return best.select("key", "seg", (-F.col("b.order")).alias("region"), (F.col("b.inside") == 1).alias("inside"))
-
-
 def ranked_candidates(*sources: DataFrame) -> DataFrame:
     """Union of sources (book, path), each path once with its best (first) source."""
     out = None
@@ -88,13 +76,6 @@ def ranked_candidates(*sources: DataFrame) -> DataFrame:
     return out.groupBy("book", "path").agg(F.min("priority").alias("priority"))
 
 
-def find_by_name(names: DataFrame, files: DataFrame) -> DataFrame:
-    """names (wanted), files (name): the file with that name, else the first (by name) that contains it in any case."""
-    hit = names.join(small(files), F.lower("name").contains(F.lower("wanted")))
-    best = hit.groupBy("wanted").agg(F.min(F.struct((F.col("name") != F.col("wanted")).alias("far"), "name")).alias("b"))
-    return names.join(best, "wanted", "left").select("wanted", F.col("b.name").alias("name"))
-
-
 def scored(score: Column, error: Column) -> Column:
     return score.isNotNull() & (F.coalesce(error, F.lit("")) == "")
 

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import aggregates, audio, lookup, ordered, scheduling
+from ..operators import aggregates, audio, lookup, matching, ordered, scheduling
 from .text_queries import BUCKET, SENT, sentence_rows
 
 
@@ -98,7 +98,7 @@ def interval_map(spark, d):
     base = F.unix_timestamp(F.col("ts").cast("timestamp")) % 86400
     segments = e.select((F.col("event_id") % 7).alias("key"), F.col("event_id").alias("seg"), base.cast("double").alias("start"), (base + F.col("value")).alias("end"))
     regions = spark.range(7 * 12).select((F.col("id") % 7).alias("key"), F.floor(F.col("id") / 7).alias("region"), (F.floor(F.col("id") / 7) * 7200.0 + 600).alias("r_start"), (F.floor(F.col("id") / 7) * 7200.0 + 6600).alias("r_end"))
-    return lookup.segments_to_regions(segments, regions)
+    return matching.segments_to_regions(segments, regions)
 
 
 def samples(spark, d):
@@ -144,6 +144,31 @@ def stage_cascade(spark, d):
     return lookup.cascade(one, two, 0.5)
 
 
+def cut_sql(which: str) -> str:
+    """Greedy cuts at ten minutes of the islands for which a condition holds."""
+    same = lambda a, b: f"{a}.orderkey = {b}.orderkey AND {a}.island = {b}.island"
+    return f"""WITH RECURSIVE {LINES}, l AS (SELECT l_orderkey AS orderkey, place AS i, CASE l_returnflag WHEN 'A' THEN 1 WHEN 'R' THEN 2 ELSE 0 END AS cid, sum(l_quantity * 10) OVER w AS e, l_quantity * 10 AS dur FROM lines WINDOW w AS (PARTITION BY l_orderkey ORDER BY place)),
+f AS (SELECT *, CASE WHEN lag(cid) OVER (PARTITION BY orderkey ORDER BY i) <> cid THEN 1 ELSE 0 END AS opens, bool_or(cid > 0) OVER (PARTITION BY orderkey) AS headed FROM l),
+g AS (SELECT orderkey, i, e, e - dur AS s, headed, CASE WHEN i % 3 = 0 THEN 'paragraph_end' ELSE 'period' END AS mark, sum(opens) OVER (PARTITION BY orderkey ORDER BY i) AS island FROM f),
+p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY orderkey, island ORDER BY i) - 1 AS pos, count(*) OVER (PARTITION BY orderkey, island) AS n,
+  {which} AND max(e) OVER (PARTITION BY orderkey, island) - min(s) OVER (PARTITION BY orderkey, island) > 600.5 AS long FROM g),
+o AS (SELECT a.orderkey, a.island, a.pos, a.n, coalesce(min(b.pos), a.n - 1) AS over FROM p a LEFT JOIN p b ON {same("a", "b")} AND b.pos >= a.pos AND b.e + 0.01 >= a.s + 600 WHERE a.long GROUP BY a.orderkey, a.island, a.pos, a.n),
+c AS MATERIALIZED (SELECT o.orderkey, o.island, o.pos, o.n, CASE WHEN over = o.n - 1 THEN over ELSE coalesce(min(v.pos) FILTER (v.mark = 'paragraph_end'), max(v.pos) FILTER (v.mark = 'period'), over) END AS cut
+  FROM o JOIN p v ON {same("v", "o")} AND v.pos BETWEEN over AND over + 39 GROUP BY o.orderkey, o.island, o.pos, o.n, over),
+r AS (SELECT orderkey, island, 0 AS part, pos FROM c WHERE pos = 0 UNION ALL SELECT r.orderkey, r.island, part + 1, c.cut + 1 FROM r JOIN c ON {same("c", "r")} AND c.pos = r.pos WHERE c.cut < c.n - 1)
+SELECT r.orderkey, r.island, part, a.i AS start_index, b.i AS end_index, a.s AS start_s, b.e AS end_s
+FROM r JOIN c ON {same("c", "r")} AND c.pos = r.pos JOIN p a ON {same("a", "r")} AND a.pos = r.pos JOIN p b ON {same("b", "r")} AND b.pos = c.cut
+UNION ALL SELECT orderkey, island, 0, min(i), max(i), min(s), max(e) FROM p WHERE NOT long GROUP BY orderkey, island"""
+
+
+SCHEDULE = """WITH RECURSIVE i AS MATERIALIZED (SELECT source, doc_id AS item_id, n_chars % 1500 + 1 AS len, row_number() OVER (PARTITION BY source ORDER BY n_chars % 1500 + 1, doc_id) AS p FROM documents),
+f AS (SELECT DISTINCT source, 0::BIGINT AS e, 0 AS last, {'c': 0::BIGINT, 'k': 0::BIGINT} AS a, NULL::STRUCT(c BIGINT, k BIGINT) AS b, NULL::STRUCT(c BIGINT, k BIGINT) AS d FROM i
+ UNION ALL SELECT source, e + 1, -o.z, {'c': o.c, 'k': o.k}, a, b FROM (SELECT f.*, list_min([{'c': a.c + 6 * len, 'k': a.k + 1, 'z': -1}, CASE WHEN len <= 1400 AND b IS NOT NULL THEN {'c': b.c + 3 * len, 'k': b.k + 1, 'z': -2} END,
+   CASE WHEN len <= 1000 AND d IS NOT NULL THEN {'c': d.c + 2 * len, 'k': d.k + 1, 'z': -3} END]) AS o FROM f JOIN i ON i.source = f.source AND i.p = f.e + 1)),
+w AS (SELECT source, max(p) AS e FROM i GROUP BY source UNION ALL SELECT w.source, w.e - f.last FROM w JOIN f ON f.source = w.source AND f.e = w.e WHERE w.e > 0)
+SELECT i.source, item_id, len::INTEGER AS token_length, count(w.e)::INTEGER AS batch FROM i LEFT JOIN w ON w.source = i.source AND w.e > 0 AND w.e <= i.p - 1 GROUP BY ALL"""
+
+
 QUERIES = {
     "moving_average_smooth": (
         lambda s, d: ordered.smooth(t(s, d, "events"), ["user_id"], ["ts", "event_id"], "value").select("event_id", F.round("smoothed", 6).alias("smoothed")),
@@ -183,8 +208,8 @@ f AS (SELECT *, CASE WHEN lag(cid) OVER (PARTITION BY orderkey ORDER BY i) <> ci
 SELECT orderkey, island, min(cid) AS chapter_id, CASE WHEN min(cid) = 0 THEN 'Front matter' ELSE min(title) END AS title, min(e - dur) AS start_s, max(e) AS end_s, count(*) AS n_chunks,
  string_agg(CASE WHEN i % 3 = 0 THEN 'paragraph_end' ELSE 'period' END, ',' ORDER BY i) AS marks FROM g GROUP BY orderkey, island""",
     ),
-    "chapter_subdivide": (lambda s, d: scheduling.subdivide(ordered.islands(chapter_runs(s, d), ["orderkey"], ["index"], "chapter_id"), ["orderkey", "island"], 10.0), None),
-    "chapter_export_plan": (lambda s, d: scheduling.export_plan(ordered.islands(chapter_runs(s, d), ["orderkey"], ["index"], "chapter_id"), ["orderkey"], "headings_or_minutes", 10.0), None),
+    "chapter_subdivide": (lambda s, d: scheduling.subdivide(ordered.islands(chapter_runs(s, d), ["orderkey"], ["index"], "chapter_id"), ["orderkey", "island"], 10.0), cut_sql("true")),
+    "chapter_export_plan": (lambda s, d: scheduling.export_plan(ordered.islands(chapter_runs(s, d), ["orderkey"], ["index"], "chapter_id"), ["orderkey"], "headings_or_minutes", 10.0), cut_sql("NOT headed")),
     "chunk_word_totals": (
         lambda s, d: packed(s, d).groupBy("doc_id").agg(F.sum(X.word_count(F.col("text"))).alias("n_words")),
         rf"WITH {SENT} SELECT doc_id, sum(len(regexp_extract_all(text, '\S+'))) AS n_words FROM s GROUP BY doc_id",
@@ -333,7 +358,7 @@ FROM (SELECT l_orderkey, place, count(*) OVER (PARTITION BY l_orderkey) AS n FRO
         lambda s, d: t(s, d, "part").select(F.concat(F.lit("chunk_"), F.col("p_size").cast("string"), F.lit(".wav")).alias("name")).distinct().select("name", scheduling.natural_order(F.col("name")).alias("ordinal")),
         "SELECT DISTINCT 'chunk_' || p_size || '.wav' AS name, p_size AS ordinal FROM part",
     ),
-    "schedule_batches": (schedule_batches, None),
+    "schedule_batches": (schedule_batches, SCHEDULE),
     "schedule_totals": (
         lambda s, d: schedule_batches(s, d).groupBy("source").agg(F.count("*").alias("n_items"), F.sum(F.col("token_length").cast("long")).alias("tokens")),
         "SELECT source, count(*) AS n_items, sum(n_chars % 1500 + 1) AS tokens FROM documents GROUP BY source",
@@ -351,6 +376,17 @@ FROM (SELECT l_orderkey, place, count(*) OVER (PARTITION BY l_orderkey) AS n FRO
         r"""WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(regexp_replace(lower(text), '[^\p{L}\p{N}\s]', '', 'g'), '\s+'), lambda x: x <> '')) AS l FROM documents)
 SELECT a.doc_id, CASE WHEN len(a.l) = 0 AND len(b.l) = 0 THEN 1.0 WHEN len(a.l) = 0 OR len(b.l) = 0 THEN 0.0 ELSE 2.0::DOUBLE * len(list_intersect(a.l, b.l)) / (len(a.l) + len(b.l)) END AS f1 FROM w a JOIN w b ON b.doc_id + 1 = a.doc_id""",
     ),
+    "f1_join": (
+        lambda s, d: matching.f1_join(t(s, d, "documents").select(F.col("doc_id").alias("left_id"), "text"), t(s, d, "benchmark").select(F.col("item_id").alias("right_id"), "text"), 0.3),
+        r"""WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+'), lambda x: x <> '')) AS l FROM documents),
+b AS (SELECT item_id, list_distinct(list_filter(string_split_regex(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+'), lambda x: x <> '')) AS l FROM benchmark),
+f AS (SELECT doc_id AS left_id, item_id AS right_id, CASE WHEN len(w.l) = 0 AND len(b.l) = 0 THEN 1.0 WHEN len(w.l) = 0 OR len(b.l) = 0 THEN 0.0 ELSE 2.0::DOUBLE * len(list_intersect(w.l, b.l)) / (len(w.l) + len(b.l)) END AS f1 FROM w, b)
+SELECT * FROM f WHERE f1 >= 0.3""",
+    ),
+    "names_found": (
+        lambda s, d: matching.find_by_name(t(s, d, "part").select(F.lower(F.substring("p_name", 3, 5)).alias("wanted")).distinct(), t(s, d, "part").select(F.concat("p_name", F.lit(" "), "p_type").alias("name"))),
+        "WITH w AS (SELECT DISTINCT lower(substr(p_name, 3, 5)) AS wanted FROM part) SELECT wanted, min(p_name || ' ' || p_type) AS name FROM w LEFT JOIN part ON contains(lower(p_name || ' ' || p_type), wanted) GROUP BY wanted",
+    ),
     "stage_cascade": (
         stage_cascade,
         f"""WITH {REPORT}, f AS (SELECT chunk_id, score AS stage1_score FROM r WHERE error IS NULL AND (NOT passed OR score < 0.5)),
@@ -363,7 +399,7 @@ FROM f LEFT JOIN s USING (chunk_id)""",
         "SELECT user_id AS book, event_id % 20 AS path, min(CASE event_type WHEN 'purchase' THEN 0 WHEN 'click' THEN 1 ELSE 2 END) AS priority FROM events WHERE event_type IN ('purchase', 'click', 'view') GROUP BY ALL",
     ),
     "voice_by_name": (
-        lambda s, d: lookup.find_by_name(t(s, d, "nation").select(F.lower(F.substring("n_name", 1, 3)).alias("wanted")).distinct(), t(s, d, "nation").select(F.col("n_name").alias("name"))),
+        lambda s, d: matching.find_by_name(t(s, d, "nation").select(F.lower(F.substring("n_name", 1, 3)).alias("wanted")).distinct(), t(s, d, "nation").select(F.col("n_name").alias("name"))),
         "SELECT wanted, (SELECT n_name FROM nation WHERE contains(lower(n_name), wanted) ORDER BY n_name <> wanted, n_name LIMIT 1) AS name FROM (SELECT DISTINCT lower(substr(n_name, 1, 3)) AS wanted FROM nation)",
     ),
     "cosine_pairs": (
