@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import segments
 from ..functions import text as X
-from . import aggregates, audio, ordered
+from . import aggregates, audio, lookup, ordered
+from .ranking import kept
 
 #: Fields of a report row that hold text, lists, and numbers.
 EVIDENCE_TEXTS = ("ref_normalized", "hyp_normalized", "backend", "failure_type", "device")
@@ -105,6 +108,16 @@ def phase_status(phase: Column, label: Column, current: Column, total: Column, p
     )
 
 
+def tried_cascade(stage_one: DataFrame, second: Callable[[DataFrame], DataFrame], threshold: float) -> tuple[DataFrame, str | None]:
+    """`lookup.cascade` with a second stage that is run here over the failures of the first; if it fails, however late, the cascade confirms nothing
+    and its error is returned beside it. Its rows are kept in the shared folder, so that it runs once."""
+    try:
+        rows = kept(second(lookup.confirmed_failures(stage_one, threshold)))
+    except Exception as e:
+        return lookup.cascade(stage_one, None, threshold), f"{type(e).__name__}: {e}"
+    return lookup.cascade(stage_one, rows, threshold), None
+
+
 def run_counts(cascade: DataFrame, overrides: DataFrame | None, seconds: float) -> DataFrame:
     """One row for a run of `lookup.cascade` (chunk_id, stage1_score, stage2_score, verdict): failures of stage one, rows that stage two
     saw, confirmed, cleared, unscored, those that an override (chunk_id) lets pass, and rows a second (null without a duration)."""

@@ -21,6 +21,12 @@ def with_override(rows: DataFrame, overrides: DataFrame, name: str = "override")
     return rows.join(small(dim), ["chunk_id", "text_sha256"], "left")
 
 
+def advancing(failures: DataFrame, accepted: DataFrame) -> DataFrame:
+    """The failures (chunk_id, text_sha256) that go on to the next stage: all but those with an accepted entry for that chunk and text. An accepted
+    one stays a failure."""
+    return with_override(failures, accepted, "_accepted").where("_accepted is null").drop("_accepted")
+
+
 def text_offset(audio: DataFrame, texts: DataFrame, offsets: tuple[int, ...] = (0, 1, -1)) -> DataFrame:
     """The offset k with most audio ids whose text id is id + k; of equals the first listed."""
     tried = audio.select("id", F.posexplode(F.array(*map(F.lit, offsets))).alias("place", "offset")).withColumn("text_id", (F.col("id") + F.col("offset")).cast("long"))
@@ -88,11 +94,14 @@ def confirmed_failures(rows: DataFrame, threshold: float | None = None) -> DataF
     return rows.where(scored(F.col("score"), F.col("error")) & bad)
 
 
-def cascade(stage_one: DataFrame, stage_two: DataFrame, threshold: float) -> DataFrame:
-    """Failures of stage one that stage two, which sees only those, confirms; stage-one failures stand where it has no scored row at all.
+def cascade(stage_one: DataFrame, stage_two: DataFrame | None, threshold: float) -> DataFrame:
+    """Failures of stage one that stage two, which sees only those, confirms; stage-one failures stand where it has no scored row at all. Without a
+    stage two (None: it has failed, see `jobs.tried_cascade`) nothing is confirmed, and all verdicts are `stage2_failed`.
 
     Columns chunk_id, passed, score, error; result chunk_id, stage1_score, stage2_score, verdict."""
     first = confirmed_failures(stage_one, threshold).select("chunk_id", F.col("score").alias("stage1_score"))
+    if stage_two is None:
+        return first.select("chunk_id", "stage1_score", F.lit(None).cast("double").alias("stage2_score"), F.lit("stage2_failed").alias("verdict"))
     second = stage_two.join(first.select("chunk_id"), "chunk_id", "left_semi").where(scored(F.col("score"), F.col("error")))
     any_second = second.agg(F.count("*").alias("n_second"))
     joined = first.join(second.select("chunk_id", F.col("score").alias("stage2_score"), F.col("passed").alias("p2")), "chunk_id", "left").join(F.broadcast(any_second))

@@ -78,6 +78,21 @@ def run_counts(s, d):
     return jobs.run_counts(lookup.cascade(r.select("chunk_id", "passed", "score", "error"), second, 0.5), r.where("chunk_id % 10 = 3").select("chunk_id"), 20.0)
 
 
+def failed_second_stage(s, d):
+    """Two runs of the cascade: a second stage that works, and one that fails at its last rows."""
+    r = report(s, d).select("chunk_id", "passed", "score", "error")
+
+    def again(rows, fails):
+        score = (F.col("chunk_id") % 100) / 100
+        return rows.select("chunk_id", (F.col("chunk_id") % 4 == 0).alias("passed"), F.when(F.lit(fails) & (F.col("chunk_id") % 5 == 2), F.raise_error(F.lit("decoder lost")).cast("double")).otherwise(score).alias("score"), F.lit(None).cast("string").alias("error"))
+
+    runs = []
+    for fails in (False, True):
+        rows, error = jobs.tried_cascade(r, lambda x, f=fails: again(x, f), 0.5)
+        runs.append(rows.groupBy("verdict").agg(F.count("*").alias("n")).withColumns({"fails": F.lit(fails), "told": F.lit("decoder lost" in (error or ""))}))
+    return runs[0].unionByName(runs[1])
+
+
 def edits(s, d):
     """Event types of each user in order, without repeats in a row, against those that are left when every fifth event is lost."""
     e = t(s, d, "events").select("user_id", F.struct("ts", "event_id").alias("o"), "event_type", "event_id")
@@ -251,6 +266,12 @@ SELECT event_id, CASE WHEN ph IS NOT NULL THEN 'Phase ' || ph || ': ' ELSE '' EN
         f"""WITH {REPORT}, a AS (SELECT chunk_id, chunk_id % 10 = 3 AS let, chunk_id % 9 = 0 AS lost, chunk_id % 4 = 0 AND (chunk_id % 100) / 100 >= 0.5 AS fine FROM r WHERE error IS NULL AND (NOT passed OR score < 0.5))
 SELECT count(*) AS stage1_failed, count(*) FILTER (NOT lost) AS stage2_scored, count(*) FILTER (NOT let AND NOT lost AND NOT fine) AS confirmed, count(*) FILTER (NOT let AND NOT lost AND fine) AS cleared,
   count(*) FILTER (NOT let AND lost) AS unscored, count(*) FILTER (let) AS overridden, count(*) / 20.0::DOUBLE AS rows_per_second FROM a""",
+    ),
+    "failed_second_stage": (
+        failed_second_stage,
+        f"""WITH {REPORT}, f AS (SELECT chunk_id FROM r WHERE error IS NULL AND (NOT passed OR score < 0.5))
+SELECT CASE WHEN chunk_id % 4 = 0 AND (chunk_id % 100) / 100 >= 0.5 THEN 'cleared' ELSE 'confirmed' END AS verdict, count(*) AS n, false AS fails, false AS told FROM f GROUP BY 1
+UNION ALL SELECT 'stage2_failed', count(*), true, true FROM f""",
     ),
     "alignment_edits": (
         edits,

@@ -421,18 +421,19 @@ SELECT vec_id, round_even(len(list_filter(x, lambda v: abs(v) > 0.98)) / len(x),
     "clip_features": (lambda s, d: samples(s, d).select("vec_id", audio.audio_features(s, 640)(F.col("embedding")).alias("f")).select("vec_id", "f.*"), None),
     "recording_report": (
         lambda s, d: audio.recording_report(samples(s, d), ["vec_id"], "embedding", 6, True).select(
-            "vec_id", *(F.round(c, 5).alias(c) for c in ("rms_db", "peak_db", "dynamic_db", "noise_floor_db", "clipped_percent", "level_spread", "overall")), *(f"{m}_mark" for m in audio.MARKS)
+            "vec_id", *(F.round(c, 5).alias(c) for c in ("rms_db", "peak_db", "dynamic_db", "noise_floor_db", "clipped_percent", "centroid_hz", "level_spread", "overall")), *(f"{m}_mark" for m in audio.MARKS)
         ),
         """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x, list_transform(embedding::DOUBLE[], lambda v: abs(v)) AS a, len(embedding) AS n FROM embeddings),
 l AS (SELECT *, list_transform(generate_series(0, n - 31, 30), lambda s: sqrt(list_avg(list_transform(x[s + 1:s + 30], lambda v: v * v)))) AS l FROM e),
 m AS (SELECT vec_id, 20 * log10(sqrt(list_sum(list_transform(x, lambda v: v * v)) / n) + 1e-10) AS rms_db, 20 * log10(list_max(a) + 1e-10) AS peak_db,
  20 * log10(coalesce(list_avg(list_sort(a)[1:floor(n * 0.1)::INT]), 0) + 1e-10) AS noise_floor_db, 100 * len(list_filter(a, lambda v: v >= 0.95)) / n AS clipped_percent,
+ list_transform(range(n // 2), lambda k: sqrt(pow(list_sum(list_transform(range(n), lambda j: x[j + 1] * cos(2 * pi() * k * j / n))), 2) + pow(list_sum(list_transform(range(n), lambda j: x[j + 1] * sin(2 * pi() * k * j / n))), 2))) AS mags, n,
  CASE WHEN len(l) > 1 THEN list_stddev_pop(l) / list_avg(l) END AS level_spread FROM l),
 k AS (SELECT *, peak_db - noise_floor_db AS dynamic_db, 60 AS fidelity_mark, 70 AS standards_mark, CASE WHEN clipped_percent < 0.01 THEN 100 WHEN clipped_percent < 0.1 THEN 80 WHEN clipped_percent < 1 THEN 60 ELSE 30 END AS clipping_mark,
  CASE WHEN level_spread IS NULL THEN 90 WHEN level_spread < 0.1 THEN 100 WHEN level_spread < 0.2 THEN 80 WHEN level_spread < 0.3 THEN 60 ELSE 40 END AS evenness_mark FROM m),
 r AS (SELECT *, CASE WHEN dynamic_db >= 60 THEN 100 WHEN dynamic_db >= 40 THEN 80 WHEN dynamic_db >= 20 THEN 60 ELSE 40 END AS range_mark FROM k)
 SELECT vec_id, round(rms_db, 5) AS rms_db, round(peak_db, 5) AS peak_db, round(dynamic_db, 5) AS dynamic_db, round(noise_floor_db, 5) AS noise_floor_db, round(clipped_percent, 5) AS clipped_percent,
- round(level_spread, 5) AS level_spread, round(fidelity_mark * 0.25 + range_mark * 0.25 + clipping_mark * 0.25 + evenness_mark * 0.15 + standards_mark * 0.1, 5) AS overall,
+ round(list_sum(list_transform(range(n // 2), lambda k: k * 6.0 / n * mags[k + 1])) / list_sum(mags), 5) AS centroid_hz, round(level_spread, 5) AS level_spread, round(fidelity_mark * 0.25 + range_mark * 0.25 + clipping_mark * 0.25 + evenness_mark * 0.15 + standards_mark * 0.1, 5) AS overall,
  fidelity_mark, range_mark, clipping_mark, evenness_mark, standards_mark FROM r""",
     ),
     "window_counts": (

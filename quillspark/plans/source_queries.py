@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
-from ..operators import ordered
+from ..operators import lookup, ordered
 from ..session import shared_dir
 from ..sources import reports
 from .row_queries import t
@@ -138,6 +138,14 @@ def override_files(s, d):
     return reports.overrides(s, path).select("source", "chunk_id", "text_sha256", "reason")
 
 
+def accepted_fuzzies(s, d):
+    """Failed rows that go on, as no listener has accepted them; accepted entries of every third document come from a file."""
+    docs = t(s, d, "documents").select(F.col("doc_id").alias("chunk_id"), F.sha2("text", 256).alias("text_sha256"), "n_chars")
+    entries = docs.where("chunk_id % 3 = 0").select(F.floor(F.col("chunk_id") / 100).alias("book"), F.col("chunk_id").cast("string").alias("chunk_id"), F.when(F.col("chunk_id") % 2 == 0, F.sha2("text_sha256", 256)).otherwise(F.col("text_sha256")).alias("text_sha256"), F.col("chunk_id").alias("o"))
+    path = put(files_by(entries, "book", "o", wrap=('{"accepted_fuzzies": [', "]}")), folder(s, "accepted"), "book")
+    return lookup.advancing(docs.where("n_chars % 2 = 0"), reports.accepted_fuzzies(s, path)).select("chunk_id")
+
+
 def diagnostic_rows(s, d):
     docs, labels = t(s, d, "documents"), t(s, d, "labels")
     return reports.diagnostics({"stage1": docs.select("doc_id", "lang", "n_chars"), "stage2": labels.select("doc_id", "quality")}, ["doc_id", "lang", "quality"])
@@ -261,6 +269,7 @@ SELECT value, count(*) AS n, (SELECT count(*) + 1 FROM nation) AS next_run FROM
         override_files,
         """SELECT source, doc_id AS chunk_id, sha256(text) AS text_sha256, CASE WHEN doc_id % 2 = 0 THEN 'heard by ' || lang ELSE 'manual no-fail review' END AS reason FROM documents WHERE doc_id % 5 <> 0""",
     ),
+    "accepted_fuzzies": (accepted_fuzzies, "SELECT doc_id AS chunk_id FROM documents WHERE n_chars % 2 = 0 AND NOT (doc_id % 3 = 0 AND doc_id % 2 = 1)"),
     "diagnostic_rows": (
         diagnostic_rows,
         "SELECT doc_id::VARCHAR AS doc_id, lang, NULL::VARCHAR AS quality, 'stage1' AS stage FROM documents UNION ALL SELECT doc_id::VARCHAR, NULL, quality::VARCHAR, 'stage2' FROM labels",

@@ -195,20 +195,25 @@ def failure_rows(spark: SparkSession, path: str, drop_passed: bool) -> DataFrame
     return aggregates.first_wins(rows, [*(c for c in rows.columns if c not in known), "chunk_id"], ["pos"])
 
 
-def overrides(spark: SparkSession, path: str, default: str = "manual no-fail review") -> DataFrame:
-    """Override entries (chunk_id, text_sha256, reason, position); none for a missing or broken file."""
+def overrides(spark: SparkSession, path: str, default: str = "manual no-fail review", container: str = "passes") -> DataFrame:
+    """Override entries (chunk_id, text_sha256, reason, position) of an array, or of an object that holds it under `container`; none for a missing or broken file."""
     kind = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("chunk_id", "text_sha256", "reason")]))
     empty = spark.createDataFrame([], "chunk_id long, text_sha256 string, reason string, position int")
     if not _exists(spark, path):
         return empty
     files = spark.read.text(path, wholetext=True)
     keep = files.drop("value").columns
-    listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", kind)).otherwise(F.from_json(F.get_json_object("value", "$.passes"), kind))
+    listed = F.when(F.ltrim("value").startswith("["), F.from_json("value", kind)).otherwise(F.from_json(F.get_json_object("value", f"$.{container}"), kind))
     rows = files.select(*keep, F.posexplode(listed).alias("position", "r"))
     out = rows.select(*keep, F.col("r.chunk_id").try_cast("long").alias("chunk_id"), "r.text_sha256", F.coalesce(F.nullif("r.reason", F.lit("")), F.lit(default)).alias("reason"), "position")
     return out.where("chunk_id is not null and length(text_sha256) = 64")
 
 
+def accepted_fuzzies(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of failures that a listener has accepted as they are; see `lookup.advancing`."""
+    return overrides(spark, path, "listener-approved context-repaired fuzzy", "accepted_fuzzies")
+
+
 def diagnostics(stages: dict[str, DataFrame], fields: list[str]) -> DataFrame:
     """All stages' rows, tagged and cut to one set of fields; missing fields are null."""
     out = None
