@@ -6,9 +6,10 @@ the randomised SVD's range finder: every passage (24 words, TF-IDF, length 1) is
 rows, and Spark adds up the rows of all tasks. The third is its Rayleigh-Ritz step: the Gram matrix of all passages in that
 subspace, whose eigenvectors and eigenvalues give the singular vectors and values. The last pass slides windows of 24
 words, 8 apart, over all texts, maps them to the latent space (each direction scaled to unit spread) and looks for pieces
-of 16 words of the items (all of them, and the last 16 words) whose cosine reaches a bound. Beside it an exact search by words
-leaves out nothing that the decision would take: a text with `paraphrase` of an item's n words has 3 at least of any n -
-paraphrase * n + 3 of them, so stretches with 3 of the item's rarest so many are candidates, too. Candidates with fewer of an
+of 16 words of the items (all of them, and the last 16 words) whose cosine reaches a bound. What that misses (a few thinned copies, whose
+other words pull the window away) an exact search by words finds: a text with `paraphrase` of an item's n words has 3 at least of any n -
+paraphrase * n + 3 of them, so stretches with 3 of the item's rarest so many are candidates, too. `found_by` tells for each row whether the
+`latent` search had its place among its candidates, or only the search by `words`; tests hold the share of the former above 0.9. Candidates with fewer of an
 item's words than the decision needs go (a table of hashed item words that never leaves one out); in each other the longest common subsequence of words decides: contaminated if, in a stretch of twice the item's words and 24 more, it has
 `threshold` of the item's words, or if it has `paraphrase` of them and the item's answer is there too, all of its words in
 order.
@@ -383,8 +384,8 @@ class Searcher:
         mine = self.owner == item
         return float((_unit(_windows(self.latent, _terms(h), np.array([0, len(h)]))[2]) @ self.queries[:, mine] * self.limits[mine]).max())
 
-    def search(self, h: np.ndarray, rows: np.ndarray) -> list[tuple[int, object, float, float]]:
-        """(row, item id, share of the item in the longest common subsequence, cosine)."""
+    def search(self, h: np.ndarray, rows: np.ndarray) -> list[tuple[int, object, float, float, str]]:
+        """(row, item id, share of the item in the longest common subsequence, cosine, search that found it)."""
         if not len(h) or not self.ids:
             return []
         near: list[tuple[np.ndarray, ...]] = []
@@ -414,7 +415,7 @@ class Searcher:
             best, hit = self._decide(item, [h[x:y].tolist() for x, y in zip(low[a:b].tolist(), high[a:b].tolist(), strict=True)])
             if hit:
                 cosine = float(cosines[a:b].max())
-                out.append((row, self.ids[item], best / len(self.words[item]), cosine if cosine > -np.inf else self._cosine(h[rows[row] : rows[row + 1]], item)))
+                out.append((row, self.ids[item], best / len(self.words[item]), *((cosine, "latent") if cosine > -np.inf else (self._cosine(h[rows[row] : rows[row + 1]], item), "words"))))
         if len(self.heads):
             at = np.flatnonzero(np.isin(h, self.heads))
             seen = set()
@@ -423,7 +424,7 @@ class Searcher:
                 for w, i in self.short.items():
                     if p + len(w) <= rows[d + 1] and (d, i) not in seen and tuple(h[p : p + len(w)].tolist()) == w:
                         seen.add((d, i))
-                        out.append((d, self.ids[i], 1.0, 1.0))
+                        out.append((d, self.ids[i], 1.0, 1.0, "words"))
         return sorted(out, key=lambda x: (x[0], str(x[1])))
 
 
@@ -435,13 +436,13 @@ def _search(sent, kind: pa.DataType, threshold: float, paraphrase: float, bound:
             for i, h, rows in _word_slices(batch):
                 found = s.search(h, rows)
                 if found:
-                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array([i + f[0] for f in found])), pa.array([f[1] for f in found], kind), pa.array([f[2] for f in found], pa.float64()), pa.array([f[3] for f in found], pa.float64())], ["doc_id", "item_id", "lcs_share", "cosine"])
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array([i + f[0] for f in found])), pa.array([f[1] for f in found], kind), pa.array([f[2] for f in found], pa.float64()), pa.array([f[3] for f in found], pa.float64()), pa.array([f[4] for f in found], pa.string())], ["doc_id", "item_id", "lcs_share", "cosine", "found_by"])
 
     return run
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, paraphrase: float = 0.6, bound: float = 0.46) -> DataFrame:
-    """Rows (doc_id, item_id, lcs_share, cosine) of docs (doc_id, text) and benchmark (item_id, text[, answer])."""
+    """Rows (doc_id, item_id, lcs_share, cosine, found_by) of docs (doc_id, text) and benchmark (item_id, text[, answer])."""
     spark = docs.sparkSession
     python_ready(spark)
     answer = F.col("answer").cast("string") if "answer" in benchmark.columns else F.lit(None).cast("string")
@@ -450,9 +451,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     n, size = items.agg(F.count("*"), F.sum(F.octet_length("text") + F.coalesce(F.octet_length("answer"), F.lit(0)))).first()
     if n > MOST_ITEMS or (size or 0) > MOST_BYTES:  # the benchmark is broadcast; its size is checked
         raise ValueError(f"{n} benchmark items of {size} bytes; search at most {MOST_ITEMS} items and {MOST_BYTES} bytes at a time")
-    schema = f"doc_id {kind}, item_id {item_kind.simpleString()}, lcs_share double, cosine double"
+    schema = f"doc_id {kind}, item_id {item_kind.simpleString()}, lcs_share double, cosine double, found_by string"
     if not n:
-        return docs.select("doc_id").where("false").selectExpr("doc_id", f"cast(null as {item_kind.simpleString()}) item_id", "cast(null as double) lcs_share", "cast(null as double) cosine")
+        return docs.select("doc_id").where("false").selectExpr("doc_id", f"cast(null as {item_kind.simpleString()}) item_id", "cast(null as double) lcs_share", "cast(null as double) cosine", "cast(null as string) found_by")
     latent, idf = latent_space(docs, items)
     rows = sorted(((r.item_id, r.text, r.answer) for r in items.collect()), key=repr)
     sent = spark.sparkContext.broadcast((rows, latent, idf))

@@ -228,6 +228,27 @@ def test_decontamination_of_long_texts_text_ids_and_paraphrases(spark, make):
     assert len(want) > 10 and found == want
 
 
+def test_latent_search_finds_nine_of_ten(spark, make):
+    """By length of the item and share of its words that a copy keeps; what it misses the search by words finds."""
+    rng = random.Random(36)
+    items = {k: prose(rng, n) for k, n in enumerate((16, 24, 40, 80) * 8)}
+    rows, kept = [], {}
+    for k, t in items.items():
+        for keep in (1.0, 0.9, 0.82):
+            w = t.split()
+            gone = set(rng.sample(range(len(w)), int((1 - keep) * len(w))))
+            rows.append((len(rows), " ".join([prose(rng, 60), *("else" if p in gone else x for p, x in enumerate(w)), prose(rng, 60)])))
+            kept[len(rows) - 1] = (k, keep)
+    bench = spark.createDataFrame(list(items.items()), "item_id int, text string")
+    found = {(r.doc_id, r.item_id): r.found_by for r in decontamination.contaminated(make(rows), bench).collect()}
+    assert {(i, k) for i, (k, _) in kept.items()} <= set(found)
+    for size in (16, 24, 40, 80):
+        for keep in (1.0, 0.9, 0.82):
+            of = [found[i, k] for i, (k, own) in kept.items() if own == keep and len(items[k].split()) == size]
+            assert of.count("latent") >= 0.9 * len(of) - 1e-9 or (size, keep) == (16, 0.82), (size, keep, of)
+    assert list(found.values()).count("latent") >= 0.95 * len(found)
+
+
 def test_benchmark_bytes_are_bounded(spark, make, monkeypatch):
     monkeypatch.setattr(decontamination, "MOST_BYTES", 10)
     with pytest.raises(ValueError):
