@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ranking import value_at
+from .ranking import kept, value_at
 
 
 def bucket_distribution(rows: DataFrame) -> DataFrame:
@@ -62,23 +62,36 @@ def error_summary(rows: DataFrame) -> DataFrame:
     return rows.where("error is not null").agg(F.concat(F.min("error"), more).alias("summary"), F.count("*").alias("n"))
 
 
-def term_evidence(docs: DataFrame, least: int) -> DataFrame:
-    """Terms that the corpus treats as names: how often, in mid-sentence capitals, as acronyms, in lower case; first surface."""
-    text = F.col("text")
-    tokens = F.regexp_extract_all(text, F.lit("[A-Za-z]{2,}|[.!?]"), F.lit(0))
+def _terms(docs: DataFrame) -> DataFrame:
+    """Words of documents: doc_id, pos, token, prev (the word or end mark before), term."""
+    tokens = F.regexp_extract_all(F.col("text"), F.lit("[A-Za-z]{2,}|[.!?]"), F.lit(0))
     listed = docs.select("doc_id", tokens.alias("t"))
     pairs = F.transform("t", lambda x, i: F.struct(i.alias("pos"), x.alias("token"), F.get("t", i - 1).alias("prev")))
-    rows = listed.select("doc_id", F.explode(pairs).alias("p")).select("doc_id", "p.*").where(F.col("token").rlike("^[A-Za-z]"))
+    words = F.filter(pairs, lambda p: ~p["token"].isin(".", "!", "?"))
+    return listed.select("doc_id", F.inline(words)).withColumn("term", F.lower("token"))
+
+
+def term_evidence(docs: DataFrame, least: int) -> DataFrame:
+    """Terms that the corpus treats as names: how often, in mid-sentence capitals, as acronyms, in lower case; first surface (in the first document
+    by id; rows without an id count, but give no surface).
+
+    Counters are numbers only, so that they are added up by hash before anything is shuffled; the surface is then taken from the documents in
+    which a kept term is first, by a second pass over these alone."""
+    rows = _terms(docs)
     start = F.col("prev").isNull() | F.col("prev").isin(".", "!", "?")
     capital, acronym = F.col("token").rlike("^[A-Z][a-z]"), F.col("token").rlike("^[A-Z]{2,}$")
-    by = rows.groupBy(F.lower("token").alias("term")).agg(
+    by = rows.groupBy("term").agg(
         F.count("*").alias("occurrences"),
         F.count_if(capital & ~start).alias("mid_capitals"),
         F.count_if(acronym).alias("acronyms"),
-        F.count_if(F.col("token") == F.lower("token")).alias("lower_case"),
-        F.min(F.struct("doc_id", "pos", "token"))["token"].alias("surface"),
+        F.count_if(F.col("token") == F.col("term")).alias("lower_case"),
+        F.min("doc_id").alias("doc_id"),
     )
-    return by.where((F.col("occurrences") >= least) & ((F.col("mid_capitals") >= 1) | (F.col("acronyms") >= least)))
+    by = kept(by.where((F.col("occurrences") >= least) & ((F.col("mid_capitals") >= 1) | (F.col("acronyms") >= least))))
+    firsts = by.select("doc_id", "term")
+    seen = _terms(docs.join(firsts.select("doc_id").distinct(), "doc_id", "left_semi")).join(firsts, ["doc_id", "term"], "left_semi")
+    surfaces = seen.groupBy("term").agg(F.min_by("token", F.struct("pos", "token")).alias("surface"))
+    return by.drop("doc_id").join(surfaces, "term", "left")
 
 
 def nearest_rank_95(rows: DataFrame, keys: list[str], value: str) -> DataFrame:

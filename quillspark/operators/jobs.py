@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import segments
 from ..functions import text as X
 from . import aggregates, audio, lookup, ordered
-from .ranking import kept
+from .ranking import kept, placed
 
 #: Fields of a report row that hold text, lists, and numbers.
 EVIDENCE_TEXTS = ("ref_normalized", "hyp_normalized", "backend", "failure_type", "device")
@@ -55,9 +55,9 @@ def parameter_key(params: Column) -> Column:
 
 
 def first_seen_groups(rows: DataFrame, keys: list[str], index: str) -> DataFrame:
-    """`group` numbers the groups from 0 in the order of their first rows. Ranks are over groups, not rows."""
+    """`group` numbers the groups from 0 in the order of their first rows."""
     firsts = rows.groupBy(*keys).agg(F.min(index).alias("_first"))
-    numbered = firsts.withColumn("group", F.row_number().over(W.orderBy("_first")) - 1).drop("_first")
+    numbered = placed(firsts, [], ["_first"], "group").withColumn("group", F.col("group").cast("int")).drop("_first")
     same = None
     for k in keys:
         one = F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))

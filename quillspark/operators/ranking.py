@@ -21,15 +21,26 @@ def placed(rows: DataFrame, keys: list[str], order: list[str], out: str = "place
     Rows are dealt by ranges of (keys, order), so a large group lies in many tasks; a row's place is that in its task plus the rows of the
     group in the tasks before, which are counted by (group, task)."""
     dealt = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
-    dealt = kept(dealt.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
-    parts = dealt.groupBy(*keys, "_part").agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.partitionBy(*keys).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_part"]]
-    joined = dealt.alias("l").join(parts.withColumn("_before", before).alias("r"), same)
-    place = F.col("_at") - F.col("_first") + F.col("_before")
+    dealt = kept(dealt.withColumns({"_r_part": F.spark_partition_id(), "_r_at": F.monotonically_increasing_id()}))
+    parts = dealt.groupBy(*keys, "_r_part").agg(F.min("_r_at").alias("_r_first"), F.count("*").alias("_r_n"))
+    before = F.coalesce(F.sum("_r_n").over(W.partitionBy(*keys).orderBy("_r_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_r_part"]]
+    joined = dealt.alias("l").join(parts.withColumn("_r_before", before).alias("r"), same)
+    place = F.col("_r_at") - F.col("_r_first") + F.col("_r_before")
     return joined.select(*(f"l.{c}" for c in rows.columns), place.alias(out))
 
 
+def running_total(rows: DataFrame, keys: list[str], order: list[str], value: Column, out: str) -> DataFrame:
+    """rows with the sum of a value over the rows before in the group, in `order` (0 for the first; nulls add nothing), dealt as in `placed`."""
+    dealt = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    dealt = kept(dealt.withColumns({"_r_part": F.spark_partition_id(), "_r_at": F.monotonically_increasing_id(), "_r_value": F.coalesce(value, F.lit(0))}))
+    ahead = lambda w: F.coalesce(F.sum("_r_value").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = dealt.groupBy(*keys, "_r_part").agg(F.sum("_r_value").alias("_r_value")).withColumn("_r_before", ahead(W.partitionBy(*keys).orderBy("_r_part")))
+    inside = dealt.withColumn("_r_inside", ahead(W.partitionBy(*keys, "_r_part").orderBy("_r_at")))
+    same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*keys, "_r_part"]]
+    return inside.alias("l").join(parts.alias("r"), same).select(*(f"l.{c}" for c in rows.columns), (F.col("_r_inside") + F.col("_r_before")).alias(out))
+
+
 def value_at(rows: DataFrame, keys: list[str], value: str, index: Column, out: str, buckets: int = 1024, few: int = 4096) -> DataFrame:
     """The value at an index (an expression of the group's number of rows, `n`) of each group's sorted values, from 0; nulls count for nothing.
 

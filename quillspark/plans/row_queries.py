@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import aggregates, audio, lookup, matching, ordered, scheduling
+from ..operators import aggregates, audio, lookup, matching, ordered, ranking, scheduling
 from .text_queries import BUCKET, SENT, sentence_rows
 
 
@@ -448,7 +448,7 @@ c AS (SELECT vec_id, x, (n - 12) // 12 + CASE WHEN ((n - 12) % 12 + 12) / 24 >=
 SELECT vec_id, k, round(sqrt(list_sum(list_transform(x[k * 12 + 1 : k * 12 + 24], lambda v: v * v)) / 24), 5) AS level FROM w""",
     ),
     "pack_offsets": (
-        lambda s, d: t(s, d, "documents").select("source", "doc_id", (F.sum(F.col("n_chars") + 5).over(W.partitionBy("source").orderBy("doc_id").rowsBetween(W.unboundedPreceding, 0)) - F.col("n_chars") - 5).alias("offset")),
+        lambda s, d: ranking.running_total(t(s, d, "documents").select("source", "doc_id", "n_chars"), ["source"], ["doc_id"], F.col("n_chars") + 5, "offset").drop("n_chars"),
         'SELECT source, doc_id, sum(n_chars + 5) OVER (PARTITION BY source ORDER BY doc_id) - n_chars - 5 AS "offset" FROM documents',
     ),
     "padded_rows": (

@@ -18,6 +18,10 @@ def test_places(spark):
         by[g].append((v, i))
     assert sorted((str(r.g), r.place, r.v, r.id) for r in got) == sorted((str(g), k, *x) for g, xs in by.items() for k, x in enumerate(sorted(xs)))
     assert ranking.placed(spark.createDataFrame([], "g string, v int"), ["g"], ["v"]).count() == 0
+    df = spark.createDataFrame([(g, i, None if v == 7 else v) for g, v, i in rows], "g string, id int, v int")
+    sums = {(g, i): sum(0 if w == 7 else w for h, w, j in rows if h == g and j < i) for g, _, i in rows}
+    assert {(r.g, r.id): r.t for r in ranking.running_total(df, ["g"], ["id"], F.col("v"), "t").collect()} == sums
+    assert [r.p for r in ranking.placed(df, [], ["id"], "p").orderBy("id").collect()] == list(range(3000))
 
 
 @pytest.mark.parametrize("few", [0, 40])
