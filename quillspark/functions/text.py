@@ -173,22 +173,26 @@ def replace_in_order(text: Column, table: dict[str, str]) -> Column:
     return text
 
 
+#: What is replaced after lines are stripped and quotes are straight, in this order. They decide the output.
+SMART_STEPS = (
+    (r"\*\*([^*]+)\*\*", "$1"),
+    (r"_{2,}", ""),
+    (r"\\([\"'])", "$1"),
+    (r"([\"'])\s*,\s*([\"'])", "$1, $2"),
+    (r"([\"'])\s*\.\s*([\"'])", "$1. $2"),
+    (r"([\"'])\s*([,.])\s*([\"'])\s*([,.])", "$1$2 $3"),
+    (r"\"", ""),
+    (r"'(?![\p{L}\p{N}_])", ""),
+    (r"(?<![\p{L}\p{N}_])'", ""),
+)
+
+
 def smart_punctuate(text: Column, abbreviations: dict[str, str] | None = None) -> Column:
     """Lines stripped, straight quotes, markdown bold and rules gone, then all quotes that are not apostrophes gone."""
     out = replace_in_order(text, abbreviations or {})
     out = F.array_join(F.transform(F.split(out, r"\r\n|\r|\n"), strip), "\n")
     out = F.translate(out, "\u201c\u201d\u2018\u2019", "\"\"''")
-    for pattern, to in (
-        (r"\*\*([^*]+)\*\*", "$1"),
-        (r"_{2,}", ""),
-        (r"\\([\"'])", "$1"),
-        (r"([\"'])\s*,\s*([\"'])", "$1, $2"),
-        (r"([\"'])\s*\.\s*([\"'])", "$1. $2"),
-        (r"([\"'])\s*([,.])\s*([\"'])\s*([,.])", "$1$2 $3"),
-        (r"\"", ""),
-        (r"'(?![\p{L}\p{N}_])", ""),
-        (r"(?<![\p{L}\p{N}_])'", ""),
-    ):
+    for pattern, to in SMART_STEPS:
         out = F.regexp_replace(out, pattern, to)
     return out
 

@@ -199,6 +199,12 @@ def artifact_marks(y: np.ndarray, rate: int) -> tuple[float, float]:
 FEATURES = T.StructType([T.StructField(n, T.DoubleType()) for n in ("hum_ratio", "steady_ratio", "spectral_score", "cepstral_score", "artifact_score", "end_rms_ratio", "end_zero_crossings", "end_low_share", "centroid_hz", "noise_floor_db")] + [T.StructField("hum", T.BooleanType()), T.StructField("end_artifact", T.BooleanType()), T.StructField("trim_at", T.LongType())])
 
 
+#: What marks the end of a clip as broken (level against the middle, zero crossings, share below 150 Hz); how often the threshold makes
+#: a window loud, or fair, and the share of the ten windows from a loud one that must be over it.
+END_RATIO, END_CROSSINGS, END_LOW, LOW_HZ = 0.6, 0.2, 0.4, 150
+LOUD, FAIR, LOUD_SHARE = 3, 2, 0.3
+
+
 def _features(y: np.ndarray, rate: int, threshold: float) -> dict:
     spectrum, hz = np.abs(np.fft.rfft(y)), np.fft.rfftfreq(len(y), 1 / rate)
     band = (hz >= HUM_HZ[0]) & (hz <= HUM_HZ[1])
@@ -213,8 +219,8 @@ def _features(y: np.ndarray, rate: int, threshold: float) -> dict:
     if len(y) >= 2 * size > 0:
         end, middle = y[-size:], y[len(y) // 2 : len(y) // 2 + size]
         e, f = np.abs(np.fft.rfft(end)), np.fft.rfftfreq(size, 1 / rate)
-        ratio, crossings, low = level(end) / (level(middle) + 1e-10), float(np.mean(np.diff(np.sign(end)) != 0)), float(e[f < 150].sum() / (e.sum() + 1e-10))
-        out |= {"end_rms_ratio": ratio, "end_zero_crossings": crossings, "end_low_share": low, "end_artifact": ratio > 0.6 or crossings > 0.2 or low > 0.4}
+        ratio, crossings, low = level(end) / (level(middle) + 1e-10), float(np.mean(np.diff(np.sign(end)) != 0)), float(e[f < LOW_HZ].sum() / (e.sum() + 1e-10))
+        out |= {"end_rms_ratio": ratio, "end_zero_crossings": crossings, "end_low_share": low, "end_artifact": ratio > END_RATIO or crossings > END_CROSSINGS or low > END_LOW}
     else:
         out |= {"end_rms_ratio": None, "end_zero_crossings": None, "end_low_share": None, "end_artifact": False}
     half = spectrum[: max(1, len(y) // 2)]
@@ -223,8 +229,8 @@ def _features(y: np.ndarray, rate: int, threshold: float) -> dict:
     out["noise_floor_db"] = float(20 * np.log10((quiet.mean() if len(quiet) else 0.0) + 1e-10))
     window = max(2, rate // 20)
     loud = np.array([level(y[i : i + window]) for i in range(0, len(y) - window, window // 2)])
-    strong = [i for i in np.flatnonzero(loud > 3 * threshold)[::-1] if (loud[i : i + 10] > threshold).sum() >= max(1, 0.3 * min(10, len(loud) - i))]
-    fair = np.flatnonzero(loud > 2 * threshold)
+    strong = [i for i in np.flatnonzero(loud > LOUD * threshold)[::-1] if (loud[i : i + 10] > threshold).sum() >= max(1, LOUD_SHARE * min(10, len(loud) - i))]
+    fair = np.flatnonzero(loud > FAIR * threshold)
     at = strong[0] if strong and strong[0] else (fair[-1] if len(fair) else 0)
     return out | {"trim_at": int(at) * (window // 2)}
 
