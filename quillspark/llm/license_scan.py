@@ -8,7 +8,7 @@ template's shingles has a Jaccard similarity of 1/12 at least with it, so the ch
 the window. Windows without any shingle of any template can't meet in a band and get no signature.
 
 Defined results: rows only for documents with a match, one for each document row and license: its best window (the
-first of equals). A null or empty text and one of fewer than five words match nothing. Repeated rows match alike; null
+first of equals). Texts of any length are read whole, in slices. A null or empty text and one of fewer than five words match nothing. Repeated rows match alike; null
 ids pass; an empty table gives an empty result. Other columns are ignored.
 """
 

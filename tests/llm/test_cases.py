@@ -330,3 +330,23 @@ def test_predictions_equal_plain_compression(spark, make):
                 break
         assert (r.lang_pred, r.score) == (sizes[0][2], margin)
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
+# 7 and 9, ties and repeats
+
+
+def test_equal_windows_and_repeated_rows_of_licenses(spark, make):
+    name, line = next((n, t) for n, t in license_scan.TEMPLATES.items() if len(t.split()) >= 5)
+    twice = f"{line} {'filler word ' * 300}{line}"
+    rows = [(1, twice), (2, twice), (2, twice), (None, line)]
+    got = sorted(((str(r.doc_id), r.license, r.containment) for r in license_scan.scan_licenses(make(rows)).collect() if r.license == name))
+    assert got == [("1", name, 1.0), ("2", name, 1.0), ("2", name, 1.0), ("None", name, 1.0)]
+
+
+def test_repeated_and_very_long_urls(spark):
+    long = "http://example.org/es/" + "a/" * 100_000
+    urls = [(1, long), (1, long), (2, "http://" + "sub." * 2_000 + "example.org/en/1"), (3, None), (None, "http://x.com/fr/1"), (4, "")]
+    got = sorted(((str(r.page_id), len(r.host), r.rule, r.verdict) for r in url_filter.filter_urls(spark.createDataFrame(urls, "page_id long, url string")).collect()), key=repr)
+    assert [g for g in got if g[0] == "1"] == [("1", 11, "example.org/es/", "block")] * 2
+    assert [g[2:] for g in got if g[0] == "2"] == [("example.org/en/1", "block")] and [g[2:] for g in got if g[0] == "None"] == [("com/fr/", "allow")]
+    assert [g[1:3] for g in got if g[0] in ("3", "4")] == [(0, None)] * 2 and len(got) == 6
