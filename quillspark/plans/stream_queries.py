@@ -171,7 +171,18 @@ FROM j WHERE there OR ts + INTERVAL 40 MINUTE < (SELECT max(ts) FROM events)""",
         """SELECT count(*) AS rows, count(*) FILTER (event_type = 'error') AS errors, count(*) FILTER (event_type <> 'error' AND value >= 10) AS passed,
   count(*) FILTER (event_type <> 'error' AND coalesce(value < 10, true)) AS failed, count(*) AS in_sink, 0 AS unequal FROM events""",
     ),
-    "step_flags": (step_flags, None),
+    "step_flags": (
+        step_flags,
+        """WITH RECURSIVE e AS (SELECT label::BIGINT AS seq, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS k, list_transform(embedding, lambda x: abs(x)::DOUBLE) AS w, len(embedding) AS n FROM embeddings),
+m AS (SELECT seq, k, n, list_transform(range(n), lambda j: CASE WHEN j <= k THEN w[j + 1] ELSE 0.0 END) AS w FROM e),
+h AS MATERIALIZED (SELECT seq, k, n, list_position(w, list_max(w)) - 1 AS here, greatest(w[n - 1], w[n]) AS edge, list_max(w[1:4]) AS early FROM m),
+p AS (SELECT seq, k, n, CASE WHEN here < 7 THEN here ELSE 0 END AS place, here >= 7 AS broken FROM h WHERE k = 0
+ UNION ALL SELECT h.seq, h.k, h.n, CASE WHEN here - place > -4 AND here - place < 7 THEN here ELSE place END, NOT (here - place > -4 AND here - place < 7) FROM p JOIN h ON h.seq = p.seq AND h.k = p.k + 1),
+c AS (SELECT seq, k, greatest(coalesce(lag(edge) OVER w, 0), edge) > 0.1 OR max(early) OVER w < 0.5 AS unsure FROM h WINDOW w AS (PARTITION BY seq ORDER BY k)),
+s AS (SELECT seq, min(k) FILTER (NOT unsure) AS started FROM c GROUP BY seq), d AS (SELECT seq, min(k) FILTER (place >= n - 3) AS done FROM p GROUP BY seq)
+SELECT p.seq, max(k) + 1 AS steps, count(*) FILTER (broken) AS breaks, count(*) FILTER (started IS NULL OR k < started) AS false_starts, count(*) FILTER (k >= done) AS complete
+FROM p JOIN s USING (seq) JOIN d USING (seq) GROUP BY p.seq""",
+    ),
     "stitched_sounds": (
         stitched_sounds,
         """SELECT user_id, 1 AS channels, 2 AS width, 16000 AS rate, 10 * count(*) AS bytes, 0 AS offset,
