@@ -417,7 +417,11 @@ SELECT label, pos, round(x / sqrt(sum(x * x) OVER (PARTITION BY label)), 5) AS x
 SELECT vec_id, round_even(len(list_filter(x, lambda v: abs(v) > 0.98)) / len(x), 4) AS clipping_ratio, round_even(len(list_filter(x, lambda v: abs(v) < 1e-4)) / len(x), 4) AS silence_ratio,
  round(sqrt(list_sum(list_transform(x, lambda v: v * v)) / len(x)), 6) AS rms, round(pk, 6) AS peak, round(CASE WHEN abs(-3.0 - 20 * log10(pk)) >= 0.05 THEN greatest(-24.0, least(24.0, -3.0 - 20 * log10(pk))) END, 4) AS gain_db FROM p""",
     ),
-    "energy_drops": (lambda s, d: samples(s, d).select("vec_id", audio.mid_energy_drop(F.col("embedding"), 8, 0.8).alias("drop")), None),
+    "energy_drops": (
+        lambda s, d: samples(s, d).select("vec_id", audio.mid_energy_drop(F.col("embedding"), 8, 0.8).alias("drop")),
+        """WITH l AS (SELECT vec_id, list_transform(range(0, len(embedding) - 8, 8), lambda s: sqrt(list_sum(list_transform(embedding[s + 1:s + 8], lambda v: v::DOUBLE * v)) / 8)) AS l FROM embeddings)
+SELECT vec_id, coalesce(list_bool_or(list_transform(range(4, len(l)), lambda i: l[i] < 0.8 * list_avg(l) AND l[i + 1] < 0.8 * list_avg(l))), false) AS drop FROM l""",
+    ),
     "clip_features": (lambda s, d: samples(s, d).select("vec_id", audio.audio_features(s, 640)(F.col("embedding")).alias("f")).select("vec_id", "f.*"), None),
     "recording_report": (
         lambda s, d: audio.recording_report(samples(s, d), ["vec_id"], "embedding", 6, True).select(

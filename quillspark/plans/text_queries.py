@@ -66,6 +66,23 @@ def smart_punctuated(spark, d):
     return _docs(spark, d).select("doc_id", F.md5(X.smart_punctuate(F.concat(F.lit("“Well”, ‘so’ "), "text", F.lit(" **bold** __ don't 'x'")))).alias("digest"), X.word_count(X.smart_punctuate(F.col("text"))).alias("n_words"))
 
 
+SMART_INPUT = """'“Well”, ‘so’ ' || text || ' **bold** __ don''t ''x'''"""
+
+
+def smart_sql(text: str) -> str:
+    """The steps of smart punctuation; the last two, which look around, as runs of apostrophes before and behind what is no letter."""
+    lines = rf"array_to_string(list_transform(string_split_regex({text}, '\r\n|\r|\n'), lambda l: regexp_replace(l, '^\s+|\s+$', '', 'g')), chr(10))"
+    out = f"translate({lines}, '“”‘’', '\"\"''''')"
+    quote = "([\"''])"
+    steps = (
+        (r"\*\*([^*]+)\*\*", r"\1"), ("_{2,}", ""), (rf"\\{quote}", r"\1"), (rf"{quote}\s*,\s*{quote}", r"\1, \2"), (rf"{quote}\s*\.\s*{quote}", r"\1. \2"), (rf"{quote}\s*([,.])\s*{quote}\s*([,.])", r"\1\2 \3"),
+        ('"', ""), (r"''+([^\p{L}\p{N}_'']|$)", r"\1"), ("''{2,}", "''"), (r"(^|[^\p{L}\p{N}_])''", r"\1"),
+    )
+    for pattern, to in steps:
+        out = f"regexp_replace({out}, '{pattern}', '{to}', 'g')"
+    return out
+
+
 def term_filter(spark, d):
     return _docs(spark, d).where(F.lower("text").contains("the th")).select("doc_id", "lang")
 
@@ -134,7 +151,10 @@ count(*) AS n, count(DISTINCT l) AS n_distinct FROM k GROUP BY 1""",
         rf"SELECT doc_id, sha256(regexp_replace(regexp_replace({fold_sql('text')}, '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')) AS hash FROM documents",
     ),
     "abbreviations_replaced": (abbreviations_replaced, "SELECT doc_id, md5(replace(replace(replace(text, 'the', 'THE'), 'and', '&'), 'THEr', 'Ther')) AS digest FROM documents"),
-    "smart_punctuated": (smart_punctuated, None),
+    "smart_punctuated": (
+        smart_punctuated,
+        rf"SELECT doc_id, md5({smart_sql(SMART_INPUT)}) AS digest, len(regexp_extract_all({smart_sql('text')}, '\S+')) AS n_words FROM documents",
+    ),
     "dialogue_repaired": (
         lambda s, d: s.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", X.repair_dialogue(F.concat(F.lit('\\"Yes", ". '), F.col("text"), F.when(F.col("turn") % 2 == 0, ' said "x" , "').otherwise(""))).alias("text")),
         r"""SELECT conv_id, turn, CASE WHEN contains(p, 'said') OR contains(p, 'replied') THEN regexp_replace(regexp_replace(p, '(["''])\s*,\s*["'']\s*\.', '\1.', 'g'), '(["''])\s*,\s*["'']\s*$', '\1.', 'g') ELSE p END AS text
