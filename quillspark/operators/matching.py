@@ -95,8 +95,8 @@ def f1_join(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
     """left (left_id, text), right (right_id, text): all pairs whose word sets have an F1 of `least` or more (above 0), with f1.
 
     Sets whose F1 is t share t / (2 - t) of the words of either one at least, so when words are sorted from rare to frequent, pairs
-    meet in a word among the first of both; only these are joined, frequent words hardly ever. Pairs of too unequal size are left out before the
-    sets, which are joined to the pairs by id, are compared exactly. Two empty sets are a pair. Ids must be unique on each side."""
+    meet in a word among the first of both; only these are joined, frequent words hardly ever. Pairs that have too few words left behind such a
+    word, or are of too unequal size, are left out before the sets, which are joined to the pairs by id, are compared exactly. Two empty sets are a pair. Ids must be unique on each side."""
     if not 0 < least <= 1:
         raise ValueError("least must be above 0, and 1 at most")
     part = least / (2 - least)
@@ -108,9 +108,11 @@ def f1_join(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
         ranked = words[k].join(counts, "word").groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("freq", "word"))).alias("m"))
         # with the slack of a rounding error one word more may be taken, never one less
         take = F.col("n") - F.ceil(F.col("n") * F.lit(part) - 1e-9).cast("int") + 1
-        return ranked.select(F.col("id").alias(f"{k}_id"), F.col("n").alias(f"{k}_n"), F.explode(F.slice("m", F.lit(1), F.greatest(take, F.lit(1)))["word"]).alias("word"))
+        return ranked.select(F.col("id").alias(f"{k}_id"), F.col("n").alias(f"{k}_n"), F.posexplode(F.slice("m", F.lit(1), F.greatest(take, F.lit(1)))["word"]).alias(f"{k}_at", "word"))
 
-    near = (F.col("left_n") >= F.col("right_n") * part - 1e-9) & (F.col("right_n") >= F.col("left_n") * part - 1e-9)
+    # behind the first word that two sets share, no more words can be shared than either has left
+    most = F.least(F.col("left_n") - F.col("left_at"), F.col("right_n") - F.col("right_at"))
+    near = most >= (F.col("left_n") + F.col("right_n")) * (least / 2) - 1e-9
     pairs = firsts("left").join(firsts("right"), "word").where(near).select("left_id", "right_id").distinct()
     with_sets = pairs.join(sides["left"].select(F.col("id").alias("left_id"), F.col("words").alias("a")), "left_id").join(sides["right"].select(F.col("id").alias("right_id"), F.col("words").alias("b")), "right_id")
     out = with_sets.select("left_id", "right_id", word_f1(F.col("a"), F.col("b")).alias("f1")).where(F.col("f1") >= F.lit(least))

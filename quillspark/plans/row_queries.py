@@ -377,11 +377,11 @@ FROM (SELECT l_orderkey, place, count(*) OVER (PARTITION BY l_orderkey) AS n FRO
 SELECT a.doc_id, CASE WHEN len(a.l) = 0 AND len(b.l) = 0 THEN 1.0 WHEN len(a.l) = 0 OR len(b.l) = 0 THEN 0.0 ELSE 2.0::DOUBLE * len(list_intersect(a.l, b.l)) / (len(a.l) + len(b.l)) END AS f1 FROM w a JOIN w b ON b.doc_id + 1 = a.doc_id""",
     ),
     "f1_join": (
-        lambda s, d: matching.f1_join(t(s, d, "documents").select(F.col("doc_id").alias("left_id"), "text"), t(s, d, "benchmark").select(F.col("item_id").alias("right_id"), "text"), 0.3),
+        lambda s, d: matching.f1_join(t(s, d, "documents").select(F.col("doc_id").alias("left_id"), "text"), t(s, d, "benchmark").select(F.col("item_id").alias("right_id"), "text"), 0.5),
         r"""WITH w AS (SELECT doc_id, list_distinct(list_filter(string_split_regex(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+'), lambda x: x <> '')) AS l FROM documents),
 b AS (SELECT item_id, list_distinct(list_filter(string_split_regex(regexp_replace(lower(text), '[^\p{L}\p{N}_\s]', '', 'g'), '\s+'), lambda x: x <> '')) AS l FROM benchmark),
 f AS (SELECT doc_id AS left_id, item_id AS right_id, CASE WHEN len(w.l) = 0 AND len(b.l) = 0 THEN 1.0 WHEN len(w.l) = 0 OR len(b.l) = 0 THEN 0.0 ELSE 2.0::DOUBLE * len(list_intersect(w.l, b.l)) / (len(w.l) + len(b.l)) END AS f1 FROM w, b)
-SELECT * FROM f WHERE f1 >= 0.3""",
+SELECT * FROM f WHERE f1 >= 0.5""",
     ),
     "names_found": (
         lambda s, d: matching.find_by_name(t(s, d, "part").select(F.lower(F.substring("p_name", 3, 5)).alias("wanted")).distinct(), t(s, d, "part").select(F.concat("p_name", F.lit(" "), "p_type").alias("name"))),
