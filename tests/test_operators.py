@@ -299,6 +299,19 @@ def test_long_pairs_take_the_best_path():
     assert compare._Grid(ref, hyp, 0.85, frozenset(), frozenset()).search(100) is None
 
 
+def test_a_search_settles_few_cells_beside_the_path():
+    ref = [f"w{'abcdefghij'[k % 10]}{'klmnopqrst'[k // 10 % 10]}{'uvwxyzabcd'[k // 100]}" for k in range(600)]
+    for hyp in (ref, ref[1:], [*ref, *ref[-1:] * 3], ref[:300] + ref[303:]):
+        path = compare._Grid(ref, hyp, 0.85, frozenset(), frozenset()).search(2600)
+        assert path is not None and path == compare._table_path(ref, hyp, 0.85, frozenset())
+
+
+@given(st.lists(st.sampled_from(["one", "oh", "a", "12", "$5", "nineties", "to", "cent", "<", "-", "½", "٣"]), max_size=6).map(" ".join))
+@settings(max_examples=100, deadline=None)
+def test_texts_without_numbers_are_not_read(text):
+    assert compare.numbers.replace_numbers(text) == compare.numbers._Reader(text).slots()
+
+
 def test_homographs():
     groups = [["read", "red", "reed all about"], ["U.S.", "you ess"], ["one two three four", "x"], ["a b", "c d"]]
     pairs = rules.homograph_pairs(groups)
