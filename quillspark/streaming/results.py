@@ -46,7 +46,7 @@ def awaited(tasks: DataFrame, results: DataFrame, limit: str, late: str = "0 sec
     results (task_id, done_at timestamp, passed, score, error). A stream-stream left outer join: both sides keep their rows only until
     the watermark, which is `late` behind the newest rows of the slower side, says that nothing can match any more; a task without a
     result in time then gives its error row. A task that still waits has no row yet in a stream, while a table is taken as complete. Repeats of a
-    result are equal: a stream takes the first that comes, a table the earliest. A result earlier than its task, of an older task of that
+    result are equal: a stream takes the first that comes, a table the earliest and of several the least, null last. A result earlier than its task, of an older task of that
     name, is not the task's. Null ids and times match nothing.
     """
     if results.isStreaming:
@@ -57,8 +57,10 @@ def awaited(tasks: DataFrame, results: DataFrame, limit: str, late: str = "0 sec
     else:
         first = results.select(F.col("task_id").alias("_id"), "done_at", "passed", "score", "error")
         found = tasks.join(first, _in_time(limit), "left_outer")
-        earliest = F.min(F.struct("done_at", "passed", "score", "error")).alias("r")
-        found = found.groupBy("task_id", "submitted").agg(earliest).select("task_id", "submitted", "r.*")
+        # null behind all values, as in SQL
+        ordered = [x for c in ("done_at", "passed", "score", "error") for x in (F.col(c).isNull().alias(f"no_{c}"), c)]
+        earliest = F.min(F.struct(*ordered)).alias("r")
+        found = found.groupBy("task_id", "submitted").agg(earliest).select("task_id", "submitted", "r.done_at", "r.passed", "r.score", "r.error")
     there = F.col("done_at").isNotNull()
     error = F.when(there, F.col("error")).otherwise(F.lit(f"no result within {limit}"))
     return found.select("task_id", "submitted", "done_at", F.when(there, F.col("passed")).otherwise(F.lit(False)).alias("passed"), F.when(there, F.col("score")).otherwise(F.lit(0.0)).alias("score"), error.alias("error"))

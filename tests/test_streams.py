@@ -59,6 +59,12 @@ def test_results_within_the_limit_over_restarts_and_late_files(spark, tmp_path):
     assert got == sorted((tuple(r[c] for c in ("task_id", "passed", "score", "error")) for r in table.collect()), key=repr)
 
 
+def test_of_results_of_one_time_a_null_is_the_last(spark):
+    done = spark.createDataFrame([("a", at(5), None, None, None), ("a", at(5), True, 0.5, None), ("a", at(5), True, 0.5, "line 2"), ("b", at(5), None, 0.1, None)], RESULT)
+    got = R.awaited(spark.createDataFrame([("a", at(0)), ("b", at(0)), ("c", at(0))], TASK), done, "60 seconds")
+    assert sorted(tuple(r)[3:] for r in got.collect() if r.task_id == "a") == [(True, 0.5, "line 2")] and got.where("done_at is null").count() == 1
+
+
 def score(pack):
     """Fails for packs with a bad row, and for the worst rows alone too."""
     if (pack["payload"] == "bad").any() and len(pack) > 1:
