@@ -12,6 +12,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -81,12 +82,11 @@ def tried(pack: pd.DataFrame, run: Callable[[pd.DataFrame], pd.DataFrame], numbe
         return [(number, i, v, False, None) for i, v in zip(found["id"].tolist(), found["value"].tolist(), strict=True)]
     except Exception:
         out = []
-        for k in range(len(pack)):
-            row = pack.iloc[k : k + 1]
+        for k, i in enumerate(pack["id"].tolist()):
             try:
-                out.append((number, row["id"].iloc[0], float(run(row)["value"].iloc[0]), True, None))
+                out.append((number, i, float(run(pack.iloc[k : k + 1])["value"].iloc[0]), True, None))
             except Exception as e:
-                out.append((number, row["id"].iloc[0], math.nan, True, f"{type(e).__name__}: {e}"))
+                out.append((number, i, math.nan, True, f"{type(e).__name__}: {e}"))
         return out
 
 
@@ -136,10 +136,12 @@ class _Packer(StatefulProcessor):
 
     def _packs(self, key: Any, rows: list) -> Iterator[pd.DataFrame]:
         number = self.number.get()[0] if self.number.exists() else 0
-        for k in range(0, len(rows), self.size):
-            pack = pd.DataFrame(rows[k : k + self.size], columns=["id", "payload"]).assign(**{self.key: key[0]})
-            yield _framed(tried(pack, self.run, number), self.key, key[0])
-            number += 1
+        step = MANY * self.size
+        for low in range(0, len(rows), step):
+            some = pd.DataFrame(rows[low : low + step], columns=["id", "payload"]).assign(**{self.key: key[0]})
+            packs = [some.iloc[k : k + self.size] for k in range(0, len(some), self.size)]
+            yield _framed([r for k, pack in enumerate(packs) for r in tried(pack, self.run, number + k)], self.key, key[0])
+            number += len(packs)
         if rows:
             self.number.update((number,))
 
@@ -160,15 +162,33 @@ def packed(rows: DataFrame, key: str, run: Callable[[pd.DataFrame], pd.DataFrame
     rows = rows.select(key, F.col("id").cast("long").alias("id"), "payload", F.coalesce("is_end", F.lit(False)).alias("is_end"))
     if not rows.isStreaming:
         place = F.row_number().over(W.partitionBy(key).orderBy("id", "payload")) - 1
-        cut = rows.where("not is_end").withColumn("pack", F.floor(place / size).cast("int")).withColumn("many", F.floor(F.col("pack") / MANY)).drop("is_end")
-
-        def some(k: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["pack", "id"], kind="stable", ignore_index=True)
-            numbers = pdf.pop("pack").to_numpy()
-            cuts = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1), len(pdf)]
-            return _framed([r for a, b in zip(cuts[:-1], cuts[1:], strict=True) for r in tried(pdf.iloc[a:b], run, int(numbers[a]))], key, k[0])
-
-        return cut.groupBy(key, "many").applyInPandas(some, schema)
+        cut = rows.where("not is_end").drop("is_end").withColumn("_place", place)
+
+        def some(table: pa.Table) -> pa.RecordBatch:
+            """The results of whole packs."""
+            places = table.column("_place").to_numpy()
+            cuts = [*np.flatnonzero(places % size == 0), len(places)]
+            pdf, keys = table.drop_columns("_place").to_pandas(integer_object_nulls=True), table.column(key).to_pylist()
+            out = [(keys[low], *r) for low, high in zip(cuts[:-1], cuts[1:], strict=True) for r in tried(pdf.iloc[low:high], run, int(places[low]) // size)]
+            kinds = {key: table.schema.field(key).type, "pack": pa.int32(), "id": pa.int64(), "value": pa.float64(), "alone": pa.bool_(), "error": pa.string()}
+            columns = zip(*out, strict=True) if out else [[]] * len(kinds)
+            return pa.RecordBatch.from_arrays([pa.array(list(c), t, from_pandas=True) for c, t in zip(columns, kinds.values(), strict=True)], [*kinds])
+
+        def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = None  # the last pack of a batch may go on in the next one
+            for b in batches:
+                table = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+                last = int(np.flatnonzero(table.column("_place").to_numpy() % size == 0)[-1]) if len(table) else 0
+                if last:
+                    yield some(table.slice(0, last))
+                held = table.slice(last)
+            if held is not None and len(held):
+                yield some(held)
+
+        # the work for a row is far more than its transport; by their bytes the rows would be put together in few tasks
+        spark = rows.sparkSession
+        tasks = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        return cut.repartition(tasks, key, F.floor(F.col("_place") / (MANY * size))).sortWithinPartitions(key, "_place").mapInArrow(packs, schema)
     ms = lambda text: int(pd.Timedelta(text).total_seconds() * 1000)
     processor = _Packer(key, size, run, ms(quiet) if quiet else None, ms(keep) if keep else None)
     return rows.groupBy(key).transformWithStateInPandas(processor, schema, "Append", "ProcessingTime" if quiet or keep else "None")

@@ -65,6 +65,20 @@ def test_of_results_of_one_time_a_null_is_the_last(spark):
     assert sorted(tuple(r)[3:] for r in got.collect() if r.task_id == "a") == [(True, 0.5, "line 2")] and got.where("done_at is null").count() == 1
 
 
+def test_packs_of_a_table_lie_in_many_tasks_and_go_on_over_batches(spark):
+    rows = [(k if k else None, n, "bad" if n == 9 else "x" * n, False) for k in range(3) for n in range(700)]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "13")
+    try:
+        found = R.packed(spark.createDataFrame(rows, ITEM), "k", score, 8).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set(name, before)
+    assert len({r.task for r in found}) > 2
+    want = [(k, n // 8, n, 3.0 if n == 9 else float(n), n // 8 == 1, None) for k, n, *_ in rows]
+    assert sorted((tuple(r)[:6] for r in found), key=repr) == sorted(want, key=repr)
+
+
 def score(pack):
     """Fails for packs with a bad row, and for the worst rows alone too."""
     if (pack["payload"] == "bad").any() and len(pack) > 1:
