@@ -255,49 +255,52 @@ class JsonArrayReader(DataSourceReader):
 
 
 def json_items(blocks: Iterator[bytes], path: str) -> Iterator[tuple[int | None, str]]:
-    """Items of a JSON array that comes in blocks, each as text; memory holds a block and one item."""
-    decoder, text, ended = json.JSONDecoder(), "", False
+    """Items of a JSON array that comes in blocks, each as text; memory holds a block and one item. A block is cut where the next one comes,
+    not behind each item, so that the time grows with the bytes."""
+    decoder, text, at, ended = json.JSONDecoder(), "", 0, False
     utf8 = codecs.getincrementaldecoder("utf-8-sig")()
 
     def more() -> bool:
-        nonlocal text, ended
+        nonlocal text, at, ended
         block = next(blocks, b"")
         ended = not block
-        text += utf8.decode(block, final=ended)
+        text, at = text[at:] + utf8.decode(block, final=ended), 0
         return not ended
 
-    def skip(marks: str = " \t\r\n") -> str:
-        nonlocal text
+    def skip() -> str:
+        nonlocal at
         while True:
-            text = text.lstrip(marks)
-            if text or not more():
-                return text[:1]
-
-    if skip() == "{":
-        while more():
-            pass
-        json.loads(text)
-        yield None, text.rstrip()
+            at = _SPACE.match(text, at).end()
+            if at < len(text) or not more():
+                return text[at : at + 1]
+
+    mark = skip()
+    if mark == "{":
+        rest = [text[at:], *(utf8.decode(b) for b in blocks), utf8.decode(b"", final=True)]
+        whole = "".join(rest).rstrip()
+        json.loads(whole)
+        yield None, whole
         return
-    if text[:1] != "[":
+    if mark != "[":
         raise ValueError(f"neither an array of objects nor an object: {path}")
-    text, place = text[1:], 0
+    at, place = at + 1, 0
     if skip() == "]":
         return
     while True:
         while True:
             try:
-                _, end = decoder.raw_decode(text)
+                _, end = decoder.raw_decode(text, at)
+                size = end - at
                 # a number at the end of a block may go on
-                if text[end:].lstrip(" \t\r\n")[:1] in {",", "]"} or not more():
+                if text[(behind := _SPACE.match(text, end).end()) : behind + 1] in {",", "]"} or not more():
                     break
             except json.JSONDecodeError:
                 if not more():
                     raise
-        yield place, text[:end]
-        text, place = text[end:], place + 1
+        yield place, text[at : at + size]
+        at, place = at + size, place + 1
         mark = skip()
-        text = text[1:]
+        at += 1
         if mark == "]":
             return
         if mark != ",":
@@ -305,6 +308,9 @@ def json_items(blocks: Iterator[bytes], path: str) -> Iterator[tuple[int | None,
         skip()
 
 
+_SPACE = re.compile(r"[ \t\r\n]*")
+
+
 class JsonArrayWriter(_Beside):
     """Rows (ord, value): tasks hold ranges of ord, sorted; the ranges are copied behind one another, a few MB at a time."""
 

@@ -108,3 +108,16 @@ def test_two_jobs_append(spark, tmp_path):
     assert numbers == list(range(1, 21))
     assert text.startswith("Run #1\nId: 0\nStage Note: stage, one\n0\nMissing: N/A\n")
     assert len(list((tmp_path / "report").iterdir())) == 4
+
+
+def test_a_large_block_of_items_takes_time_in_proportion():
+    import time
+
+    def seconds(n):
+        body = ("[" + ", ".join(f'{{"a": {k}}}' for k in range(n)) + "]").encode()
+        start = time.process_time()
+        assert sum(1 for _ in files.json_items(iter([body]), "x")) == n
+        return time.process_time() - start
+
+    seconds(1000)
+    assert seconds(200_000) < 60 * max(seconds(10_000), 0.01)
