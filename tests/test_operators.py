@@ -5,6 +5,7 @@ import json
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -594,3 +595,21 @@ def test_failed_comparison_is_a_row(spark):
     assert [r.error for r in compare.compare_rows(rows, "r", "h", ["id"], errors=True).collect()] == [None, None]
     with pytest.raises(Exception, match="TypeError"):
         compare.compare_rows(rows, "r", "h", ["id"], bad).collect()
+
+
+def test_results_of_texts_are_made_for_few_rows_at_a_time():
+    batch = pa.RecordBatch.from_pydict({"a": list(range(1000))})
+    pieces = list(segments.sliced(iter([batch, batch.slice(0, 1)])))
+    assert max(p.num_rows for p in pieces) <= 256 and [x for p in pieces for x in p.column("a").to_pylist()] == [*range(1000), 0]
+
+
+def test_retries_are_numbered_over_segments_without_moving_their_texts(spark):
+    rows = [(k, 0.6 if k % 2 else 0.7, 0.5, [f"{k}-{n}" for n in range(k % 4)] if k % 5 else None) for k in range(40)]
+    found = audio.retry_plan(spark.createDataFrame(rows, "chunk_id long, temperature double, exaggeration double, segments array<string>"), 2, 3)
+    groups = {}
+    for r in sorted(found.collect(), key=lambda r: (r.chunk_id, r.attempt, r.segment)):
+        groups.setdefault((r.temperature, r.exaggeration), []).append(r)
+    assert sum(map(len, groups.values())) == 2 * sum(len(r[3] or []) for r in rows)
+    assert all(r.batch == k // 3 and r.text == f"{r.chunk_id}-{r.segment}" for g in groups.values() for k, r in enumerate(g))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("explode(segments") == 1 and "_before" in plan
