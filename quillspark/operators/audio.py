@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..session import ship_package
-from .ranking import placed
+from .ranking import kept, running_total
 
 #: Bounds of synthesis parameters.
 BOUNDS = {"exaggeration": (0.1, 0.65, 2), "cfg_weight": (0.0, 1.0, 2), "temperature": (0.1, 2.35, 2), "min_p": (0.02, 0.3, 3), "repetition_penalty": (1.0, 2.0, 1)}
@@ -146,11 +146,13 @@ def attempt_parameters(params: Column, attempt: Column, temperature: float = 0.1
 def retry_plan(failed: DataFrame, attempts: int, batch: int) -> DataFrame:
     """failed (chunk_id, temperature, exaggeration, segments array<string>): a row for each attempt and segment with its
     parameter group and batch of at most `batch` segments in it."""
-    rows = failed.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(attempts))))
-    rows = rows.withColumn("p", attempt_parameters(F.struct("temperature", "exaggeration"), F.col("attempt")))
-    rows = rows.select("chunk_id", "attempt", "p", F.posexplode("segments").alias("segment", "text"))
-    rows = placed(rows, ["p"], ["chunk_id", "attempt", "segment"], "_place")  # few parameter groups, each in many tasks
-    return rows.select("chunk_id", "attempt", "p.temperature", "p.exaggeration", "segment", "text", F.floor(F.col("_place") / batch).alias("batch"))
+    failed = kept(failed.select("chunk_id", "temperature", "exaggeration", "segments").withColumn("_row", F.monotonically_increasing_id()))
+    # segments are numbered by their counts: no text is sorted or told once for each attempt
+    light = failed.select("_row", "chunk_id", "temperature", "exaggeration", F.size("segments").alias("_n")).where("_n > 0").withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(attempts))))
+    light = light.withColumn("p", attempt_parameters(F.struct("temperature", "exaggeration"), F.col("attempt"))).select("_row", "chunk_id", "attempt", "p", "_n")
+    light = running_total(light, ["p"], ["chunk_id", "attempt", "_row"], F.col("_n"), "_before")  # few parameter groups, each in many tasks
+    rows = failed.select("_row", "segments").join(light, "_row").select("chunk_id", "attempt", "p", "_before", F.posexplode("segments").alias("segment", "text"))
+    return rows.select("chunk_id", "attempt", "p.temperature", "p.exaggeration", "segment", "text", F.floor((F.col("_before") + F.col("segment")) / batch).alias("batch"))
 
 
 def renest(rows: DataFrame, keys: list[str], position: str, value: str) -> DataFrame:
