@@ -15,6 +15,13 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def dealt(rows: DataFrame, keys: list[str], most: int = 200_000) -> DataFrame:
+    """rows by the hash of their keys in so many parts that one has about `most` rows, as windows and joins by these keys sort a part several
+    times in one task; a set number of parts would grow with the input."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(parts, -(-rows.count() // most)), *keys)
+
+
 def placed(rows: DataFrame, keys: list[str], order: list[str], out: str = "place") -> DataFrame:
     """rows with their place in the group, from 0 and without gaps, in `order` (null first; rows that are equal in it stand in any order).
 

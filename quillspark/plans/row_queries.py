@@ -41,7 +41,7 @@ START = r"'^(Chapter [0-9]+|CHAPTER [0-9]+|Ch\. [0-9]+|CH\. [0-9]+|[0-9]+\.|[IVX
 def lines(spark, d):
     """Order lines with their place in the order (line numbers repeat in the data)."""
     place = F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"))
-    return t(spark, d, "lineitem").withColumn("place", place)
+    return ranking.dealt(t(spark, d, "lineitem"), ["l_orderkey"]).withColumn("place", place)
 
 
 LINES = "lines AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS place FROM lineitem)"

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import compare, numbers, rules, segments
 from quillspark.functions import text as X
-from quillspark.operators import aggregates, audio, lookup, ordered, scheduling
+from quillspark.operators import aggregates, audio, lookup, ordered, ranking, scheduling
 from quillspark.sources import reports
 from quillspark.streaming import events
 
@@ -613,3 +613,9 @@ def test_retries_are_numbered_over_segments_without_moving_their_texts(spark):
     assert all(r.batch == k // 3 and r.text == f"{r.chunk_id}-{r.segment}" for g in groups.values() for k, r in enumerate(g))
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("explode(segments") == 1 and "_before" in plan
+
+
+def test_parts_grow_in_number_not_in_size(spark):
+    rows = spark.range(5000).withColumn("k", F.col("id") % 997)
+    dealt = ranking.dealt(rows, ["k"], 100).withColumn("part", F.spark_partition_id())
+    assert dealt.select("part").distinct().count() >= 30 and dealt.groupBy("k").agg(F.count_distinct("part").alias("n")).where("n > 1").isEmpty()
