@@ -69,3 +69,20 @@ def test_pairs_by_words(spark, least):
             if f1 >= least:
                 want[a, b] = f1
     assert {(r.left_id, r.right_id): r.f1 for r in got} == want and len(got) == len(want) > 0
+
+
+def test_sets_of_no_fitting_size_are_not_kept(spark, monkeypatch):
+    stored, kept = [], matching.kept
+    monkeypatch.setattr(matching, "kept", lambda df: stored.append(kept(df)) or stored[-1])
+    long = " ".join(f"w{k}" for k in range(400))
+    left = [(1, "w1 w2 w3 only here"), (2, long), (3, "w1"), (4, ""), (5, "w1 w2 other third"), (6, "w1 w2 w3 w4 w5 w6 w7 w8 w9 w10 w11 w12")]
+    right = [(1, "w1 w2 w3 w4"), (2, "w1 w2 w9 v1 v2 v3"), (3, None)]
+    frames = [spark.createDataFrame(left, "left_id int, text string"), spark.createDataFrame(right, "right_id int, text string")]
+    got = {(r.left_id, r.right_id): r.f1 for r in matching.f1_join(*frames, 0.5).collect()}
+    assert got == {(1, 1): 6 / 9, (5, 1): 0.5, (6, 1): 0.5, (4, 3): 1.0}
+    sizes = [len(r.words) for df in stored if "words" in df.columns for r in df.collect()]
+    # left sets of 2 to 18 words may meet right ones of 4 and 6; words of one side alone are not counted
+    assert max(sizes) == 12 and sorted(r.word for df in stored if "freq" in df.columns for r in df.collect()) == ["w1", "w2", "w3", "w4", "w9"]
+    none = matching.f1_join(frames[0], frames[1].where("right_id = 3"), 0.5).collect()
+    assert [tuple(r) for r in none] == [(4, 3, 1.0)]
+    assert matching.f1_join(frames[0], frames[1].where("false"), 0.5).count() == 0
