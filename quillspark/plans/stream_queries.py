@@ -125,19 +125,20 @@ def step_flags(s, d):
     return out.groupBy("seq").agg(F.max("step").alias("steps"), F.count_if("discontinuity").alias("breaks"), F.count_if("false_start").alias("false_starts"), F.count_if("complete").alias("complete"))
 
 
-# Sound files of a user's events of one type, stitched to one for each user.
+# Sound files of a user's events of one type, in a folder for a hundred users, stitched to one for each user.
 
 
 def stitched_sounds(s, d):
     base = folder(s, "sounds")
     files.ready(s)
-    e = t(s, d, "events").select("user_id", "event_type", "event_id", F.lpad(F.col("event_id").cast("string"), 10, "0").alias("x"))
-    by = e.groupBy("user_id", "event_type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "x"))), lambda r: r["x"]), "").cast("binary").alias("payload"))
-    name = F.concat(F.lit("u"), F.col("user_id"), F.lit("-"), F.col("event_type"), F.lit(".wav"))
+    e = t(s, d, "events").select("user_id", "event_type", "event_id")
+    name = F.concat(F.lit("h"), F.floor(F.col("user_id") / 100), F.lit("/u"), F.col("user_id"), F.lit("-"), F.col("event_type"), F.lit(".wav"))
+    text = F.transform(F.sort_array(F.collect_list("event_id")), lambda x: F.lpad(x.cast("string"), 10, "0"))
+    by = e.groupBy("user_id", "event_type").agg(F.array_join(text, "").cast("binary").alias("payload"))
     clips = by.select(name.alias("name"), F.lit(1).alias("channels"), F.lit(2).alias("width"), F.lit(16000).alias("rate"), F.octet_length("payload").cast("long").alias("total"), F.lit(0).cast("long").alias("offset"), "payload")
-    clips.repartition("name").sortWithinPartitions("name", "offset").write.format("wav_parts").mode("append").option("path", f"{base}/clips").save()
-    plan = e.select("user_id", "event_type").distinct().select(F.concat(F.lit("user-"), F.col("user_id"), F.lit(".wav")).alias("name"), F.when(F.col("event_type") == "view", 0).otherwise(F.ascii("event_type")).alias("index"), F.concat(F.lit(f"{base}/clips/u"), F.col("user_id"), F.lit("-"), F.col("event_type"), F.lit(".wav")).alias("path"))
-    files.stitch(plan, f"{base}/clips", f"{base}/out")
+    clips.repartition(F.substring_index("name", "/", 1)).sortWithinPartitions("name", "offset").write.format("wav_parts").mode("append").option("path", f"{base}/clips").save()
+    plan = e.select("user_id", "event_type").distinct().select(F.concat(F.lit("user-"), F.col("user_id"), F.lit(".wav")).alias("name"), F.when(F.col("event_type") == "view", 0).otherwise(F.ascii("event_type")).alias("index"), F.concat(F.lit(f"{base}/clips/"), name).alias("path"))
+    files.stitch(plan, f"{base}/clips", f"{base}/out", deep=True)
     rows = s.read.format("wav_parts").load(f"{base}/out")
     return rows.select(F.regexp_extract("path", "user-([0-9]+)", 1).cast("long").alias("user_id"), "channels", "width", "rate", "bytes", "offset", F.md5("payload").alias("digest"))
 

@@ -14,7 +14,7 @@ import os
 import re
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
@@ -24,6 +24,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from ..operators.ranking import kept
 from ..session import ship_package
 
 PART_BYTES, COPY_BYTES = 8 << 20, 4 << 20
@@ -34,8 +35,9 @@ def opened(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path) if "://" in path else (pafs.LocalFileSystem(), path)
 
 
-def listed(path: str) -> list[tuple[str, int]]:
-    """(path, size) of a file, of the files of a folder, or of those that a last part with marks (`*.wav`) names, in order of their names."""
+def listed(path: str, deep: bool = False) -> list[tuple[str, int]]:
+    """(path, size) of a file, of the files of a folder (`deep`: and of the folders in it), or of those that a last part with marks (`*.wav`)
+    names, in order of their names."""
     fs, p = opened(path)
     folder, _, last = p.rpartition("/")
     pattern = last if any(c in last for c in "*?[") else None
@@ -44,8 +46,26 @@ def listed(path: str) -> list[tuple[str, int]]:
         return [(p, info.size)]
     if info.type == pafs.FileType.NotFound:
         raise FileNotFoundError(path)
-    found = fs.get_file_info(pafs.FileSelector(folder if pattern else p))
-    return sorted((f.path, f.size) for f in found if f.type == pafs.FileType.File and not f.base_name.startswith((".", "_")) and (not pattern or fnmatch.fnmatchcase(f.base_name, pattern)))
+    top = (folder if pattern else p).rstrip("/")
+    found = fs.get_file_info(pafs.FileSelector(top, recursive=deep))
+    hidden = re.compile("/[._]")
+    return sorted((f.path, f.size) for f in found if f.type == pafs.FileType.File and not hidden.search(f.path, len(top)) and (not pattern or fnmatch.fnmatchcase(f.base_name, pattern)))
+
+
+def merged(fs: pafs.FileSystem, source: str, target: str) -> None:
+    """Moves a folder to where none is; where one is, the files in it, one after another."""
+    if fs.get_file_info(target).type == pafs.FileType.NotFound:
+        fs.create_dir(os.path.dirname(target), recursive=True)
+        # fails where another one made the folder meanwhile, or where a file system moves no folders
+        with contextlib.suppress(OSError):
+            fs.move(source, target)
+    if fs.get_file_info(source).type == pafs.FileType.Directory:
+        fs.create_dir(target, recursive=True)
+        for f in fs.get_file_info(pafs.FileSelector(source)):
+            if f.type == pafs.FileType.Directory:
+                merged(fs, f.path, f"{target}/{f.base_name}")
+            else:
+                fs.move(f.path, f"{target}/{f.base_name}")
 
 
 @dataclass
@@ -55,7 +75,7 @@ class Part(InputPartition):
     pieces: list[tuple[str, int]]
 
 
-def dealt(pieces: list[tuple[str, int, int]], most: int) -> list[Part]:
+def dealt(pieces: Iterable[tuple[str, int, int]], most: int) -> list[Part]:
     """Pieces (path, number, bytes) put together to parts of about `most` bytes."""
     out, held, size = [], [], 0
     for path, number, n in pieces:
@@ -147,11 +167,12 @@ class WavReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.size = options["path"], int(options.get("partbytes", PART_BYTES))
         self.only_header = options.get("headeronly", "false").lower() == "true"
+        self.deep = options.get("recursivefilelookup", "false").lower() == "true"
 
     def partitions(self) -> list[Part]:
         if self.only_header:
-            return dealt([(p, 0, 1024) for p, _ in listed(self.path)], 4 << 20)
-        return dealt([(p, k, min(size, self.size)) for p, size in listed(self.path) for k in range(max(1, -(-size // self.size)))], self.size)
+            return dealt(((p, 0, 1024) for p, _ in listed(self.path, self.deep)), 16 << 20)
+        return dealt(((p, k, min(size, self.size)) for p, size in listed(self.path, self.deep) for k in range(max(1, -(-size // self.size)))), self.size)
 
     def read(self, part: Part) -> Iterator[tuple]:
         for path, number in part.pieces:
@@ -173,13 +194,25 @@ class WavReader(DataSourceReader):
                 yield (path, h.channels, h.width, h.rate, h.size, at, f.read(max(0, min(step, high - at))))
 
 
-class WavWriter(_Beside):
-    """Rows (name, channels, width, rate, total, offset, payload), those of a file in one task in order of their offset."""
+class WavWriter(DataSourceWriter):
+    """Rows (name, channels, width, rate, total, offset, payload), those of a file in one task in order of their offset. A name may have
+    folders in it (`a/b.wav`).
+
+    An attempt of a task writes into a folder of its own and, when all its files are whole, moves them into the job's, a folder of one task at once;
+    the job's folder becomes the target by one move if there is none yet. So neither the driver's work nor what is sent to it grows with the
+    number of files, and tasks do not wait for one another in one folder. Into a folder that is there, the driver moves file by file."""
+
+    def __init__(self, options: dict[str, str]):
+        self.path = options["path"].rstrip("/")
+        _, self.target = opened(self.path)
+        self.job = f"{os.path.dirname(self.target)}/.{os.path.basename(self.target)}.{uuid.uuid4().hex}"
+        self.ready = f"{self.job}/ready"
 
     def write(self, rows: Iterator[Row]) -> Wrote:
-        done, name, out, form, at = [], None, None, None, 0
+        done, made, name, out, form, at = [], {""}, None, None, None, 0
         fs, _ = opened(self.path)
-        fs.create_dir(self.inside, recursive=True)
+        own = f"{self.job}/{uuid.uuid4().hex}"
+        fs.create_dir(own, recursive=True)
 
         def close() -> None:
             if out is not None:
@@ -192,8 +225,11 @@ class WavWriter(_Beside):
                 if r["name"] != name:
                     close()
                     name, at, form = r["name"], 0, (r["channels"], r["width"], r["rate"], r["total"])
-                    done.append((self.temporary(name), f"{self.inside}/{name}", None))
-                    out = fs.open_output_stream(done[-1][0])
+                    done.append(name)
+                    if (inside := os.path.dirname(name)) not in made:
+                        fs.create_dir(f"{own}/{inside}", recursive=True)
+                        made.add(inside)
+                    out = fs.open_output_stream(f"{own}/{name}")
                     out.write(wav_bytes(*form))
                 if (r["channels"], r["width"], r["rate"], r["total"]) != form:
                     raise ValueError(f"{name}: clips differ in format")
@@ -202,21 +238,30 @@ class WavWriter(_Beside):
                 out.write(r["payload"])
                 at += len(r["payload"])
             close()
+            fs.create_dir(self.ready, recursive=True)
+            for first, within in dict.fromkeys((first, bool(mark)) for first, mark, _ in (n.partition("/") for n in done)):
+                if within:
+                    merged(fs, f"{own}/{first}", f"{self.ready}/{first}")
+                else:
+                    fs.move(f"{own}/{first}", f"{self.ready}/{first}")
         except BaseException:
             if out is not None and not out.closed:
                 out.close()
-            for temporary, _, _ in done:
-                with contextlib.suppress(OSError):
-                    fs.delete_file(temporary)
+            with contextlib.suppress(OSError):
+                fs.delete_dir(own)
             raise
-        return Wrote(done)
+        return Wrote([])
 
     def commit(self, messages: list[Wrote]) -> None:
         fs, _ = opened(self.path)
-        for m in messages:
-            for temporary, target, _ in m.files:
-                fs.move(temporary, target)
-        self.clean()
+        fs.create_dir(self.ready, recursive=True)
+        merged(fs, self.ready, self.target)
+        fs.delete_dir(self.job)
+
+    def abort(self, messages: list[WriterCommitMessage | None]) -> None:
+        fs, _ = opened(self.path)
+        if fs.get_file_info(self.job).type == pafs.FileType.Directory:
+            fs.delete_dir(self.job)
 
 
 class WavSource(DataSource):
@@ -433,25 +478,26 @@ def ready(spark: SparkSession) -> None:
         spark.dataSource.register(source)
 
 
-def stitch(clips: DataFrame, sounds: str, folder: str, part_bytes: int = PART_BYTES) -> None:
-    """clips (name, index, path): one file `name` in `folder` of the samples of its clips, in order of their index, under one header.
+def stitch(clips: DataFrame, sounds: str, folder: str, part_bytes: int = PART_BYTES, deep: bool = False) -> None:
+    """clips (name, index, path): one file `name` in `folder` of the samples of its clips, in order of their index, under one header. Clips lie
+    in `sounds` (`deep`: and in the folders in it).
 
     Headers are read and held against each other before any sample is; a name without readable clips or with clips of several formats
     raises an error, and files from before stay. Samples travel in parts of `part_bytes`; a task writes the parts of a file one after another.
     """
     spark = clips.sparkSession
     ready(spark)
-    read = spark.read.format("wav_parts").option("partBytes", str(part_bytes))
+    read = spark.read.format("wav_parts").option("partBytes", str(part_bytes)).option("recursiveFileLookup", str(deep).lower())
     heads = read.option("headerOnly", "true").load(sounds).select("path", "channels", "width", "rate", "bytes")
     wanted = clips.select("name", "index", F.regexp_replace("path", "^file:/+", "/").alias("path"))
-    met = wanted.join(heads, "path", "left")
+    met = kept(wanted.join(heads, "path", "left"))  # each header is read once
     form = F.struct("channels", "width", "rate")
     by = met.groupBy("name").agg(F.count_if(F.col("bytes").isNull()).alias("lost"), F.min(form).alias("f1"), F.max(form).alias("f2"))
     if (bad := by.where((F.col("lost") > 0) | (F.col("f1") != F.col("f2"))).orderBy("name").first()) is not None:
         raise ValueError(f"{bad['name']}: clips are missing" if bad["lost"] else f"{bad['name']}: clips differ in format")
     w = W.partitionBy("name").orderBy("index", "path")
     places = met.withColumn("before", F.coalesce(F.sum("bytes").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("total", F.sum("bytes").over(W.partitionBy("name")))
-    parts = spark.read.format("wav_parts").option("partBytes", str(part_bytes)).load(sounds).select("path", "offset", "payload")
+    parts = spark.read.format("wav_parts").option("partBytes", str(part_bytes)).option("recursiveFileLookup", str(deep).lower()).load(sounds).select("path", "offset", "payload")
     rows = parts.join(places, "path").where(F.length("payload") > 0).select("name", "channels", "width", "rate", "total", (F.col("before") + F.col("offset")).alias("offset"), "payload")
     rows.repartition("name").sortWithinPartitions("name", "offset").write.format("wav_parts").mode("append").option("path", folder).save()
 

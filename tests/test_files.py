@@ -121,3 +121,64 @@ def test_a_large_block_of_items_takes_time_in_proportion():
 
     seconds(1000)
     assert seconds(200_000) < 60 * max(seconds(10_000), 0.01)
+
+
+def test_many_sounds_are_one_move_for_the_driver(tmp_path, monkeypatch):
+    import pickle
+
+    def rows(names, body):
+        return iter([{"name": n, "channels": 1, "width": 2, "rate": 8000, "total": len(body), "offset": 0, "payload": body} for n in names])
+
+    def tree(folder):
+        return {str(p.relative_to(folder)): content(p)[1] for p in folder.rglob("*") if p.is_file()}
+
+    out, moves = tmp_path / "new" / "out", []
+    monkeypatch.setattr(files, "opened", lambda path: (CountedMoves(moves), path))
+
+    class CountedMoves:
+        def __init__(self, log):
+            self.fs, self.log = files.pafs.LocalFileSystem(), log
+
+        def __getattr__(self, what):
+            return getattr(self.fs, what)
+
+        def move(self, a, b):
+            self.log.append(b)
+            self.fs.move(a, b)
+
+    job = files.WavWriter({"path": f"{out}/"})
+    one = [f"{k}.wav" for k in range(40)] + [f"a/{k}.wav" for k in range(40)]
+    messages = [job.write(rows(one, b"1111")), job.write(rows(["a/b/x.wav", "a/z.wav", "z.wav"], b"22")), job.write(rows([], b""))]
+    messages.append(job.write(rows(["a/z.wav", "z.wav"], b"22")))  # an attempt that is run again
+    with pytest.raises(ValueError, match="4 bytes of samples for 6"):
+        job.write(iter([{"name": "q.wav", "channels": 1, "width": 2, "rate": 8000, "total": 6, "offset": 0, "payload": b"1111"}]))
+    assert not out.exists() and len(pickle.dumps(messages)) < 500
+    moves.clear()
+    job.commit(messages)
+    assert moves == [str(out)]
+    want = {n: b"1111" for n in one} | {"a/b/x.wav": b"22", "a/z.wav": b"22", "z.wav": b"22"}
+    assert tree(out) == want and [p.name for p in out.parent.iterdir()] == ["out"]
+    # into a folder that is there: files are replaced, others stay, a job that breaks off changes nothing
+    for name, ends in (("abort", want), ("commit", want | {"a/3.wav": b"3333", "c/3.wav": b"3333", "3.wav": b"3333"})):
+        job = files.WavWriter({"path": str(out)})
+        getattr(job, name)([job.write(rows(["3.wav", "a/3.wav", "c/3.wav"], b"3333"))])
+        assert tree(out) == ends and [p.name for p in out.parent.iterdir()] == ["out"]
+    files.WavWriter({"path": str(out)}).abort([None])
+    files.WavWriter({"path": str(tmp_path / "none")}).commit([])
+    assert list((tmp_path / "none").iterdir()) == []
+
+
+def test_sounds_in_folders(spark, tmp_path):
+    files.ready(spark)
+    for folder in ("in", "in/h1", "in/h2", "in/.old", "in/_x/h3"):
+        (tmp_path / folder).mkdir(parents=True)
+    bodies = [sound(tmp_path / "in" / f / "c.wav", 9 + k, seed=k) for k, f in enumerate([".", "h1", "h2", ".old", "_x/h3"])]
+    flat = spark.read.format("wav_parts").load(f"{tmp_path}/in").collect()
+    assert [bytes(r.payload) for r in flat] == bodies[:1]
+    deep = spark.read.format("wav_parts").option("recursiveFileLookup", "true").load(f"{tmp_path}/in").collect()
+    assert {r.path: bytes(r.payload) for r in deep} == {f"{tmp_path}/in/{n}": b for n, b in zip(["c.wav", "h1/c.wav", "h2/c.wav"], bodies)}
+    clips = spark.createDataFrame([("x.wav", 1, f"{tmp_path}/in/h2/c.wav"), ("x.wav", 2, f"{tmp_path}/in/h1/c.wav")], "name string, index int, path string")
+    files.stitch(clips, f"{tmp_path}/in", f"{tmp_path}/out", deep=True)
+    assert content(tmp_path / "out" / "x.wav")[1] == bodies[2] + bodies[1]
+    with pytest.raises(ValueError, match="clips are missing"):
+        files.stitch(clips, f"{tmp_path}/in", f"{tmp_path}/out")
