@@ -52,3 +52,13 @@ def test_query(spark, db, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 3
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_chunk_letters_has_a_row_for_each_document(spark, tmp_path):
+    texts = [(1, "One. Two!\nChapter 3"), (2, None), (3, ""), (4, " \n "), (5, "."), (6, "?! ...\n!"), (7, "a b."), (7, "c"), (None, "d é 4"), (None, None)]
+    docs = spark.createDataFrame([(i, x, "en", "web", len(x or "")) for i, x in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    df, want = catalog.queries()["document_chunk_letters"](spark, str(tmp_path)), con.sql(catalog.oracle_sql()["document_chunk_letters"])
+    assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
