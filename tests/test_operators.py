@@ -619,3 +619,49 @@ def test_parts_grow_in_number_not_in_size(spark):
     rows = spark.range(5000).withColumn("k", F.col("id") % 997)
     dealt = ranking.dealt(rows, ["k"], 100).withColumn("part", F.spark_partition_id())
     assert dealt.select("part").distinct().count() >= 30 and dealt.groupBy("k").agg(F.count_distinct("part").alias("n")).where("n > 1").isEmpty()
+
+
+NEAR_WORDS = "a b ab abc c bc is are they their the thes ze red reed kn it him one".split()
+
+
+@given(st.lists(st.sampled_from(NEAR_WORDS), max_size=9), st.lists(st.tuples(st.integers(0, 9), st.sampled_from([*NEAR_WORDS, ""])), max_size=5), st.booleans())
+@settings(max_examples=400, deadline=None)
+def test_path_between_equal_ends_is_that_of_the_whole_table(ref, edits, put):
+    hyp = list(ref)
+    for at, word in edits:
+        hyp[at : at + (not put or not word)] = [word] if word else []
+    strict = frozenset(["ab"]) if len(ref) % 3 == 0 else frozenset()
+    assert compare._Grid(ref, hyp, 0.85, strict, frozenset()).path() == compare._table_path(ref, hyp, 0.85, strict)
+
+
+def test_lost_and_doubled_words_need_no_search(monkeypatch):
+    def search(*_):
+        raise AssertionError("searched")
+
+    monkeypatch.setattr(compare._Grid, "search", search)
+    words = [f"{a}{b}{c}m" for a in "bdkl" for b in "aeo" for c in "nrst"]
+    for hyp in (words, words[1:], [*words, *words[-1:] * 3], [*words[:5], *words[6:]], [*words[:5], "zzz", *words[6:]]):
+        ops = compare.align(words, hyp)
+        assert sum(o["op"] in ("substitution", "deletion", "insertion") for o in ops) == max(abs(len(hyp) - len(words)), hyp != words)
+
+
+@given(st.lists(st.sampled_from("The a. A. B! MIX XII CD one One, no any uh oh uhoh know yknow don't wasnt dr. Mr st. 5k $ % per cent and hundred to | && éa. İx ΑΣ Σ. ² twenty-one “x” [pause:20ms] _ alright".split()), max_size=7))
+@settings(max_examples=300, deadline=None)
+def test_tokens_looked_up_alone_are_normalised_as_in_their_text(tokens):
+    for text in (" ".join(tokens), "\t".join(tokens)):
+        assert compare.normalize(text) == compare._normalized(text)
+
+
+def test_only_named_fields_of_a_comparison_are_made(spark):
+    rows = spark.createDataFrame([(1, "a cat sat", "a cat"), (2, "it", None)], "id int, r string, h string")
+    whole = {r.id: r for r in compare.compare_rows(rows, "r", "h", ["id"]).collect()}
+    part = compare.compare_rows(rows, "r", "h", ["id"], only=("score", "failure_type"), errors=True)
+    assert part.columns == ["id", "failure_type", "score", "error"]
+    assert all((r.failure_type, r.score) == (whole[r.id].failure_type, whole[r.id].score) for r in part.collect())
+
+
+def test_a_text_against_itself_goes_to_python_once(spark):
+    rows = spark.createDataFrame([(1, "a cat sat"), (2, None)], "id int, r string")
+    same = compare.compare_rows(rows, "r", "r", ["id"], only=("passed", "score"))
+    assert "_hyp" not in same._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, same.collect())) == [(1, True, 1.0), (2, True, 1.0)]
