@@ -1,6 +1,7 @@
 """Every query against its SQL on the small tables."""
 
 import os
+import re
 from decimal import Decimal
 
 import duckdb
@@ -62,3 +63,10 @@ def test_chunk_letters_has_a_row_for_each_document(spark, tmp_path):
     con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     df, want = catalog.queries()["document_chunk_letters"](spark, str(tmp_path)), con.sql(catalog.oracle_sql()["document_chunk_letters"])
     assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
+
+
+@pytest.mark.parametrize(("name", "fields"), [("failed_comparisons", {"doc_id", "idx", "passed", "score", "failure_type"})])
+def test_comparisons_make_only_the_fields_they_use(spark, name, fields):
+    plan = catalog.queries()[name](spark, DATA)._jdf.queryExecution().analyzed().toString()
+    made = re.search(r"MapInArrow run\(.*\)#\d+, \[(.*?)\]", plan)[1]
+    assert {f.split("#")[0].strip() for f in made.split(",")} == fields
