@@ -65,7 +65,7 @@ def test_chunk_letters_has_a_row_for_each_document(spark, tmp_path):
     assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
 
 
-@pytest.mark.parametrize(("name", "fields"), [("failed_comparisons", {"doc_id", "idx", "passed", "score", "failure_type"})])
+@pytest.mark.parametrize(("name", "fields"), [("failed_comparisons", {"doc_id", "idx", "passed", "score", "failure_type"}), ("rescored_report", {"unheard", "passed"})])
 def test_comparisons_make_only_the_fields_they_use(spark, name, fields):
     plan = catalog.queries()[name](spark, DATA)._jdf.queryExecution().analyzed().toString()
     made = re.search(r"MapInArrow run\(.*\)#\d+, \[(.*?)\]", plan)[1]
